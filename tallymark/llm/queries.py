@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import mixing, quality, sharding, urlfilter
+from tallymark.llm import mixing, neardup, pieces, quality, sharding, tokens, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """A vocabulary file's path; the same on the driver and on all workers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pieces.encode(docs, tokenizer("piece_bpe_32k.model"), seed=1)
+
+
+def op3_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op4_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -26,6 +42,10 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(_table(spark, sf_dir, "documents"))
     return entries.select(
@@ -34,7 +54,7 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_water_filling, op5_feistel_shards, op6_host_reputation, op10_rule_ledger)}
+QUERIES = {f.__name__: f for f in (op2_merge_dropout, op3_pretoken_counts, op4_water_filling, op5_feistel_shards, op6_host_reputation, op7_prob_minhash, op10_rule_ledger)}
 
 ORACLE_SQL = {
     "op4_water_filling": r"""
