@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import mixing, neardup, pieces, quality, sharding, tokens, urlfilter
+from tallymark.llm import ann, mixing, neardup, pieces, pii, quality, sharding, tokens, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann.Index(rows).search(rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return pieces.encode(docs, tokenizer("piece_bpe_32k.model"), seed=1)
@@ -46,6 +51,16 @@ def op7_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, report=True)
+
+
+def op9_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(warc.planned(_table(spark, sf_dir, "pages")))
+    return warc.records(warc.read(archives, data=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(_table(spark, sf_dir, "documents"))
     return entries.select(
@@ -54,7 +69,13 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_merge_dropout, op3_pretoken_counts, op4_water_filling, op5_feistel_shards, op6_host_reputation, op7_prob_minhash, op10_rule_ledger)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_adaptive_scan, op2_merge_dropout, op3_pretoken_counts, op4_water_filling, op5_feistel_shards,
+        op6_host_reputation, op7_prob_minhash, op8_surrogates, op9_chunked_warc, op10_rule_ledger,
+    )
+}
 
 ORACLE_SQL = {
     "op4_water_filling": r"""
@@ -119,6 +140,14 @@ SELECT page_id, r.host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
        WHEN bound.low > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM r LEFT JOIN bound ON r.host = bound.host
+""",
+    "op9_chunked_warc": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS kept FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM k
 """,
     "op10_rule_ledger": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
