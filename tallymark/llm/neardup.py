@@ -13,10 +13,13 @@ Verification: the Jaccard similarity of the two shingle sets, computed in full,
 threshold. Links are found in two ways, and every pair of candidates is decided by one of them:
 - leaders: each node is compared with one leader of its buckets (linear work), classes are merged,
   and so again with other leaders while that still merges many;
-- the rest: buckets that still hold several classes. Small ones compare all pairs across
-  classes. Large ones go through an exact prefix filter: sets that similar must share one of
-  their rarest shingles, so only texts that do are compared, and what many texts share, like
-  a common passage, makes no pairs.
+- the rest: buckets that still hold several classes. Where the pairs across classes are at most
+  ``SPARSE`` times the members, they are compared. The texts of all others go through an exact
+  prefix filter: sets that similar must share one of their rarest shingles, so what many texts
+  share, like a common passage, brings nobody together. Shingles with few pairs are treated
+  as such buckets. The few that whole groups of texts at the edge of the threshold have in common
+  are compared in blocks of ``BLOCK`` by ``BLOCK`` texts, as products of incidence matrices: no pair is
+  ever a row, and only links that hold come out.
 
 Classes are the connected components, by label propagation with pointer jumping over tables.
 
@@ -43,8 +46,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Leader rounds at most, and the share of nodes a round must merge for another to follow.
 LEADER_ROUNDS, WORTH = 4, 0.02
-#: Buckets with up to this many pairs across classes compare them all; larger ones are filtered.
-ALL_PAIRS = 20_000
+#: Pairs across classes that a bucket may make as rows, as a multiple of its members.
+SPARSE = 4
+BLOCK = 256
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -203,7 +207,51 @@ def _rarest(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return first.select("key", "node", "class")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, all_pairs: int = ALL_PAIRS, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+def _split(rows: DataFrame, sparse: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, node, class) of keys with several classes: those with few pairs, and the dense ones."""
+    per = rows.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("k"))
+    per = settle(per.where("k > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2 <= sparse * F.col("n")).alias("few")), "dup-sizes")
+    pick = lambda few: rows.join(per.where("few" if few else "not few").select("key", F.col("n").alias("members")), "key")
+    return pick(True), pick(False)
+
+
+def _in_blocks(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) across classes among the rows of each key, from blocks of texts."""
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    rows = rows.select("key", "node", "class", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    rows = rows.select("key", "node", "class", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, group, own = (table.column(c).to_numpy() for c in ("node", "class", "own"))
+        lists = table.column("shingles").combine_chunks()
+        lists = lists if not isinstance(lists, pa.ChunkedArray) else pa.concat_arrays(lists.chunks)
+        size = np.diff(lists.offsets.to_numpy())
+        _, token, count = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+        text = np.repeat(np.arange(len(node)), size)
+        on = count[token] > 1
+        token, text = np.unique(token[on], return_inverse=True)[1], text[on]
+        order = np.argsort(token, kind="stable")
+        token, text = token[order], text[order]
+        left, right = (np.flatnonzero(own == k) for k in (table.column("i")[0].as_py(), table.column("j")[0].as_py())) if len(node) else (np.zeros(0, int),) * 2
+        shared = np.zeros((len(left), len(right)), np.float32)
+        step = 8192  # shingles at once
+        for low in range(0, int(token.max(initial=-1)) + 1, step):
+            a, b = np.searchsorted(token, (low, low + step))
+            grid = np.zeros((len(node), step), np.float32)
+            grid[text[a:b], token[a:b] - low] = 1
+            shared += grid[left] @ grid[right].T
+        fits = (shared >= threshold * (size[left][:, None] + size[right] - shared) - 1e-6) & (group[left][:, None] != group[right])
+        x, y = np.nonzero(fits)
+        # one link of a text to each class is enough to merge them
+        _, first = np.unique(np.stack([left[x], group[right[y]]]), axis=1, return_index=True)
+        return pa.table([pa.array(node[left[x[first]]], pa.int64()), pa.array(node[right[y[first]]], pa.int64())], ["a", "b"])
+
+    return rows.select("key", "i", "j", "node", "class", "own", "shingles").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sparse: float = SPARSE, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """(doc_id, class_id, n_shingles), a row for each row of ``docs``."""
     signed = signatures(docs, id_col, text_col)
     own = F.coalesce("doc_id", F.when(F.col("set_a") < 0, F.col("set_a")).otherwise(-F.col("set_a") - 1))
@@ -225,15 +273,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         if found.link(_leaders(rows, turn)) < WORTH * total:
             break
     if total:
-        rows = found.placed()
-        per = rows.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
-        per = settle(per, "dup-sizes")
-        small = rows.join(per.where(F.col("pairs") <= 2 * all_pairs), "key", "left_semi")
-        found.link(_across(small))
-        large = per.where(F.col("pairs") > 2 * all_pairs)
-        if large.limit(1).count():
-            left = rows.join(large, "key", "left_semi").select("node").distinct().join(found.of, "node")
-            found.link(_across(settle(_rarest(left, sets, threshold), "dup-rare")))
+        few, dense = _split(found.placed(), sparse)
+        found.link(_across(few))
+        left = settle(dense.select("node").distinct().join(found.of, "node"), "dup-left")
+        if left.limit(1).count():
+            few, dense = _split(settle(_rarest(left, sets, threshold), "dup-rare"), sparse)
+            found.link(_across(few))
+            found.link(settle(_in_blocks(dense, sets, threshold), "dup-blocks"))
     # every row's class: that of its set's node, and rows without words are their own
     named = first.join(found.of, "node", "left").select("set_a", "set_b", F.coalesce("class", "node").alias("class_id"))
     # rows that share an id but not a text connect their classes

@@ -188,10 +188,11 @@ def copies():
     return texts
 
 
-@pytest.mark.parametrize(("all_pairs", "rounds"), [(neardup.ALL_PAIRS, neardup.LEADER_ROUNDS), (0, 1)])
-def test_near_duplicates(spark, copies, all_pairs, rounds):
+@pytest.mark.parametrize(("sparse", "rounds"), [(neardup.SPARSE, neardup.LEADER_ROUNDS), (0, 1), (0, 0)])
+def test_near_duplicates(spark, copies, sparse, rounds, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     docs = spark.createDataFrame([(k, t, 1) for k, t in copies.items()], "doc_id long, text string, node int")
-    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs, all_pairs=all_pairs, leader_rounds=rounds).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs, sparse=sparse, leader_rounds=rounds).collect()}
     assert got == brute_classes(copies)
 
 
