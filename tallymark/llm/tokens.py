@@ -190,8 +190,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     vocab = vocabulary(rows, path)
     short = vocab.where(F.length("pretoken") <= HEAD_CHARS)
-    # a fixed number of short strings
-    known = dict(short.orderBy(F.desc("freq"), "pretoken").limit(head).select("pretoken", "n_pieces").toPandas().itertuples(index=False, name=None))
+    # how many pre-tokens there are of each order of frequency: some hundred rows; then those of
+    # the highest orders that are at most ``head`` together, from wherever they are
+    order = F.floor(F.log2(F.col("freq")) * 16).cast("int")
+    short, room, cut = short.select("pretoken", "n_pieces", order.alias("order")), head, None
+    for found in sorted(short.groupBy("order").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["order"]):
+        if (room := room - found["n"]) < 0:
+            break
+        cut = found["order"]
+    known = {} if cut is None else {r["pretoken"]: r["n_pieces"] for r in short.where(F.col("order") >= cut).select("pretoken", "n_pieces").collect()}
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def frequencies(batches):
