@@ -24,7 +24,7 @@ BASE = """
 WITH li AS (
   SELECT l_orderkey AS k, l_linenumber AS line, 'L' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') || '-' || l_linenumber AS lot, 'Part ' || l_partkey AS description,
          CAST(l_quantity AS BIGINT) AS cartons, round(l_quantity * 2.5, 2) AS net_kg, round(l_quantity * 3, 2) AS gross_kg,
-         round(l_extendedprice / l_quantity, 2) AS unit_price, l_extendedprice AS amount, l_suppkey AS supplier
+         floor(l_extendedprice * 100 / l_quantity) / 100 AS unit_price, l_extendedprice AS amount, l_suppkey AS supplier
   FROM lineitem),
 o AS (
   SELECT o_orderkey AS k, min(o_custkey) AS cust, min(strftime(o_orderdate, '%Y-%m-%d')) AS ship_date, 'ORD-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS order_no,

@@ -28,7 +28,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("line"), F.concat(F.lit("L"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("lot"),
         F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("description"), F.col("l_quantity").cast("bigint").alias("cartons"),
         F.round(F.col("l_quantity") * 2.5, 2).alias("net_kg"), F.round(F.col("l_quantity") * 3, 2).alias("gross_kg"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("unit_price"), F.col("l_extendedprice").alias("amount"), F.col("l_suppkey").alias("supplier"),
+        (F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")) / 100).alias("unit_price"), F.col("l_extendedprice").alias("amount"), F.col("l_suppkey").alias("supplier"),
     )
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("ship_date"))

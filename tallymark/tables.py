@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, computed once a row however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with its global rank from 1, without a global window: sorted ranges, numbered inside, with offsets.
+
+    The ranges are written first, so that counting and numbering see the same ones.
+    """
+    ranges = settle(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    # a row for each range: as many as spark.sql.shuffle.partitions
+    offsets = F.broadcast(counts.select("part", before.alias("before")))
+    return ranges.join(offsets, "part").withColumn(name, (F.col("before") + inside).cast("bigint")).drop("part", "before")
