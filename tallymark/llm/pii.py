@@ -75,7 +75,7 @@ PATTERNS = {
     "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "name": rf"\b(?P<t>{'|'.join(sorted(_TITLE, key=len, reverse=True))})\.? (?P<n>{_NAME}(?: {_NAME}){{0,2}})|\b(?P<g>{'|'.join(sorted(_GENDER))}) (?P<s>{_NAME})",
+    "name": rf"\b(?P<t>{'|'.join(sorted(_TITLE, key=len, reverse=True))})\.? (?P<n>{_NAME}(?: {_NAME}){{0,2}})|\b(?P<g>(?:(?:{'|'.join(sorted(_GENDER))}) )+)(?P<s>{_NAME})",
 }
 _SCREEN = r"[0-9@=]|" + rf"\b(?:{'|'.join([*_TITLE, *_GENDER])})\.? \p{{Lu}}"
 
@@ -235,7 +235,9 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                     continue  # a number that no card has
                 add(*m.span(), kind)
             elif kind == "name":
-                parts = m["n"] or f"{m['g']} {m['s']}"
+                if m["s"] in _GENDER:
+                    continue  # given names alone are words as often as names
+                parts = m["n"] or f"{m['g']}{m['s']}"
                 at = m.start("n") if m["n"] else m.start("g")
                 words, gender = parts.split(" "), _TITLE.get(m["t"] or "", "")
                 for i, word in enumerate(words):
@@ -296,9 +298,10 @@ def registry(found: DataFrame, key: str = KEY) -> DataFrame:
         first = at.groupBy("space", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         judged = at.join(real, ["space", "surrogate"], "left").join(first, ["space", "surrogate"], "left")
         again = F.coalesce(F.col("real") & F.col("roomy"), F.lit(False)) | F.coalesce((F.col("first.value") != F.col("value")) & F.col("roomy"), F.lit(False))
-        judged = settle(judged.select("kind", "value", "attempt", "surrogate", "roomy", again.alias("again")), "pii-judged")
+        judged = judged.select("kind", "value", "attempt", "surrogate", "roomy", again.alias("again"))
         if not judged.where("again").limit(1).count():
             return table
+        judged = settle(judged, "pii-judged")
         moved = fill(judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
         table = settle(judged.where("not again").drop("again").unionByName(moved), "pii-registry")
     raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
@@ -306,7 +309,7 @@ def registry(found: DataFrame, key: str = KEY) -> DataFrame:
 
 def replace(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", key: str = KEY, report: bool = False, broadcast: int = BROADCAST_ATTEMPTS) -> DataFrame:
     """``docs`` with surrogates in their texts; ``report`` adds n_entities and spans (start, end, kind of the new text)."""
-    moved = settle(registry(entities(docs, text_col), key).where("attempt > 0").select("kind", "value", "attempt"), "pii-moved")
+    moved = registry(entities(docs, text_col), key).where("attempt > 0").select("kind", "value", "attempt")
     names = docs.columns
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     at, attempts = names.index(text_col), {}
