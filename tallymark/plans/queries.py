@@ -19,6 +19,7 @@ from tallymark.plans import score as sc
 from tallymark.sources import corpus
 from tallymark.tables import settle
 
+# Items of one order may share line and lot: the first is told by all their columns, as the corpus sorts them.
 # Facts of the corpus in SQL: orders, items, totals of orders, and which errors are planted where.
 BASE = """
 WITH li AS (
@@ -30,7 +31,7 @@ o AS (
   SELECT o_orderkey AS k, min(o_custkey) AS cust, min(strftime(o_orderdate, '%Y-%m-%d')) AS ship_date, 'ORD-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS order_no,
          'BL' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS bl_no, 'CONT' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS container_no, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || '-' AS doc,
          CAST(sum(cartons) AS BIGINT) AS cartons, round(sum(net_kg), 2) AS net_kg, round(sum(gross_kg), 2) AS gross_kg, round(sum(amount), 2) AS value,
-         arg_min(supplier, (line, lot)) AS supplier, arg_min(lot, (line, lot)) AS lot, arg_min(li.net_kg, (line, lot)) AS first_net
+         arg_min(li.supplier, (line, lot, description, li.cartons, li.net_kg, li.gross_kg, li.unit_price, li.amount, li.supplier)) AS supplier, arg_min(lot, (line, lot, description, li.cartons, li.net_kg, li.gross_kg, li.unit_price, li.amount, li.supplier)) AS lot, arg_min(li.net_kg, (line, lot, description, li.cartons, li.net_kg, li.gross_kg, li.unit_price, li.amount, li.supplier)) AS first_net
   FROM orders JOIN li ON o_orderkey = li.k GROUP BY o_orderkey)
 """
 
