@@ -6,8 +6,11 @@ random register, and a register keeps the earliest. A shingle stops as soon as i
 is later than all registers of its text, so most take one or two points. Two registers agree
 with the probability Jaccard similarity of the weighted sets.
 
-Candidates: registers are hashed in bands; texts that share a band are candidates. Texts with
-equal shingle sets are one node from the start, so copies cost nothing later.
+Candidates: registers are hashed in bands; texts that share a band are candidates. What is verified
+is the similarity of the plain sets, of which the weighted one is no bound: where the shingles that
+differ are repeated it is as low as the repetitions make it. So each text also has the bands of its
+plain set, by the same registers with all weights 1; a text without repeated shingles has them
+already. Texts with equal shingle sets are one node from the start, so copies cost nothing later.
 
 Verification: the Jaccard similarity of the two shingle sets, computed in full, must reach the
 threshold. Links are found in two ways, and every pair of candidates is decided by one of them:
@@ -42,7 +45,8 @@ from tallymark.llm.store import settle
 
 WORDS = 5
 THRESHOLD = 0.8
-#: At 0.8 a pair is missed with probability (1 - 0.8**5)**32, about 3 in a million.
+#: A pair whose plain sets have similarity 0.8 is missed by the plain bands with probability
+#: (1 - 0.8**5)**32, about 3 in a million, whatever its weights; the weighted bands only add to that.
 BANDS, ROWS = 32, 5
 #: Leader rounds at most, and the share of nodes a round must merge for another to follow.
 LEADER_ROUNDS, WORTH = 4, 0.02
@@ -103,12 +107,22 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def work(batches):
         spread = np.uint64(0xD1B54A32D192ED03) * (2 * np.arange(rows, dtype=np.uint64) + np.uint64(1))
+        salts = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keyed = lambda held, n: codes.mixed((held.reshape(n, bands, rows) * spread).sum(2, dtype=np.uint64) + salts)
         for batch in batches:
             for part in codes.slices(batch, "text"):
                 n = part.num_rows
                 text, shingle, times = shingle_sets(part.column(1).to_pylist(), words)
-                held = prob_minhash(text, shingle, 1 + np.log(times), n, bands * rows)
-                keys = codes.mixed((held.reshape(n, bands, rows) * spread).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                plain = keyed(prob_minhash(text, shingle, np.ones(len(text)), n, bands * rows), n)
+                # only where shingles repeat do weights change anything
+                repeats = np.zeros(n, bool)
+                repeats[text[times > 1]] = True
+                on = repeats[text]
+                place = np.cumsum(repeats) - 1
+                weighted = keyed(prob_minhash(place[text[on]], shingle[on], 1 + np.log(times[on]), int(repeats.sum()), bands * rows), int(repeats.sum()))
+                keys, named = np.zeros((n, 2 * bands), np.uint64), np.ones((n, 2 * bands), bool)
+                keys[:, :bands], named[:, bands:] = plain, False
+                keys[repeats, bands:], named[repeats, bands:] = weighted, weighted != plain[repeats]
                 size = np.bincount(text, minlength=n)
                 ends = np.append(0, np.cumsum(size)).astype(np.int32)
                 sums = [np.append(np.uint64(0), np.cumsum(codes.mixed(shingle * np.uint64(k)), dtype=np.uint64)) for k in (0x9E3779B97F4A7C15, 0x8CB92BA72F3D8DD7)]
@@ -117,7 +131,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 short = ((shingle >> np.uint64(16)).astype(np.int64) - (1 << 31)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(a), pa.array(b), pa.array(size.astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel())),
+                     pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(named.sum(1))).astype(np.int32)), pa.array(keys[named].view(np.int64))),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(short))],
                     ["doc_id", "set_a", "set_b", "n_shingles", "bands", "shingles"],
                 )

@@ -206,6 +206,16 @@ def test_near_duplicates_awkward(spark, copies):
     assert kept.count() == len(set(brute_classes(copies).values()))
 
 
+def test_near_copies_with_a_repeated_line(spark):
+    """Plain similarity 48/60, weighted 48/108: bands of weighted sets alone miss more than half."""
+    rows = []
+    for i in range(30):
+        text = " ".join(f"a{i}x{j}" for j in range(52))
+        rows += [(2 * i, text), (2 * i + 1, text + (" " + " ".join(f"b{i}x{j}" for j in range(8))) * 400)]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {k: k - k % 2 for k, _ in rows}
+
+
 def test_probability_jaccard_estimate():
     weights = {1: {i: 1.0 + i % 3 for i in range(60)}, 2: {i: 1.0 + i % 2 for i in range(30, 90)}}
     text = np.array([k - 1 for k in weights for _ in weights[k]])
