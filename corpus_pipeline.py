@@ -1,7 +1,7 @@
 """From raw documents to encoded training text, in five stages.
 
 Each stage takes the documents that the one before it kept, all of them, and returns documents
-with the same columns; the last returns their pieces. ``run`` writes each stage's result to the
+with the same columns (the mixture adds ``copy``); the last returns their pieces. ``run`` writes each stage's result to the
 shared folder and reads it back for the next, so that a lost executor costs tasks, not stages.
 """
 
@@ -31,13 +31,13 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.repeat(docs)
+    """Documents as often as the mix of sources takes them, with the number of each copy."""
+    return mixing.repeat(docs, copy_col="copy")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_pieces, ids, lossless."""
-    return pieces.encode(docs, tokenizer("piece_bpe_32k.model"), carry=("lang", "source"))
+    return pieces.encode(docs, tokenizer("piece_bpe_32k.model"), carry=("lang", "source"), copy_col="copy")
 
 
 STAGES = [

@@ -119,8 +119,8 @@ def mix(docs: DataFrame, seed: str = "mix", **knobs) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def repeat(docs: DataFrame, seed: str = "mix", **knobs) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns."""
+def repeat(docs: DataFrame, seed: str = "mix", copy_col: str | None = None, **knobs) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with its own columns, and its copies' numbers from 1 in ``copy_col``."""
     slim = settle(slim_rows(docs, seed), "mix-sizes")
     sources = plan(slim, **knobs)
     names = docs.columns
@@ -129,4 +129,5 @@ def repeat(docs: DataFrame, seed: str = "mix", **knobs) -> DataFrame:
     )
     out = decide(packed, sources).where("copies > 0")
     out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return out.select(*[F.col("row")[c].alias(c) for c in names])
+    kept = [F.col("row")[c].alias(c) for c in names if c != copy_col]
+    return out.select(*kept, *([F.col("copy").alias(copy_col)] if copy_col else []))

@@ -4,8 +4,9 @@ The agenda holds the candidate merges, best score first, leftmost on ties. Each
 known by where it starts, meets and ends in its pre-token, is skipped if a keyed hash says so;
 with a dropout of 0 the result is the library's own. A skipped candidate stays skipped, but
 its symbols can still merge with others, so that segmentations vary and are always made of
-merges. The key is the seed, the pre-token and one of ``VARIANTS`` variants, which a keyed hash of
-document and place picks for each occurrence: reruns agree, equal words differ by place.
+merges. The key is the seed, the pre-token, the document (with the number of its copy, if a column
+of ``encode`` gives one) and the place: each occurrence is drawn by itself, and reruns agree.
+``variants`` above 0 lets occurrences share so many segmentations of a pre-token.
 
 All pre-tokens of a batch are merged together, as rows of a matrix: one round merges the best
 candidate of every row. Longer ones go through a heap, one at a time.
@@ -14,7 +15,7 @@ White space is kept: a space is U+2581 as in the library, and a U+2581 of the te
 becomes byte pieces, as does every sign that has no piece. ``decode`` gives back any text.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text. Repeated
-rows with one id get one segmentation. A null id hashes as 0. Extra columns are carried by
+rows with one id, and one copy number if there is one, get one segmentation. A null id hashes as 0. Extra columns are carried by
 ``encode``, and a column of theirs named as one of the results is replaced. An empty table
 gives an empty one. A text of any length is encoded whole.
 """
@@ -34,7 +35,8 @@ from pyspark.sql import types as T
 from tallymark.llm import codes
 
 DROPOUT = 0.1
-VARIANTS = 8
+#: 0: each occurrence has its own segmentation.
+VARIANTS = 0
 #: Characters that are encoded together.
 BATCH_CHARS = 1 << 19
 #: Row lengths of the matrices; longer pre-tokens go through the heap.
@@ -277,10 +279,13 @@ def decode_batch(ids: np.ndarray, offsets: np.ndarray, path: str) -> list[str]:
     return [raw[s + 1 : e].decode("utf-8", "surrogatepass") for s, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def encode(docs: DataFrame, path: str, seed: int = 1, dropout: float = DROPOUT, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, columns of ``carry``, n_pieces, ids and lossless: whether decoding gave the very text."""
+def encode(docs: DataFrame, path: str, seed: int = 1, dropout: float = DROPOUT, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), copy_col: str | None = None) -> DataFrame:
+    """id, columns of ``carry``, n_pieces, ids and lossless: whether decoding gave the very text.
+
+    ``copy_col`` names a column that tells rows of one id apart, which are then drawn differently.
+    """
     carry = tuple(c for c in carry if c not in (id_col, text_col, "n_pieces", "ids", "lossless"))
-    key = F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)).alias("__key")
+    key = F.coalesce(F.xxhash64(F.col(id_col), *([F.col(copy_col)] if copy_col else [])), F.lit(0)).alias("__key")
     rows = docs.select(id_col, *carry, F.col(text_col).alias("__text"), key)
     kept = [f for f in rows.schema.fields if f.name not in ("__text", "__key")]
     schema = T.StructType([*kept, T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])

@@ -109,6 +109,15 @@ def test_dropout_varies_repeats_and_is_lossless(docs):
     assert len({tuple(x) for x in np.split(ids, np.flatnonzero(np.diff(ids) > 10**6))}) >= 1 and ends[-1] > len(pieces.encode_batch(["thanking " * 400], path, np.ones(1, np.uint64), dropout=0.0)[0])
 
 
+def test_each_occurrence_and_each_copy_is_drawn_by_itself(spark):
+    path = tokenizer("piece_bpe_32k.model")
+    encoded, ends = pieces.encode_batch(["internationalization"] * 400, path, np.arange(400).astype(np.uint64), dropout=0.5)
+    assert len({tuple(x.tolist()) for x in np.split(encoded, ends[1:-1])}) > 8
+    docs = spark.createDataFrame([(1, "internationalization of considerations " * 20, k) for k in (1, 2, 2)], "doc_id long, text string, copy int")
+    got = [tuple(r["ids"]) for r in pieces.encode(docs, path, carry=("copy",), copy_col="copy").orderBy("copy").collect()]
+    assert got[0] != got[1] == got[2]
+
+
 def test_rows_merge_as_the_agenda_does():
     m, rng = pieces.model(tokenizer("piece_bpe_32k.model")), random.Random(1)
     words = ["\u2581" + "".join(rng.choices("theringaosnd", k=rng.randint(0, 19))) for _ in range(300)]
