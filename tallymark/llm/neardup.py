@@ -103,7 +103,7 @@ def prob_minhash(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_te
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(doc_id, set_a, set_b, n_shingles, bands, shingles); the last are 32-bit and sorted."""
+    """(doc_id, set_a, set_b, n_shingles, bands, shingles, length, mark); shingles are 32-bit and sorted."""
 
     def work(batches):
         spread = np.uint64(0xD1B54A32D192ED03) * (2 * np.arange(rows, dtype=np.uint64) + np.uint64(1))
@@ -132,12 +132,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(a), pa.array(b), pa.array(size.astype(np.int64)),
                      pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(named.sum(1))).astype(np.int32)), pa.array(keys[named].view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(short))],
-                    ["doc_id", "set_a", "set_b", "n_shingles", "bands", "shingles"],
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(short)), part.column(2), part.column(3)],
+                    ["doc_id", "set_a", "set_b", "n_shingles", "bands", "shingles", "length", "mark"],
                 )
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(work, "doc_id long, set_a long, set_b long, n_shingles long, bands array<long>, shingles array<int>")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
+    return slim.mapInArrow(work, "doc_id long, set_a long, set_b long, n_shingles long, bands array<long>, shingles array<int>, length int, mark long")
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart that share an id: (length, mark); rows with equal id and text share it."""
+    return [F.coalesce(F.length(text_col), F.lit(-1)).alias("length"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("mark")]
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -267,6 +272,11 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sparse: float = SPARSE, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """(doc_id, class_id, n_shingles), a row for each row of ``docs``."""
+    return _classed(docs, id_col, text_col, threshold, sparse, leader_rounds).select("doc_id", "class_id", "n_shingles")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, sparse: float = SPARSE, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+    """Rows of ``classes`` with their ``row_key``."""
     signed = signatures(docs, id_col, text_col)
     own = F.coalesce("doc_id", F.when(F.col("set_a") < 0, F.col("set_a")).otherwise(-F.col("set_a") - 1))
     signed = settle(signed.select("*", own.alias("own")), "dup-signatures")
@@ -297,15 +307,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     # every row's class: that of its set's node, and rows without words are their own
     named = first.join(found.of, "node", "left").select("set_a", "set_b", F.coalesce("class", "node").alias("class_id"))
     # rows that share an id but not a text connect their classes
-    return signed.select("doc_id", "own", "set_a", "set_b", "n_shingles").join(named, ["set_a", "set_b"], "left").select(
-        "doc_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("own")).alias("class_id"), "n_shingles"
+    return signed.select("doc_id", "own", "set_a", "set_b", "n_shingles", "length", "mark").join(named, ["set_a", "set_b"], "left").select(
+        "doc_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("own")).alias("class_id"), "n_shingles", "length", "mark"
     )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose id names their class: one of each, with its own columns."""
-    kept = classes(docs, threshold=threshold).where("doc_id = class_id").select("doc_id").distinct()
-    kept = settle(kept, "dup-kept")
-    inside = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text")
-    rows = docs.join(kept, "doc_id", "left_semi").select("*", F.row_number().over(inside).alias("__n"))
-    return rows.where("__n = 1").drop("__n")
+    """One row of each class, with its own columns: that of the smallest id, and of its texts the longest; null ids come last."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), (-F.col("length")).alias("short"), "mark")
+    kept = _classed(docs, "doc_id", "text", threshold).groupBy("class_id").agg(F.min(order).alias("first"))
+    kept = settle(kept.select(F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark")), "dup-kept")
+    # rows with equal id and text have one class and one key
+    mark = row_key("doc_id", "text")[1]
+    rows = docs.select("*", F.col("doc_id").cast("long").alias("__own"), mark.alias("__key"))
+    rows = rows.join(kept, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__mark")), "left_semi")
+    rows = rows.select("*", F.row_number().over(Window.partitionBy("__own", "__key").orderBy("text")).alias("__n"))
+    return rows.where("__n = 1").drop("__n", "__own", "__key")

@@ -206,6 +206,13 @@ def test_near_duplicates_awkward(spark, copies):
     assert kept.count() == len(set(brute_classes(copies).values()))
 
 
+def test_one_row_of_each_class_whatever_its_id(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(None, words("a")), (7, words("a")), (8, words("a")), (None, words("b")), (None, words("b")), (3, words("c")), (5, words("c")), (5, words("d")), (9, words("e")), (9, words("e"))]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["text"][0], r["doc_id"]) for r in kept.collect()) == [("a", 7), ("b", None), ("c", 3), ("d", 5), ("e", 9)]
+
+
 def test_near_copies_with_a_repeated_line(spark):
     """Plain similarity 48/60, weighted 48/108: bands of weighted sets alone miss more than half."""
     rows = []
