@@ -73,7 +73,7 @@ PATTERNS = {
     "secret": r"(?i:\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?)(?P<v>[^\s\"'<>,;]{4,}?)(?=[\s\"'<>,;]|\.?$|\.\s)",
     "key": r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA)(?P<k>[0-9A-Z]{16})\b|\b(?:ghp|gho|ghs|xoxb|xoxp|sk)[_-][A-Za-z0-9_-]{16,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": r"(?<![\d+])\d(?:[ -]?\d){12,}",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "name": rf"\b(?P<t>{'|'.join(sorted(_TITLE, key=len, reverse=True))})\.? (?P<n>{_NAME}(?: {_NAME}){{0,2}})|\b(?P<g>(?:(?:{'|'.join(sorted(_GENDER))}) )+)(?P<s>{_NAME})",
@@ -215,6 +215,33 @@ def laid_out(kind: str, shown: str, new: str) -> str:
     return new
 
 
+def cards(run: str) -> list[tuple[int, int]]:
+    """Spans of card numbers in a run of digits that single spaces and hyphens part.
+
+    They start and end at separators, have 13 to 19 digits and a valid check digit. Of those that
+    overlap, one grouped as cards are comes first, then that with most digits, then the first.
+    """
+    parts = [m.span() for m in re.finditer(r"\d+", run)]
+    found = []
+    for i, (start, _) in enumerate(parts):
+        digits, groups = "", []
+        for low, end in parts[i:]:
+            digits += normal("card", run[low:end])
+            groups.append(end - low)
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13 and luhn(digits[:-1]) == int(digits[-1]):
+                usual = len(groups) == 1 or groups == [4, 6, 5] or set(groups[:-1]) == {4} and groups[-1] <= 4 and len(digits) >= 16
+                found.append((not usual, -len(digits), start, end))
+    taken: list[tuple[int, int]] = []
+    free = bytearray(b"\1") * len(run)
+    for _, _, start, end in sorted(found):
+        if 0 not in free[start:end]:
+            taken.append((start, end))
+            free[start:end] = bytes(end - start)
+    return sorted(taken)
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order, without overlap; earlier kinds win."""
     found: list[tuple[int, int, str]] = []
@@ -232,10 +259,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             text, at = "".join([*parts, text[last:]]), len(found)
         for m in pattern.finditer(text):
             if kind == "card":
-                digits = normal("card", m[0])
-                if luhn(digits[:-1]) != int(digits[-1]):
-                    continue  # a number that no card has
-                add(*m.span(), kind)
+                for start, end in cards(m[0]):
+                    add(m.start() + start, m.start() + end, kind)
             elif kind == "name":
                 if m["s"] in _GENDER:
                     continue  # given names alone are words as often as names

@@ -154,6 +154,14 @@ def test_surrogates(spark):
     assert pii.replace(docs.limit(0)).count() == 0
 
 
+def test_cards_beside_other_numbers():
+    card = "4041 8949 7460 8795"
+    for text in (f"row 12 {card} now", f"{card} 12 units", f"12 34 56 {card} 1 2", f"no. 1234-{card}", f"{card} {card}", card.replace(" ", "-")):
+        found = [text[s:e].replace("-", " ") for s, e, k in pii.detect(text) if k == "card"]
+        assert found == [card] * text.replace("-", " ").count(card), text
+    assert not pii.detect("1234567812345678 and 12345678901234567890123")
+
+
 def test_the_screen_lets_every_kind_through(spark):
     texts = [
         "встретил Ольга Петрова дома", "Ольга Петрова", "my password: correcthorse ok", "my Secret\u00a0: correcthorse ok", "see ghp_abcdefghijklmnopqrst now", "sk-abcdefghijklmnopqrst",
