@@ -262,14 +262,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 for start, end in cards(m[0]):
                     add(m.start() + start, m.start() + end, kind)
             elif kind == "name":
-                if m["s"] in _GENDER:
-                    continue  # given names alone are words as often as names
                 parts = m["n"] or f"{m['g']}{m['s']}"
                 at = m.start("n") if m["n"] else m.start("g")
                 words, gender = parts.split(" "), _TITLE.get(m["t"] or "", "")
                 for i, word in enumerate(words):
                     own = _GENDER.get(word)
-                    given = own and (i < len(words) - 1 or not m["n"]) and gender in ("", own[0])
+                    given = own and i < len(words) - 1 and gender in ("", own[0])
                     add(at, at + len(word), f"given-{own[0]}-{own[1]}" if given else "name")
                     at += len(word) + 1
             elif kind == "secret":

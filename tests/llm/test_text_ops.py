@@ -154,6 +154,12 @@ def test_surrogates(spark):
     assert pii.replace(docs.limit(0)).count() == 0
 
 
+def test_surnames_that_are_given_names_too():
+    for text in ("Emma Thomas", "Laura Martin", "David James", "Linda Albert", "Anna Maria Paul"):
+        assert [k for _, _, k in pii.detect(f"so {text} said")] == [*["given-%s-latin" % ("m" if text[0] == "D" else "f")] * text.count(" "), "name"]
+    assert not pii.detect("so Emma said")
+
+
 def test_cards_beside_other_numbers():
     card = "4041 8949 7460 8795"
     for text in (f"row 12 {card} now", f"{card} 12 units", f"12 34 56 {card} 1 2", f"no. 1234-{card}", f"{card} {card}", card.replace(" ", "-")):
