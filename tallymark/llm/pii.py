@@ -10,7 +10,10 @@ is put back.
 
 Collisions: a registry of the corpus' distinct entities is checked, kind by kind. Two entities
 with one surrogate, or a surrogate that is itself an entity of the corpus, make one of them
-take another key (``attempt``), until none is left. Only entities with an attempt above 0, normally very few, travel
+take another key (``attempt``), until none is left. Formats of fewer than ``ROOMY`` strings are dealt
+out exactly (``dealt``); no other name becomes a given name of the lists. Where a format has too few
+free strings, like a list whose names all occur, surrogates are distinct and nobody's own, but
+are other entities' strings. Only entities with an attempt above 0, normally very few, travel
 back to the texts: by broadcast up to ``BROADCAST_ATTEMPTS``, by a join beyond.
 
 Defined results: a null text stays null. Repeated rows are replaced alike. Extra columns are kept
@@ -25,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -38,7 +42,7 @@ from tallymark.llm.store import settle
 KEY = "tallymark"
 BROADCAST_ATTEMPTS = 20_000
 MAX_ROUNDS = 20
-#: Formats with fewer strings than this cannot avoid the corpus' own entities.
+#: Formats with fewer strings than this are dealt out whole, each in one group; they may be too full to avoid the corpus' own entities.
 ROOMY = 1_000_000
 ROUNDS = 8
 
@@ -127,20 +131,30 @@ def _alphabet(sign: str, names: bool) -> str | None:
     return None
 
 
-def permute_text(text: str, key: str, alphabets: list[str | None]) -> tuple[str, int]:
-    """Permute the strings of this format; signs without an alphabet stay. Also how many there are."""
+def _strings(text: str, alphabets: list[str | None]) -> tuple[str, int, int, Callable[[int], str]]:
+    """The format of a text, its place among the strings of that format, how many those are, and the string of a place."""
     size, x = 1, 0
     for sign, letters in zip(text, alphabets, strict=True):
         if letters:
             x, size = x * len(letters) + letters.index(sign), size * len(letters)
-    layout = "".join("." if a else c for c, a in zip(text, alphabets, strict=True))
-    y, out = permute(x, size, f"{key}|{layout}|{[len(a) if a else 0 for a in alphabets]}"), []
-    for sign, letters in zip(reversed(text), reversed(alphabets), strict=True):
-        if letters:
-            y, r = divmod(y, len(letters))
-            sign = letters[r]
-        out.append(sign)
-    return "".join(reversed(out)), size
+    fixed = "".join("." if a else c for c, a in zip(text, alphabets, strict=True))
+
+    def spell(y: int) -> str:
+        out = []
+        for sign, letters in zip(reversed(text), reversed(alphabets), strict=True):
+            if letters:
+                y, k = divmod(y, len(letters))
+                sign = letters[k]
+            out.append(sign)
+        return "".join(reversed(out))
+
+    return f"{fixed}|{[(a[0], len(a)) if a else 0 for a in alphabets]}", x, size, spell
+
+
+def permute_text(text: str, key: str, alphabets: list[str | None]) -> tuple[str, int]:
+    """Permute the strings of this format; signs without an alphabet stay. Also how many there are."""
+    layout, x, size, spell = _strings(text, alphabets)
+    return spell(permute(x, size, f"{key}|{layout}")), size
 
 
 def _private(x: int) -> tuple[int, int] | None:
@@ -151,49 +165,102 @@ def _private(x: int) -> tuple[int, int] | None:
     return None
 
 
-def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> tuple[str, int]:
-    """The surrogate of an entity in normal form, and how many strings its format has."""
-    key = f"{key}|{kind}|{attempt}"
+def _dotted(x: int) -> str:
+    return ".".join(map(str, x.to_bytes(4, "big")))
+
+
+def spelled(kind: str, value: str) -> tuple[str, int, int, Callable[[int], str]]:
+    """What ``_strings`` says, for an entity in normal form."""
+
+    def inside(head: str, body: str, alphabets: list[str | None], tail: Callable[[str], str] = lambda new: "", note: str = ""):
+        layout, x, size, spell = _strings(body, alphabets)
+
+        def whole(y: int) -> str:
+            new = head + spell(y)
+            return new + tail(new)
+
+        return f"{head}|{note}|{layout}", x, size, whole
+
     if kind == "ip":
         x = int.from_bytes(bytes(map(int, value.split("."))), "big")
-        inside = _private(x)
-        if inside:
-            y, size = inside[0] + permute(x - inside[0], inside[1], f"{key}|{inside[0]}"), inside[1]
-        else:
-            size, y = 1 << 32, permute(x, 1 << 32, key)
-            while _private(y):
-                y = permute(y, 1 << 32, key)
-        return ".".join(map(str, y.to_bytes(4, "big"))), size
+        low, size = _private(x) or (0, 1 << 32)
+        return f"{low}/{size}", x - low, size, lambda y: _dotted(low + y)
     if kind == "card":
         valid = luhn(value[:-1]) == int(value[-1])
         body = value[1:-1] if valid else value[1:]
-        new, size = permute_text(body, f"{key}|{value[0]}|{valid}", [ALPHABETS["digit"]] * len(body))
-        new = value[0] + new
-        return new + (str(luhn(new)) if valid else ""), size
+        return inside(value[0], body, [ALPHABETS["digit"]] * len(body), lambda new: str(luhn(new)) if valid else "", str(valid))
     if kind == "phone":
         country = len(value) - 10 if value.startswith("+") and len(value) > 11 else 1 if value.startswith("+") else 0
         fixed, body = value[: max(country, 0)], value[max(country, 0) :]
-        new, size = permute_text(body, f"{key}|{fixed}", [ALPHABETS["digit"] if c.isdigit() else None for c in body])
-        return fixed + new, size
+        return inside(fixed, body, [ALPHABETS["digit"] if c.isdigit() else None for c in body])
     if kind == "email":
         local, _, host = value.rpartition("@")
         names, _, top = host.rpartition(".")
         whole = f"{local}@{names}"
-        new, size = permute_text(whole, f"{key}|{top}", [_alphabet(c, False) for c in whole])
-        return f"{new}.{top}", size
+        return inside("", whole, [_alphabet(c, False) for c in whole], lambda new: f".{top}", top)
     if kind.startswith("given"):
         _, gender, script = kind.split("-")
         names = GIVEN[(gender, script)]
-        return names[permute(names.index(value), len(names), key)], len(names)
+        return "list", names.index(value), len(names), names.__getitem__
     if kind == "name":
-        return permute_text(value, key, [_alphabet(c, True) for c in value])
+        return inside("", value, [_alphabet(c, True) for c in value])
     if kind == "secret" and len(value) >= 8 and all(c in HEX for c in value):
-        return permute_text(value, key, [HEX] * len(value))
+        return inside("", value, [HEX] * len(value))
     if kind == "key" and value[:4] in ("AKIA", "ASIA", "AGPA", "AIDA", "AROA"):
-        signs = ALPHABETS["latin_upper"] + ALPHABETS["digit"]
-        new, size = permute_text(value[4:], key, [signs] * (len(value) - 4))
-        return value[:4] + new, size
-    return permute_text(value, key, [_alphabet(c, False) for c in value])
+        return inside(value[:4], value[4:], [ALPHABETS["latin_upper"] + ALPHABETS["digit"]] * (len(value) - 4))
+    return inside("", value, [_alphabet(c, False) for c in value])
+
+
+def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> tuple[str, int]:
+    """The surrogate of an entity in normal form, and how many strings its format has.
+
+    An attempt is another permutation, and in a format that is not roomy so many places further on.
+    """
+    layout, x, size, spell = spelled(kind, value)
+    if size < ROOMY:
+        return spell((permute(x, size, f"{key}|{kind}|0|{layout}") + attempt) % size), size
+    key = f"{key}|{kind}|{attempt}|{layout}"
+    y = permute(x, size, key)
+    while kind == "ip" and size == 1 << 32 and _private(y):
+        y = permute(y, size, key)
+    return spell(y), size
+
+
+@lru_cache(maxsize=1)
+def _listed() -> dict[str, set[int]]:
+    """Places of the given names among the strings of their formats, as other names."""
+    out: dict[str, set[int]] = {}
+    for name in _GENDER:
+        layout, x, _, _ = spelled("name", name)
+        out.setdefault(layout, set()).add(x)
+    return out
+
+
+def dealt(places: list[int], starts: list[int], size: int, taken: set[int], barred: set[int]) -> list[int]:
+    """A place for each entity of one format: from its start on the first that is free.
+
+    Free is what no entity and no other has, is not ``taken`` and not ``barred``. Where that is too
+    little, the entities that get none pass their own strings on in a circle.
+    """
+    n, after = len(places), {t: (t + 1) % size for t in {*places, *taken, *barred}}
+    rest = max(0, n - (size - len(after)))
+    rest = 2 if rest == 1 and n > 1 else rest
+    order, out = sorted(range(n), key=starts.__getitem__), [0] * n
+    for i in order[: n - rest]:
+        t, trail = starts[i], []
+        while t in after:
+            trail.append(t)
+            t = after[t]
+        for u in trail:
+            after[u] = t
+        out[i], after[t] = t, (t + 1) % size
+    circle = order[n - rest :]
+    for i, j in zip(circle, [*circle[1:], *circle[:1]], strict=True):
+        out[i] = places[j]
+    if rest == 1:  # the only entity, and nothing is free
+        x = places[0]
+        out[0] = next((t for d in (barred, ()) for k in range(1, size) if (t := (x + k) % size) not in d), x)
+    return out
 
 
 def normal(kind: str, shown: str) -> str:
@@ -308,26 +375,49 @@ def registry(found: DataFrame, key: str = KEY) -> DataFrame:
     def fill(rows: DataFrame) -> DataFrame:
         def work(batches):
             for batch in batches:
-                got = [surrogate(k, v, a, key) for k, v, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] >= ROOMY for g in got], pa.bool_())], ["kind", "value", "attempt", "surrogate", "roomy"])
-
-        return rows.select("kind", "value", "attempt").mapInArrow(work, "kind string, value string, attempt int, surrogate string, roomy boolean")
-
-    # names share one space: a surrogate of one kind of name must not be another's
-    space = F.when(F.col("kind").startswith("given") | (F.col("kind") == "name"), F.lit("name")).otherwise(F.col("kind"))
-    table = settle(fill(found.select("kind", "value", F.lit(0).alias("attempt"))), "pii-registry")
+                got = []
+                for kind, value, attempt in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    new, size = surrogate(kind, value, attempt, key)
+                    got.append((kind, value, attempt, new, size >= ROOMY, f"{kind}|{spelled(kind, value)[0]}"))
+                    if kind == "name" and value in _GENDER and not attempt:  # a given name's surrogate should not be this
+                        got.append((kind, value, -1, value, False, f"given-{'-'.join(_GENDER[value])}|list"))
+                types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(types)], ["kind", "value", "attempt", "surrogate", "roomy", "layout"])
+
+        return rows.select("kind", "value", "attempt").mapInArrow(work, "kind string, value string, attempt int, surrogate string, roomy boolean, layout string")
+
+    def deal(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("value", "kind", "attempt")), strict=True))
+        own = [(v, k) for v, k, a in rows if a >= 0]
+        out = []
+        if own:
+            forms = [spelled(k, v) for v, k in own]
+            layout, _, size, spell = forms[0]
+            kind = own[0][1]
+            names = GIVEN[tuple(kind.split("-")[1:])] if kind.startswith("given") else []
+            taken = {names.index(v) for v, _, a in rows if a < 0}
+            places = [f[1] for f in forms]
+            starts = [permute(x, size, f"{key}|{kind}|0|{layout}") for x in places]
+            goals = dealt(places, starts, size, taken, _listed().get(layout, set()) if kind == "name" else set())
+            out = [(k, v, (t - s) % size, spell(t)) for (v, k), s, t in zip(own, starts, goals, strict=True)]
+        types = (pa.string(), pa.string(), pa.int32(), pa.string())
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["kind", "value", "attempt", "surrogate"])
+
+    every = settle(fill(found.select("kind", "value", F.lit(0).alias("attempt"))), "pii-registry")
+    small = settle(every.where("not roomy").groupBy("layout").applyInArrow(deal, "kind string, value string, attempt int, surrogate string"), "pii-small")
+    table = every.where("roomy").drop("roomy", "layout")
+    given = (F.col("kind") == "name") & F.col("surrogate").isin(sorted(_GENDER))
     for _ in range(MAX_ROUNDS):
-        at = table.withColumn("space", space)
-        real = at.select("space", F.col("value").alias("surrogate")).distinct().withColumn("real", F.lit(True))
+        real = table.select("kind", F.col("value").alias("surrogate")).distinct().withColumn("real", F.lit(True))
         # the entity with the fewest attempts keeps a surrogate that several have
-        first = at.groupBy("space", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        judged = at.join(real, ["space", "surrogate"], "left").join(first, ["space", "surrogate"], "left")
-        again = F.coalesce(F.col("real") & F.col("roomy"), F.lit(False)) | F.coalesce((F.col("first.value") != F.col("value")) & F.col("roomy"), F.lit(False))
-        judged = judged.select("kind", "value", "attempt", "surrogate", "roomy", again.alias("again"))
+        first = table.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        judged = table.join(real, ["kind", "surrogate"], "left").join(first, ["kind", "surrogate"], "left")
+        again = F.coalesce(F.col("real"), F.lit(False)) | F.coalesce(F.col("first.value") != F.col("value"), F.lit(False)) | given
+        judged = judged.select("kind", "value", "attempt", "surrogate", again.alias("again"))
         if not judged.where("again").limit(1).count():
-            return table
+            return table.unionByName(small)
         judged = settle(judged, "pii-judged")
-        moved = fill(judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
+        moved = fill(judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))).drop("roomy", "layout")
         table = settle(judged.where("not again").drop("again").unionByName(moved), "pii-registry")
     raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
 

@@ -160,6 +160,20 @@ def test_surnames_that_are_given_names_too():
     assert not pii.detect("so Emma said")
 
 
+def test_small_formats_are_dealt_without_collisions(spark):
+    given = [(f"given-{g}-{s}", n) for (g, s), names in pii.GIVEN.items() for n in names]
+    names = [("name", f"{a}{b}") for a in "BCDFGHKLM" for b in "aeio"] + [("name", n) for n in ("Eva", "Ana", "Jon", "Paul", "Anna", "Martin")]
+    others = [("secret", f"{i:04}") for i in range(0, 6000, 2)] + [("ip", f"192.168.{i}.{j}") for i in range(40) for j in range(20)]
+    found = spark.createDataFrame(given + names + others, "kind string, value string")
+    got = pii.registry(found).collect()
+    assert len(got) == len(given + names + others) == len({(r["kind"].split("-")[0].replace("given", r["kind"]), r["surrogate"]) for r in got})
+    assert not [r for r in got if r["value"] == r["surrogate"]]
+    assert all(pii.surrogate(r["kind"], r["value"], r["attempt"])[0] == r["surrogate"] for r in got)
+    real = {v for _, v in others + names}
+    assert not [r for r in got if r["surrogate"] in real and not r["kind"].startswith("given")]
+    assert not [r for r in got if r["kind"] == "name" and r["surrogate"] in pii._GENDER]
+
+
 def test_cards_beside_other_numbers():
     card = "4041 8949 7460 8795"
     for text in (f"row 12 {card} now", f"{card} 12 units", f"12 34 56 {card} 1 2", f"no. 1234-{card}", f"{card} {card}", card.replace(" ", "-")):
