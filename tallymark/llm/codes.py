@@ -11,9 +11,7 @@ import pyarrow.compute as pc
 #: Code points that are worked on at once; a longer text is a batch of its own.
 BATCH_CHARS = 1 << 18
 BATCH_ROWS = 1 << 14
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,16 +58,45 @@ def word_spans(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def run_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run, from running sums of a polynomial modulo 2**64 in a fixed odd base."""
-    n = len(cps) + 1
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_P, _P_INVERSE)):
-            table = np.full(max(n, BATCH_CHARS + BATCH_ROWS + 1), base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    sums = np.zeros(n, np.uint64)
-    np.cumsum((cps + np.uint32(1)) * _powers[0][: n - 1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each run: the sum over its signs of what sign and place together are mixed to.
+
+    No product carries over from one sign to the next, so that patterns such as the Thue-Morse
+    sequence do not cancel out. Runs come in order and do not overlap.
+    """
+    n = len(cps)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    begin = np.zeros(n, np.int64)
+    begin[starts] = np.diff(starts, prepend=0)
+    place = (np.arange(n) - np.cumsum(begin)).astype(np.uint64)
+    place *= _ODD
+    place += cps
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed(place), out=sums[1:])
+    return mixed(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
+
+
+def distinct_runs(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a run of each kind, the kind of each run, hashes): two runs are of one kind only if all their signs are equal.
+
+    Equal hashes are compared sign by sign; if ever two runs with one hash differ, all are told apart by their signs.
+    """
+    hashes = run_hashes(cps, starts, ends)
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    size, twin = ends - starts, first[which]
+    other = np.flatnonzero(twin != np.arange(len(starts)))
+    alike = (size[other] == size[twin[other]]).all()
+    for i in range(0, len(other), BATCH_ROWS) if alike else ():
+        part = other[i : i + BATCH_ROWS]
+        at, n = flat_ranges(size[part]), size[part]
+        if (cps[np.repeat(starts[part], n) + at] != cps[np.repeat(starts[twin[part]], n) + at]).any():
+            alike = False
+            break
+    if not alike:
+        known: dict[bytes, int] = {}
+        which = np.array([known.setdefault(cps[s:e].tobytes(), len(known)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        _, first = np.unique(which, return_index=True)
+    return first, which, hashes
 
 
 def owner(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -227,11 +227,18 @@ def encode_batch(texts: list[str | None], path: str, doc_keys: np.ndarray, seed:
     ends = np.append(starts[1:], len(signs))
     text = codes.owner(bounds, starts)
     place = np.arange(len(starts)) - np.searchsorted(starts, bounds[:-1])[text]
-    keys = codes.run_hashes(signs, starts, ends)
+    pick = codes.mixed(doc_keys[text] + (place + 1).astype(np.uint64) * np.uint64(_ODD[1]) + np.uint64(seed))
+    if dropout > 0 and not variants:  # each occurrence by itself
+        keys, at = codes.run_hashes(signs, starts, ends), np.arange(len(starts))
+        which = at
+    else:  # once for each kind, or each variant of a kind
+        at, which, keys = codes.distinct_runs(signs, starts, ends)
+        if dropout > 0:
+            pick %= np.uint64(variants)
+            _, at, which = np.unique(which * variants + pick.astype(np.int64), return_index=True, return_inverse=True)
+        keys = keys[at]
     if dropout > 0:
-        pick = codes.mixed(doc_keys[text] + (place + 1).astype(np.uint64) * np.uint64(_ODD[1]) + np.uint64(seed))
-        keys = codes.mixed(keys + (pick % np.uint64(variants) if variants else pick) * np.uint64(_ODD[2]) + np.uint64(seed))
-    keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        keys = codes.mixed(keys + pick[at] * np.uint64(_ODD[2]) + np.uint64(seed))
     first, size = starts[at], (ends - starts)[at]
     counts = np.zeros(len(at), np.int64)
     blocks: list[tuple[np.ndarray, np.ndarray]] = []  # rows, and their pieces in that order

@@ -4,9 +4,11 @@
    reduced to their distinct pre-tokens before the shuffle.
 2. Each distinct pre-token is cut into pieces once, by the tokenizer library's own model, and
    only the number of pieces is kept.
-3. Texts are reduced to (document, pre-token, frequency). The ``HEAD`` most frequent
-   pre-tokens, a fixed number, are joined by broadcast; all others, however many, by a
-   shuffled join on the pre-token. Sums by document follow. No ids are made for any document.
+3. Texts are reduced to (document, pre-token, frequency). The most frequent pre-tokens, at most
+   ``HEAD`` with ``HEAD_CHARS`` characters, are joined by broadcast; all others, however many,
+   by a shuffled join on the pre-token. Sums by document follow. No ids are made for any document.
+
+Pre-tokens are told apart by their signs; hashes only find equal ones faster.
 
 Pre-tokens are split as byte-level BPE splits them (contractions, letters, digits, other
 signs, white space), by classes of code points that are read off the tokenizer itself, so that its
@@ -30,10 +32,10 @@ from pyspark.sql import functions as F
 from tallymark.llm import codes
 from tallymark.llm.store import settle
 
-#: Pre-tokens that are broadcast with their counts: about 2 MB.
-HEAD = 65_536
-#: Longest pre-token that may be in the head, in characters.
-HEAD_CHARS = 32
+#: Pre-tokens that are broadcast with their counts, and their characters together, at most.
+HEAD, HEAD_CHARS = 65_536, 4_000_000
+#: A longer pre-token is never in the head; each place where it stands is that much text.
+LONGEST = 4096
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Distinct pre-tokens that a task holds before it hands them on.
 FLUSH = 300_000
@@ -142,8 +144,7 @@ def _reduced(texts: list[str | None], path: str):
     parts, rows, found = _parts(texts, special)
     cps, offsets = codes.points(parts)
     starts, ends = pretoken_spans(cps, offsets, classes(path, cps))
-    hashes = codes.run_hashes(cps, starts, ends)
-    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    at, which, _ = codes.distinct_runs(cps, starts, ends)
     joined = "".join(parts)
     words = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
     row = rows[codes.owner(offsets, starts)] if len(starts) else np.zeros(0, np.int64)
@@ -189,15 +190,17 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     """doc_id, n_bytes, n_tokens, over_limit for each row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     vocab = vocabulary(rows, path)
-    short = vocab.where(F.length("pretoken") <= HEAD_CHARS)
+    short = vocab.where(F.length("pretoken") <= LONGEST)
     # how many pre-tokens there are of each order of frequency: some hundred rows; then those of
-    # the highest orders that are at most ``head`` together, from wherever they are
+    # the highest orders that are within the bounds together, from wherever they are
     order = F.floor(F.log2(F.col("freq")) * 16).cast("int")
-    short, room, cut = short.select("pretoken", "n_pieces", order.alias("order")), head, None
-    for found in sorted(short.groupBy("order").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["order"]):
-        if (room := room - found["n"]) < 0:
+    short, room, chars, cut = short.select("pretoken", "n_pieces", order.alias("order")), head, HEAD_CHARS, None
+    found = short.groupBy("order").agg(F.count("*").alias("n"), F.sum(F.length("pretoken")).alias("chars"))
+    for row in sorted(found.collect(), key=lambda r: -r["order"]):
+        room, chars = room - row["n"], chars - row["chars"]
+        if room < 0 or chars < 0:
             break
-        cut = found["order"]
+        cut = row["order"]
     known = {} if cut is None else {r["pretoken"]: r["n_pieces"] for r in short.where(F.col("order") >= cut).select("pretoken", "n_pieces").collect()}
     shared = docs.sparkSession.sparkContext.broadcast(known)
 

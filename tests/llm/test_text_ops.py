@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm import codes, pieces, pii, quality, tokens
+from tallymark.llm import codes, neardup, pieces, pii, quality, tokens
 from tallymark.llm.queries import tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,6 +59,44 @@ def test_keep_and_ablations(docs):
         assert row["n_only"] == sum(r["failures"] & quality.mask("v1") == quality.bit(row["rule"]) for r in entries)
 
 
+def thue_morse(n):
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_runs_are_told_apart_by_their_signs(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse(1024)
+    path, library = tokenizer("byte_bpe_50k.json"), Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}")], "doc_id long, text string")
+    for constant in (False, True):
+        if constant:  # even if all hashes were equal
+            monkeypatch.setattr(codes, "run_hashes", lambda cps, starts, ends: np.zeros(len(starts), np.uint64))
+        words, row, which, counts, _ = tokens._reduced([a, b, f"{a} {b}", a], path)
+        assert sorted(words) == sorted([a, b, f" {b}"])
+        assert [(words[w], n) for r, w, n in zip(row, which, counts) if r == 3] == [(a, 1)]
+        for dropout in (0.0, 0.2):
+            ids, ends = pieces.encode_batch([a, b], tokenizer("piece_bpe_32k.model"), np.arange(2).astype(np.uint64), dropout=dropout)
+            assert pieces.decode_batch(ids, ends, tokenizer("piece_bpe_32k.model")) == [a, b]
+    monkeypatch.undo()
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, path).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in ((1, a), (2, b), (3, f"{a} {b}"))}
+    left, right = (set(neardup.shingle_sets([f"{x} b c d e"])[1].tolist()) for x in (a, b))
+    assert left != right
+
+
+def test_long_pretokens_may_be_in_the_head(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "=" * 700 + f" w{i}") for i in range(40)] + [(99, "-" * 5000)], "doc_id long, text string")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    for chars in (tokens.HEAD_CHARS, 100):
+        monkeypatch.setattr(tokens, "HEAD_CHARS", chars)
+        got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, tokenizer("byte_bpe_50k.json")).collect()}
+        assert got == {r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) for r in docs.collect()}
+
+
 def test_token_counts_equal_the_library(docs):
     from tokenizers import Tokenizer
 
@@ -119,6 +157,50 @@ def test_each_occurrence_and_each_copy_is_drawn_by_itself(spark):
     assert got[0] != got[1] == got[2]
 
 
+def plain_merge_dropout(m, symbols, key, dropout):
+    """The definition, step by step and slowly: of all neighbours that a piece joins and whose draw lets them, the best merges."""
+    mask = 2**64 - 1
+
+    def draw(i, j, k):
+        x = (key + i * 0x9E3779B97F4A7C15 + j * 0xD1B54A32D192ED03 + k * 0x8CB92BA72F3D8DD7) & mask
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return ((x ^ x >> 31) >> 11) / 2**53
+
+    table = dict(zip(m.pairs.tolist(), m.merged.tolist()))
+    parts = [(i, i + 1, p) for i, p in enumerate(symbols)]  # from, to, piece
+    while True:
+        offers = []
+        for n, ((i, j, a), (_, k, b)) in enumerate(zip(parts, parts[1:])):
+            made = table.get(a * m.size + b, -1) if a >= 0 and b >= 0 else -1
+            if made >= 0 and draw(i, j, k) >= dropout:
+                offers.append((int(m.rank[made]), i, n, made))
+        if not offers:
+            return [p for _, _, p in parts]
+        _, _, n, made = min(offers)
+        parts[n : n + 2] = [(parts[n][0], parts[n + 1][1], made)]
+
+
+def test_dropout_follows_the_definition_and_the_library_decodes_it():
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    m, library, rng = pieces.model(path), sentencepiece.SentencePieceProcessor(model_file=path), random.Random(8)
+    for dropout in (0.0, 0.1, 0.4):
+        words = ["\u2581" + "".join(rng.choices("theringaosnd", k=rng.randint(0, 18))) for _ in range(150)]
+        grid = np.full((150, 20), -1)
+        for i, w in enumerate(words):
+            grid[i, : len(w)] = m.sign[[ord(c) for c in w]]
+        sizes, keys = np.array([len(w) for w in words]), np.array([rng.randrange(2**64) for _ in words], np.uint64)
+        ids, alive = pieces.merge_rows(m, grid, sizes, keys, dropout)
+        for i in range(150):
+            want = plain_merge_dropout(m, grid[i, : sizes[i]].tolist(), int(keys[i]), dropout)
+            assert ids[i][alive[i]].tolist() == want == pieces.merge_one(m, grid[i, : sizes[i]].tolist(), int(keys[i]), dropout)
+    texts = ["internationalization of the considerations", "a  b   c", "one"]
+    ids, ends = pieces.encode_batch(texts, path, np.arange(3).astype(np.uint64), dropout=0.3)
+    assert [library.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])] == texts
+
+
 def test_rows_merge_as_the_agenda_does():
     m, rng = pieces.model(tokenizer("piece_bpe_32k.model")), random.Random(1)
     words = ["\u2581" + "".join(rng.choices("theringaosnd", k=rng.randint(0, 19))) for _ in range(300)]
