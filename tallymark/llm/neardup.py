@@ -28,9 +28,9 @@ Classes are the connected components, by label propagation with pointer jumping
 
 Defined results: texts of one to four words have one shingle, all their words; texts without
 words (null, empty, blank) have none and are each a class of its own. Rows that share an id are
-one document. A null id takes part as a negative number made from its text. Class ids are the
-smallest id of the class. Extra columns are ignored, and kept by ``keep_one``. An empty table
-gives an empty one. Whole texts are shingled.
+one document, whose texts are all of one class. Rows with a null id are documents of their own; equal
+sets share a number from 2**62 on. Class ids are the smallest id of the class. Extra columns, of any name,
+are ignored, and kept by ``keep_one``. An empty table gives an empty one. Whole texts are shingled.
 """
 
 from __future__ import annotations
@@ -53,6 +53,9 @@ LEADER_ROUNDS, WORTH = 4, 0.02
 #: Pairs across classes that a bucket may make as rows, as a multiple of its members.
 SPARSE = 4
 BLOCK = 256
+#: Sets that stand for at least this share of the rows, so at most as many as its inverse, are joined by broadcast.
+HOT = 1 / 512
+NAMELESS = 1 << 62
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -103,9 +106,12 @@ def prob_minhash(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_te
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(doc_id, set_a, set_b, n_shingles, bands, shingles, length, mark); shingles are 32-bit and sorted."""
+    """(row, doc_id, set_a, set_b, n_shingles, bands, shingles, length, mark); shingles are 32-bit and sorted, ``row`` is a number of this run."""
 
     def work(batches):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 36
         spread = np.uint64(0xD1B54A32D192ED03) * (2 * np.arange(rows, dtype=np.uint64) + np.uint64(1))
         salts = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         keyed = lambda held, n: codes.mixed((held.reshape(n, bands, rows) * spread).sum(2, dtype=np.uint64) + salts)
@@ -129,15 +135,16 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 a, b = (codes.mixed(s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums)
                 # 32 bits that keep the order of the sorted 48
                 short = ((shingle >> np.uint64(16)).astype(np.int64) - (1 << 31)).astype(np.int32)
+                at += n
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(a), pa.array(b), pa.array(size.astype(np.int64)),
+                    [pa.array(np.arange(at - n, at)), part.column(0), pa.array(a), pa.array(b), pa.array(size.astype(np.int64)),
                      pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(named.sum(1))).astype(np.int32)), pa.array(keys[named].view(np.int64))),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(short)), part.column(2), part.column(3)],
-                    ["doc_id", "set_a", "set_b", "n_shingles", "bands", "shingles", "length", "mark"],
+                    ["row", "doc_id", "set_a", "set_b", "n_shingles", "bands", "shingles", "length", "mark"],
                 )
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
-    return slim.mapInArrow(work, "doc_id long, set_a long, set_b long, n_shingles long, bands array<long>, shingles array<int>, length int, mark long")
+    return slim.mapInArrow(work, "row long, doc_id long, set_a long, set_b long, n_shingles long, bands array<long>, shingles array<int>, length int, mark long")
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
@@ -167,11 +174,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Classes:
-    """The classes so far: (node, class) of all nodes in ``crowd``, and how links change them."""
+    """The classes so far: (node, class) of all nodes that links may reach, and how links change them."""
 
-    def __init__(self, crowd: DataFrame, sets: DataFrame, threshold: float):
+    def __init__(self, crowd: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float):
         self.crowd, self.sets, self.threshold = crowd, sets, threshold
-        self.of = settle(crowd.select("node", F.col("node").alias("class")).distinct(), "dup-classes")
+        self.of = settle(nodes.select("node", F.col("node").alias("class")), "dup-classes")
 
     def placed(self) -> DataFrame:
         """Rows (key, node, class) of the buckets that still hold several classes."""
@@ -187,8 +194,12 @@ class _Classes:
         held = pairs.join(set_of("a"), "a").join(set_of("b"), "b")
         held = held.where(F.least(n("sa"), n("sb")) >= self.threshold * F.greatest(n("sa"), n("sb")))
         held = held.where(similarity(F.col("sa"), F.col("sb")) >= self.threshold).select("a", "b")
+        return self.merge(held)
+
+    def merge(self, pairs: DataFrame) -> int:
+        """Merge the classes of pairs (a, b) of nodes; how many classes went."""
         at = lambda name: self.of.select(F.col("node").alias(name), F.col("class").alias(f"c{name}"))
-        merged = held.join(at("a"), "a").join(at("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = pairs.join(at("a"), "a").join(at("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         merged = settle(merged.distinct(), "dup-merged")
         if not merged.limit(1).count():
             return 0
@@ -275,28 +286,50 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return _classed(docs, id_col, text_col, threshold, sparse, leader_rounds).select("doc_id", "class_id", "n_shingles")
 
 
+def _by_set(rows: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """``rows`` with what ``sets`` (set_a, set_b, n, ...) says about their set; those of the most frequent sets meet it by broadcast."""
+    hot = F.col("n") >= max(HOT * total, 1000)
+    often = F.broadcast(sets.where(hot).drop("n"))  # 1 / HOT rows at most
+    few = rows.join(often.select("set_a", "set_b"), ["set_a", "set_b"], "left_anti").join(sets.where(~hot).drop("n"), ["set_a", "set_b"])
+    return few.unionByName(rows.join(often, ["set_a", "set_b"]))
+
+
 def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, sparse: float = SPARSE, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """Rows of ``classes`` with their ``row_key``."""
     signed = signatures(docs, id_col, text_col)
-    own = F.coalesce("doc_id", F.when(F.col("set_a") < 0, F.col("set_a")).otherwise(-F.col("set_a") - 1))
+    own = F.coalesce("doc_id", F.col("set_a").bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS))
     signed = settle(signed.select("*", own.alias("own")), "dup-signatures")
-    # one node for each shingle set, named by the smallest id that has it
     full = signed.where("n_shingles > 0")
-    first = full.groupBy("set_a", "set_b").agg(F.min("own").alias("node"))
-    nodes = full.join(first, ["set_a", "set_b"]).where("own = node").dropDuplicates(["set_a", "set_b"])
+    # one node for each shingle set, named by the number of the row that stands for it
+    first = full.groupBy("set_a", "set_b").agg(F.min(F.struct("own", "mark", "row")).alias("first"), F.count("*").alias("n"))
+    first = settle(first.select("set_a", "set_b", F.col("first.row").alias("node"), F.col("first.own").alias("low"), "n"), "dup-nodes")
+    nodes = full.withColumnRenamed("row", "node").join(first.select("node"), "node", "left_semi")
     banded = settle(nodes.select("node", F.explode("bands").alias("key")), "dup-bands")
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     crowd = settle(banded.join(shared, "key").distinct(), "dup-crowd")
     members = settle(crowd.select("node").distinct(), "dup-members")
-    sets = full.select(F.col("own").alias("node"), "set_a", "set_b", "shingles").join(first, ["node", "set_a", "set_b"], "left_semi")
-    sets = settle(sets.join(members, "node", "left_semi").dropDuplicates(["node", "set_a", "set_b"]).select("node", "shingles"), "dup-sets")
-    found = _Classes(crowd, sets, threshold)
-    total = found.of.count()
-    for turn in range(leader_rounds if total else 0):
+    sets = settle(nodes.join(members, "node", "left_semi").select("node", "shingles"), "dup-sets")
+    # ids with several sets: these are one document
+    total = signed.count()
+    same = full.groupBy("own").agg(F.min(F.struct("set_a", "set_b")).alias("low"), F.max(F.struct("set_a", "set_b")).alias("high")).where("low <> high").select("own")
+    same = settle(same, "dup-shared-ids")
+    several = same.limit(1).count() > 0
+    star = None
+    if several:
+        rows = full.join(same, "own", "left_semi").select("own", "set_a", "set_b").distinct()
+        rows = settle(rows.join(first.select("set_a", "set_b", "node"), ["set_a", "set_b"]), "dup-shared-sets")
+        hubs = rows.groupBy("own").agg(F.min("node").alias("a"))
+        star = settle(rows.join(hubs, "own").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "dup-shared")
+        members = members.union(star.select("a")).union(star.select("b")).distinct()
+    found = _Classes(crowd, members, sets, threshold)
+    if star is not None:
+        found.merge(star)
+    linked = found.of.count()
+    for turn in range(leader_rounds if linked else 0):
         rows = found.placed()
-        if found.link(_leaders(rows, turn)) < WORTH * total:
+        if found.link(_leaders(rows, turn)) < WORTH * linked:
             break
-    if total:
+    if linked:
         few, dense = _split(found.placed(), sparse)
         found.link(_across(few))
         left = settle(dense.select("node").distinct().join(found.of, "node"), "dup-left")
@@ -304,22 +337,33 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, spar
             few, dense = _split(settle(_rarest(left, sets, threshold), "dup-rare"), sparse)
             found.link(_across(few))
             found.link(settle(_in_blocks(dense, sets, threshold), "dup-blocks"))
-    # every row's class: that of its set's node, and rows without words are their own
-    named = first.join(found.of, "node", "left").select("set_a", "set_b", F.coalesce("class", "node").alias("class_id"))
-    # rows that share an id but not a text connect their classes
-    return signed.select("doc_id", "own", "set_a", "set_b", "n_shingles", "length", "mark").join(named, ["set_a", "set_b"], "left").select(
-        "doc_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("own")).alias("class_id"), "n_shingles", "length", "mark"
-    )
+    # a class is named by the smallest id in it; every row's class is that of its set's node
+    named = first.join(found.of, "node", "left").select("set_a", "set_b", "low", "n", F.coalesce("class", "node").alias("class"))
+    named = settle(named, "dup-named")
+    names = named.groupBy("class").agg(F.min("low").alias("class_id"))
+    named = settle(named.join(names, "class").select("set_a", "set_b", "n", "class_id"), "dup-class-ids")
+    columns = ["doc_id", "own", "set_a", "set_b", "n_shingles", "length", "mark"]
+    out = _by_set(full.select(columns), named, total).unionByName(signed.where("n_shingles = 0").select(*columns, F.col("own").alias("class_id")))
+    if several or signed.where("n_shingles = 0").limit(1).count():
+        # rows without words go to the class of the other rows of their id, if it has any
+        bare = out.where("n_shingles = 0").select("own").distinct()
+        worded = out.where("n_shingles > 0").join(bare, "own", "left_semi").groupBy("own").agg(F.min("class_id").alias("other"))
+        worded = settle(worded, "dup-bare")
+        if worded.limit(1).count():
+            out = out.join(worded, "own", "left").withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.coalesce("other", "class_id")))
+    return out.select("doc_id", "class_id", "n_shingles", "length", "mark")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with its own columns: that of the smallest id, and of its texts the longest; null ids come last."""
+    names = docs.columns
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), (-F.col("length")).alias("short"), "mark")
     kept = _classed(docs, "doc_id", "text", threshold).groupBy("class_id").agg(F.min(order).alias("first"))
-    kept = settle(kept.select(F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark")), "dup-kept")
+    kept = settle(kept.select(F.col("first.id").alias("kept_id"), F.col("first.mark").alias("kept_mark")), "dup-kept")
     # rows with equal id and text have one class and one key
-    mark = row_key("doc_id", "text")[1]
-    rows = docs.select("*", F.col("doc_id").cast("long").alias("__own"), mark.alias("__key"))
-    rows = rows.join(kept, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__mark")), "left_semi")
-    rows = rows.select("*", F.row_number().over(Window.partitionBy("__own", "__key").orderBy("text")).alias("__n"))
-    return rows.where("__n = 1").drop("__n", "__own", "__key")
+    packed = docs.select(F.struct(*[F.col(c) for c in names]).alias("own"), F.col("doc_id").cast("long").alias("kept_id"), row_key("doc_id", "text")[1].alias("kept_mark"))
+    rows = packed.join(kept.withColumnsRenamed({"kept_id": "i", "kept_mark": "m"}), F.col("kept_id").eqNullSafe(F.col("i")) & (F.col("kept_mark") == F.col("m")), "left_semi")
+    hashed = F.lit(0) if "map<" in docs.schema.simpleString() else F.xxhash64("own")  # maps have no hash
+    first = Window.partitionBy("kept_id", "kept_mark").orderBy(hashed)
+    rows = rows.select("own", F.row_number().over(first).alias("n")).where("n = 1")
+    return rows.select(*[F.col("own")[c].alias(c) for c in names])

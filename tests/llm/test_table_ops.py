@@ -210,7 +210,45 @@ def test_one_row_of_each_class_whatever_its_id(spark):
     words = lambda k: " ".join(f"{k}{i}" for i in range(30))
     rows = [(None, words("a")), (7, words("a")), (8, words("a")), (None, words("b")), (None, words("b")), (3, words("c")), (5, words("c")), (5, words("d")), (9, words("e")), (9, words("e"))]
     kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((r["text"][0], r["doc_id"]) for r in kept.collect()) == [("a", 7), ("b", None), ("c", 3), ("d", 5), ("e", 9)]
+    # document 5 is a copy of document 3, with both of its texts
+    assert sorted((r["text"][0], r["doc_id"]) for r in kept.collect()) == [("a", 7), ("b", None), ("c", 3), ("e", 9)]
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """Against union-find over ids: texts that are equal or share an id connect; null ids are documents of their own."""
+    words = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rng = random.Random(4)
+    rows = [(1, words("x")), (4, words("x")), (4, words("y")), (6, words("y")), (8, None), (8, words("y")), (9, ""), (None, words("z")), (None, words("z")), (20, words("z")), (None, words("q")), (None, "")]
+    rows += [(30 + rng.randrange(12), rng.choice([None, *map(words, "abcdefghijklm")])) for _ in range(25)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for n, (i, t) in enumerate(rows):
+        own = i if i is not None else f"row {n}"
+        for other in [t] if t else []:
+            a, b = find(own), find(f"text {other}")
+            root[a] = b
+        find(own)
+    own = [i if i is not None else f"row {n}" for n, (i, t) in enumerate(rows)]
+    least = {}
+    for x in own:
+        if not isinstance(x, str):
+            least[find(x)] = min(x, least.get(find(x), x))
+    docs = spark.createDataFrame([(i, t, n, "c", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, own int, n string, kept_id int")
+    got = collections.Counter((r["doc_id"], r["class_id"] if r["class_id"] < neardup.NAMELESS else None, r["n_shingles"] > 0) for r in neardup.classes(docs).collect())
+    assert got == collections.Counter((i, least.get(find(o)), bool(t)) for o, (i, t) in zip(own, rows))
+    kept = neardup.keep_one(docs).collect()
+    assert collections.Counter(find(own[r["own"]]) for r in kept) == collections.Counter({find(o) for o in own}) and {r["n"] for r in kept} == {"c"}
+
+
+def test_hot_sets_meet_their_class_by_broadcast(spark, monkeypatch):
+    rows = [(i, "the same five words and more " * 2) for i in range(1500)] + [(2000 + i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(50)]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1550 and sum(r["class_id"] == 0 for r in got) == 1500 and all(r["class_id"] == r["doc_id"] for r in got if r["doc_id"] >= 2000)
 
 
 def test_near_copies_with_a_repeated_line(spark):
