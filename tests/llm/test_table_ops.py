@@ -138,6 +138,64 @@ def test_neighbours(spark):
     assert ann.Index(frame.limit(2)).search(frame.limit(2)).count() == 2
 
 
+def diffuse(n, dim=64, seed=1):
+    x = np.random.default_rng(seed).standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_candidates_are_given_up_and_neighbours_are_not():
+    """Recall of abandonment by itself, within one list of all rows, and over lists that bounds of an own list precede."""
+    x = diffuse(5000)
+    q, ids = np.arange(0, 5000, 50), np.arange(5000)
+    turned = (x @ ann.rotation(64, 5)).astype(np.float32)
+    sims = x[q] @ x.T
+    sims[np.arange(100), q] = -9
+    want = [set(np.argsort(-s)[:5].tolist()) for s in sims]
+    lists = ids % 25
+    for epsilon, least in ((ann.EPSILON, 0.99), (0.0, 0.0)):
+        best = np.full((100, 5), np.inf, np.float32)
+        at, row, far, gone = ann.scan(turned[q], q, turned, ids, best, epsilon)
+        hits = sum(len(want[i] & set(row[at == i][np.argsort(far[at == i])][:5].tolist())) for i in range(100))
+        assert gone > 0.2 * 100 * 5000 and hits >= least * 500
+        if not epsilon:
+            assert hits < 490  # too strict a test loses neighbours: it does decide
+    probed = [np.arange(25)] * 100
+    at, row, gone = ann.scan_lists(turned[q], q, probed, np.full(100, np.inf), turned, ids, lists, 5)
+    assert gone > 0.1 * 100 * 5000 and sum(len(want[i] & set(row[at == i].tolist())) for i in range(100)) >= 495
+    near = np.array([2 - 2 * np.sort(s)[-5] for s in sims]) + 1e-6
+    _, _, more = ann.scan_lists(turned[q], q, probed, near, turned, ids, lists, 5)
+    assert more > gone
+
+
+def test_recall_with_the_index(spark):
+    x = diffuse(5000, seed=2)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = ann.Index(frame)
+    got = collections.defaultdict(set)
+    for r in index.search(frame.where("vec_id % 50 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    sims = x[::50] @ x.T
+    sims[np.arange(100), np.arange(0, 5000, 50)] = -9
+    assert index.probes < index.n_lists and sum(len(got[50 * i] & set(np.argsort(-s)[:5].tolist())) for i, s in enumerate(sims)) >= 0.9 * 500
+
+
+def test_queries_with_too_few_read_on(spark):
+    """Tight far clusters of two with one probe: the own list never holds five candidates."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 16))
+    x = np.repeat(base, 2, axis=0) + 1e-3 * rng.standard_normal((120, 16))
+    scale = np.where(np.arange(120) % 3 == 0, 1e-200, np.where(np.arange(120) % 3 == 1, 1e200, 1.0))[:, None]
+    rows = [(i, v.tolist(), "c", 0) for i, v in enumerate(x * scale)] + [(7, (x[7] * scale[7]).tolist(), "c", 0)] * 9 + [(8, base[0].tolist(), "c", 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string, cell int")
+    got = collections.defaultdict(list)
+    for r in ann.Index(frame, probes=1).search(frame).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in set(range(120)) - {8}:
+        assert len({v for v, _ in got[i]}) == 5 and got[i][0][0] == (i ^ 1 if i != 9 else got[i][0][0])
+        assert all(s == pytest.approx(unit[i] @ unit[v], abs=1e-9) for v, s in got[i] if v != 8)
+
+
 def brute_classes(texts):
     def shingles(t):
         w = (t or "").split()
