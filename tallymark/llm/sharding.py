@@ -1,8 +1,9 @@
 """Sharding by a keyed Feistel permutation of global row numbers (operator 5, native).
 
-Rows get gapless global numbers in a reproducible order: by a hash cell of the id, then by
-id, checksum and size inside the cell. Numbers inside a cell come from a window over that cell,
-offsets of cells from a histogram of 4096 cells, so no task sees more than a cell. A
+Rows get gapless global numbers in a reproducible order: by a hash cell of all that is numbered (id,
+size and checksum), then by these inside the cell. Equal rows are counted first, in ``SALTS`` portions,
+and the counts are numbered: by a window over their cell, with offsets of cells from a histogram
+of 4096 cells. So no task sees more than a cell of distinct rows, however many are equal. A
 Feistel network over a rectangle ``a x b >= n`` permutes the numbers; cycle walking takes the
 few places beyond n back into range. Shard and slot are then arithmetic, and
 ``locate`` / ``row_at`` compute them either way without any table.
@@ -10,10 +11,10 @@ few places beyond n back into range. Shard and slot are then arithmetic, and
 Law: ``rows`` - shards differ by one row at most. ``grown_shard`` is null, as moving to more
 shards is not this law's promise.
 
-Defined results: a null text counts as an empty one (size 16, checksum 0); null ids come
-first in their cell; repeated rows get numbers of their own, and as equal rows are
+Defined results: a null text counts as an empty one (size 16, checksum 0); a null id comes
+first in its cell; repeated rows get numbers of their own, and as equal rows are
 interchangeable the table of results is still reproducible. An empty table gives an empty one.
-Extra columns are ignored.
+Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ROUNDS = 6
 P = 2_147_483_647
 #: Steps of cycle walking that the plan unrolls; a walk longer than that raises an error.
 WALK = 64
+#: Portions in which equal rows are counted and numbered.
+SALTS = 64
 
 
 def _keys(seed: int) -> list[tuple[int, int]]:
@@ -116,18 +119,28 @@ def permuted(row: Column, n: int, seed: int = 1) -> Column:
     return F.transform(F.array(walked), lambda y: F.when(y < n, y).otherwise(stuck))[0]
 
 
-def numbered(rows: DataFrame, id_col: str = "doc_id", order: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """``rows`` with a gapless ``row_no`` from 0, and their number."""
-    shown = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    celled = settle(rows.withColumn("cell", F.substring(F.md5(shown), 1, 3)), "shard-rows")
-    counts = celled.groupBy("cell").agg(F.count("*").alias("n"))
-    offsets = counts.select("cell", "n", (F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("offset"))
-    offsets = settle(offsets, "shard-cells")
-    total = offsets.agg(F.sum("n")).first()[0] or 0
-    inside = F.row_number().over(Window.partitionBy("cell").orderBy(F.col(id_col).asc_nulls_first(), *order)) - 1
+def cell_of(*columns: str) -> Column:
+    """One of 4096 cells, three hexadecimal digits, by all of the columns."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]
+    return F.substring(F.md5(F.concat_ws("|", *shown)), 1, 3)
+
+
+def numbered(rows: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, int]:
+    """``rows`` with a gapless ``row_no`` from 0, and their number. Rows are numbered by all their columns, the id first."""
+    names = [id_col, *(c for c in rows.columns if c != id_col)]
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt")
+    counts = rows.select(*names, salt).groupBy(*names, "salt").agg(F.count("*").alias("n"))
+    celled = settle(counts.withColumn("cell", cell_of(*names)), "shard-rows")
+    cells = celled.groupBy("cell").agg(F.sum("n").alias("cell_rows"))
+    before = F.sum("cell_rows").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("cell_rows")
+    offsets = settle(cells.select("cell", "cell_rows", before.alias("offset")), "shard-cells")
+    total = offsets.agg(F.sum("cell_rows")).first()[0] or 0
+    inside = Window.partitionBy("cell").orderBy(*[F.col(c).asc_nulls_first() for c in names], "salt").rowsBetween(Window.unboundedPreceding, 0)
     # 4096 rows at most: the cells are three hexadecimal digits
     placed = celled.join(F.broadcast(offsets.select("cell", "offset")), "cell")
-    return placed.withColumn("row_no", F.col("offset") + inside).drop("cell", "offset"), int(total)
+    placed = placed.select(*names, "n", (F.col("offset") + F.sum("n").over(inside) - F.col("n")).alias("start"))
+    every = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("row_no")
+    return placed.select(*names, every), int(total)
 
 
 def shard(docs: DataFrame, shards: int = 40, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,7 +150,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 1, id_col: str = "doc_i
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    rows, n = numbered(slim, order=("text_crc32", "size"))
+    rows, n = numbered(slim)
     place = F.col("place")
     return rows.select("doc_id", "size", "text_crc32", permuted(F.col("row_no"), n, seed).alias("place")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
