@@ -117,10 +117,15 @@ r AS (
   FROM p),
 b AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 o AS (
-  SELECT host, bad FROM (SELECT host, try_cast(regexp_extract(path, '/([0-9]{1,18})(?:\.html)?/?$', 1) AS BIGINT) AS doc_id FROM p) JOIN b USING (doc_id)),
+  SELECT regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS host, bad FROM (SELECT host, try_cast(regexp_extract(path, '/([0-9]{1,18})(?:\.html)?/?$', 1) AS BIGINT) AS doc_id FROM p) JOIN b USING (doc_id)),
+q AS (
+  SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two, regexp_matches(host, '^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$') AS address,
+         array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN (@SUFFIXES@) AS listed
+  FROM o),
 h AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_last(string_split(host, '.')) AS suffix,
-         CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS k FROM o GROUP BY 1, 2, 3),
+  SELECT host, CASE WHEN address THEN host WHEN listed THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE two END AS domain,
+         CASE WHEN address THEN 'address' WHEN listed THEN two ELSE list_last(string_split(host, '.')) END AS suffix,
+         CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS k FROM q GROUP BY 1, 2, 3),
 dm AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1, 2),
 sx AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM dm GROUP BY 1),
 base AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS p FROM sx),
@@ -139,8 +144,8 @@ bound AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + m2 + 1)) AS
 SELECT page_id, r.host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
        WHEN bound.low > 0.5 THEN 'block' ELSE 'allow' END AS verdict
-FROM r LEFT JOIN bound ON r.host = bound.host
-""",
+FROM r LEFT JOIN bound ON regexp_replace(regexp_replace(regexp_replace(r.host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '') = bound.host
+""".replace("@SUFFIXES@", ", ".join(f"'{s}'" for s in urlfilter.SUFFIXES)),
     "op9_chunked_warc": r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS kept FROM p)

@@ -4,7 +4,12 @@ Reputation: labelled page outcomes (bad or not) are counted by host, pre-aggrega
 shuffle. The bad rate of a suffix is shrunk to the rate of all pages, that of a registered
 domain to its suffix, that of a host to its domain; the strength of each prior comes from the
 spread between the children by the method of moments. A host is blocked if the lower bound of its
-posterior bad rate is above ``LIMIT``: an unknown or barely known host never is.
+posterior bad rate is above ``LIMIT``: an unknown or barely known host never is, and where
+hosts do not differ, so that all are shrunk to one rate, none is.
+
+Names: the reputation of a host is that of its name, without user, port and a dot at the end. The
+suffix of a name is what ``SUFFIXES`` lists, else its last label; its registered domain is one
+label more. An address (IPv4, or IPv6 in brackets) is a domain of its own under one suffix for all.
 
 Rules: a rule fits its host and all subdomains if the url's path starts with the rule's; the
 longest rule that fits decides before any reputation.
@@ -27,6 +32,16 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 LIMIT = 0.5
 Z = 1.645
 STRENGTH = (1.0, 1000.0)
+# Public suffixes of two labels, under which names are registered by anyone.
+SUFFIXES = (
+    "co.uk", "org.uk", "me.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "edu.au", "gov.au", "co.nz", "org.nz", "ac.nz", "govt.nz",
+    "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp", "co.kr", "or.kr", "go.kr", "com.cn", "net.cn", "org.cn", "edu.cn", "gov.cn", "com.tw", "org.tw", "com.hk", "org.hk",
+    "co.in", "net.in", "org.in", "ac.in", "gov.in", "com.sg", "com.my", "co.id", "or.id", "co.th", "com.vn", "com.ph", "com.pk", "com.bd",
+    "com.br", "net.br", "org.br", "gov.br", "com.ar", "com.mx", "org.mx", "com.co", "com.pe", "com.ve", "com.ec", "com.uy",
+    "co.za", "org.za", "co.ke", "com.ng", "com.eg", "com.gh", "com.tr", "org.tr", "co.il", "org.il", "ac.il", "com.sa", "com.ua", "com.pl", "com.pt", "com.es", "com.gr", "com.cy", "com.mt", "co.at", "or.at", "co.hu",
+    "blogspot.com", "wordpress.com", "tumblr.com", "github.io", "gitlab.io", "netlify.app", "vercel.app", "web.app", "herokuapp.com",
+)
+ADDRESS = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,12 +64,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def name_of(host: Column) -> Column:
+    """What a host is known by: no user, no port, no dot at the end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.$", "")
+
+
+def suffix_of(name: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(ADDRESS), F.lit("address")).when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def domain_of(name: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The registered domain: the suffix and one label more, or all there is."""
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(two.isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def _strength(children: DataFrame, parent: list[str]) -> DataFrame:
@@ -72,8 +95,8 @@ def _strength(children: DataFrame, parent: list[str]) -> DataFrame:
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, bad) outcomes to (host, n, k, mean, low): the posterior bad rate and its lower bound."""
-    hosts = outcomes.where("bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("bad").cast("double")).alias("k"))
+    """(host, bad) outcomes to (host, n, k, mean, low): the posterior bad rate and its lower bound, by ``name_of`` hosts."""
+    hosts = outcomes.where("bad is not null").groupBy(name_of(F.col("host")).alias("host")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col("bad").cast("double")).alias("k"))
     hosts = settle(hosts.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")), "url-hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -93,8 +116,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     """(page_id, url) and (host, bad) to page_id, host, path, rule, verdict, bad_rate, bad_rate_low."""
     at = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    ranks = reputation(outcomes).select("host", F.col("mean").alias("bad_rate"), F.col("low").alias("bad_rate_low"))
-    out = at.select("*", rule.alias("rule"), says.alias("says")).join(ranks, "host", "left")
+    ranks = reputation(outcomes).select(F.col("host").alias("name"), F.col("mean").alias("bad_rate"), F.col("low").alias("bad_rate_low"))
+    out = at.select("*", rule.alias("rule"), says.alias("says"), name_of(F.col("host")).alias("name")).join(ranks, "name", "left")
     own = F.when(F.col("bad_rate_low") > limit, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("says", own).alias("verdict"), "bad_rate", "bad_rate_low")
 

@@ -69,6 +69,20 @@ def test_shards(spark):
     assert sharding.shard(docs.limit(0)).count() == 0 and sharding.shard(docs.limit(1)).first()["slot"] == 0
 
 
+def test_shards_are_where_locate_says(spark):
+    """Row numbers by brute force: sorted by cell, id, size and checksum; then every shard and slot."""
+    rows = [(i % 90 if i % 4 else None, f"text {i % 7}" if i % 5 else None, "x", 1) for i in range(400)] + [(None, "hot", "x", 1)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cell string, n int")
+    slim = [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _, _ in rows]
+    cell = lambda r: hashlib.md5("|".join("null" if x is None else str(x) for x in r).encode()).hexdigest()[:3]
+    slim.sort(key=lambda r: (cell(r), r[0] is not None, r[0] or 0, r[1], r[2]))
+    want = collections.Counter((*r, *sharding.locate(n, len(slim), 40)) for n, r in enumerate(slim))
+    got = sharding.shard(docs, shards=40).collect()
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == want
+    numbers, n = sharding.numbered(docs.select("doc_id", "text"))
+    assert n == 700 and sorted(r["row_no"] for r in numbers.collect()) == list(range(700))
+
+
 def test_permutation(spark):
     for n in (1, 2, 3, 10, 97, 1000):
         places = [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n)).collect()]
@@ -94,6 +108,29 @@ def test_urls(spark):
     assert urlfilter.judge(pages.limit(0), outcomes).count() == 0
 
 
+def test_registered_domains(spark):
+    names = {
+        "user:x@a.b.co.uk:8080": ("a.b.co.uk", "b.co.uk", "co.uk"), "b.co.uk.": ("b.co.uk", "b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk", "co.uk"), "www.x.example": ("www.x.example", "x.example", "example"),
+        "10.1.2.3:80": ("10.1.2.3", "10.1.2.3", "address"), "[::1]:80": ("[::1]", "[::1]", "address"), "localhost": ("localhost", "localhost", "localhost"), "": ("", "", ""), "1.2.3.4.com": ("1.2.3.4.com", "4.com", "com"),
+    }
+    host = urlfilter.name_of(F.col("h"))
+    rows = spark.createDataFrame([(h,) for h in names], "h string").select("h", host.alias("n"), urlfilter.domain_of(host).alias("d"), urlfilter.suffix_of(host).alias("s")).collect()
+    assert {r["h"]: (r["n"], r["d"], r["s"]) for r in rows} == names
+
+
+def test_reputation_separates_hosts_and_shrinks_the_unknown(spark):
+    """Domains that differ: bad hosts are blocked, their new sibling is suspected more than a stranger, ports do not matter."""
+    rng = random.Random(2)
+    outcomes = [(f"h{i}.d{d}.co.uk", int(rng.random() < (0.9 if d < 3 else 0.05))) for d in range(30) for i in range(4) for _ in range(40)] + [("new.d0.co.uk:99", 0), ("new.d9.co.uk", 0)]
+    frame = spark.createDataFrame(outcomes, "host string, bad int")
+    rates = {r["host"]: r for r in urlfilter.reputation(frame).collect()}
+    for d in range(30):
+        assert all((rates[f"h{i}.d{d}.co.uk"]["low"] > urlfilter.LIMIT) == (d < 3) for i in range(4))
+    assert rates["new.d0.co.uk"]["mean"] > 0.3 > 0.1 > rates["new.d9.co.uk"]["mean"]
+    pages = spark.createDataFrame([(1, "http://h0.d0.co.uk:7/x"), (2, "http://h0.d5.co.uk/"), (3, "http://other.co.uk/")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, frame).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
 def test_archives(spark, monkeypatch):
     big = "é" * 700_000
     rows = [(1, "http://a/1", big), (2, None, big), (3, "u", None), (None, "http://a\r\nX: y", big), (4, "", "y" * 999), (5, "", "y" * 999), (2, "again", big), (6, "z", "<p>\r\n\r\nWARC/1.1\r\n</p>")]
