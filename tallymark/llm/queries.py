@@ -58,7 +58,7 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(warc.planned(_table(spark, sf_dir, "pages")))
-    return warc.records(warc.read(archives, data=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.records(warc.read(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,31 @@ def test_archives(spark, monkeypatch):
     assert len(parts) == 2 and b"".join(p["data"] for p in parts).decode() == big
     assert [p["payload_digest"] for p in parts] == [hashlib.sha1(big.encode()[: p["payload_bytes"]]).hexdigest() for p in parts]
     assert warc.records(warc.read(warc.write(warc.planned(pages.limit(0))))).count() == 0
+    # small chunks on both sides, and copies joined by shuffle
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    some = warc.write(warc.planned(pages), size=1000)
+    again = warc.read(some, size=700)
+    assert sorted(str((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in warc.records(again).collect()) == want
+    assert again.where("page_id = 2 and url = 'again'").count() == 2000 and max(len(r["data"]) for r in again.collect()) == 700
+    cut = warc.chunked(warc.planned(pages), 1000).collect()
+    assert max(len(r["data"]) for r in cut) == 1000 and sum(r["last"] for r in cut) == len(rows) and sum(len(r["data"]) for r in cut if r["page_id"] == 2) == 2 * 1_400_000
+
+
+def test_damaged_archives_are_an_error(spark):
+    import gzip
+    import os
+
+    pages = spark.createDataFrame([(1, "u", "a" * 5000)], "page_id long, url string, html string")
+    archives = warc.write(warc.planned(pages))
+    path = archives.first()["archive"].removeprefix("file:")
+    with gzip.open(path, "rb") as f:
+        raw = f.read()
+    assert b"WARC-Record-ID" in raw and os.path.getsize(path) < 1000
+    with gzip.open(path, "wb") as f:
+        f.write(raw.replace(b"a" * 5000, b"a" * 4999 + b"b"))
+    assert not warc.records(warc.read(archives), strict=False).first()["intact"]
+    with pytest.raises(Exception, match="damaged record"):
+        warc.records(warc.read(archives)).select("page_id").collect()
 
 
 def test_neighbours(spark):
