@@ -12,20 +12,27 @@ Collisions: a registry of the corpus' distinct entities is checked, kind by kind
 with one surrogate, or a surrogate that is itself an entity of the corpus, make one of them
 take another key (``attempt``), until none is left. Formats of fewer than ``ROOMY`` strings are dealt
 out exactly (``dealt``); no other name becomes a given name of the lists. Where a format has too few
-free strings, like a list whose names all occur, surrogates are distinct and nobody's own, but
-are other entities' strings. Only entities with an attempt above 0, normally very few, travel
-back to the texts: by broadcast up to ``BROADCAST_ATTEMPTS``, by a join beyond.
+free strings, like a list whose names all occur, or one of which the corpus fills a quarter (``CROWDED``),
+surrogates are distinct and nobody's own, but may be other entities' strings. A format of a million strings
+or more that the corpus fills to the last one raises an error. Only entities with an attempt above 0,
+normally very few, travel back to the texts: by broadcast up to ``BROADCAST_ATTEMPTS``, beyond by a
+join on a digest of the text, on which alone its entities depend.
+
+Names: after a title; a known given name and what follows it; two or three capitalised words after words like
+``Name:`` or ``Dear``, or right before an address or number. Numbers of accounts (IBAN) and
+cards need valid check digits, and get them.
 
 Defined results: a null text stays null. Repeated rows are replaced alike. Extra columns are kept
-and may have any name but those that start with two underscores. An empty table gives an empty one.
+and may have any name. An empty table gives an empty one.
 Whole texts are searched; a text is handed to Python's patterns only if a vectorised
-screen, which no entity escapes, finds a digit, one of ``@=:``, the head of a key, or a title
-or given name before a capital in it.
+screen, which no entity escapes, finds a digit, one of ``@=:``, the head of a key, or a title,
+given name or word that introduces names before a capital in it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Callable
@@ -41,10 +48,12 @@ from tallymark.llm.store import settle
 
 KEY = "tallymark"
 BROADCAST_ATTEMPTS = 20_000
-MAX_ROUNDS = 20
+MAX_ROUNDS = 60
 #: Formats with fewer strings than this are dealt out whole, each in one group; they may be too full to avoid the corpus' own entities.
 ROOMY = 1_000_000
 ROUNDS = 8
+#: The share of a format's strings from which surrogates may be entities of the corpus.
+CROWDED = 0.25
 
 # Given names by gender and script, titles by gender.
 GIVEN = {
@@ -58,6 +67,9 @@ TITLES = {
     "m": "Mr Sir Herr Monsieur Señor Sr".split(),
     "": "Dr Prof".split(),
 }
+#: Words after which a name stands if a colon or comma follows them, or a space; and words that are no second surname.
+BEFORE_NAMES, GREETINGS = "name contact attn attention signed sincerely regards author patient employee recipient sender".split(), ["dear"]
+NO_SURNAMES = "The A An And But Or In On At To Of For From By With He She It They We You I Is Was Has Had His Her Its Their This That These Those When Then There Here".split()
 ALPHABETS = {
     "digit": "0123456789",
     "latin_lower": "abcdefghijklmnopqrstuvwxyz", "latin_upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -70,20 +82,27 @@ VOWELS = "aeiouyаеиоуыэюяαειοηυωаеиоу"
 _TITLE = {t: g for g, titles in TITLES.items() for t in titles}
 _GENDER = {n: (g, s) for (g, s), names in GIVEN.items() for n in names}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+(?:-[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+)?"
+_UPPER, _LOWER = "[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ]", "[a-zß-öø-ÿά-ώа-яё]"
+_NAME = rf"{_UPPER}(?:['’]{_UPPER})?{_LOWER}+(?:[-'’]?{_UPPER}{_LOWER}+)*"
+_CUES = "|".join(BEFORE_NAMES)
 #: Tried in this order at each place; a group named v is what is replaced, else all of the match.
 PATTERNS = {
     "email": r"[\w.%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "secret": r"(?i:\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?)(?P<v>[^\s\"'<>,;]{4,}?)(?=[\s\"'<>,;]|\.?$|\.\s)",
     "key": r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA)(?P<k>[0-9A-Z]{16})\b|\b(?:ghp|gho|ghs|xoxb|xoxp|sk)[_-][A-Za-z0-9_-]{16,}",
+    "bearer": r"(?i:\bbearer) +(?=[^\s]*\d)(?P<v>[A-Za-z0-9._~+/-]{12,}=*)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv6": r"(?<![\w:.])(?=[A-Fa-f:]*\d)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d+])\d(?:[ -]?\d){12,}",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "name": rf"\b(?P<t>{'|'.join(sorted(_TITLE, key=len, reverse=True))})\.? (?P<n>{_NAME}(?: {_NAME}){{0,2}})|\b(?P<g>(?:(?:{'|'.join(sorted(_GENDER))}) )+)(?P<s>{_NAME})",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\w.,/:+-])0\d{1,4}[ /-]\d{5,8}(?![\w-])|(?<![\w.,/:+-])0\d(?:[ .-]\d{2}){4}(?![\w-])",
+    "name": rf"\b(?P<t>{'|'.join(sorted(_TITLE, key=len, reverse=True))})\.? (?P<n>{_NAME}(?: {_NAME}){{0,2}})"
+    rf"|\b(?P<g>(?:(?:{'|'.join(sorted(_GENDER))}) )+)(?P<s>{_NAME}(?: (?!(?:{'|'.join(NO_SURNAMES)})\b){_NAME}(?![\w.]))?)"
+    rf"|\b(?:(?i:{_CUES}) ?[:,] ?|(?i:{'|'.join(GREETINGS)}) )(?P<c>{_NAME}(?: {_NAME}){{1,2}})|\b(?P<b>{_NAME}(?: {_NAME}){{1,2}})(?=,? ?[<(\[]?\0)",
 }
 #: For RE2, whose \b and \d know ASCII only: matches wherever one of PATTERNS does.
-_SCREEN = rf"[\p{{Nd}}@=:]|(?:AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]|(?:ghp|gho|ghs|xoxb|xoxp|sk)[_-][A-Za-z0-9_-]|(?:{'|'.join([*_TITLE, *_GENDER])})\.? [A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ]"
+_SCREEN = rf"[\p{{Nd}}@=:]|(?:AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]|(?:ghp|gho|ghs|xoxb|xoxp|sk)[_-][A-Za-z0-9_-]|(?:{'|'.join([*_TITLE, *_GENDER])})\.? {_UPPER}|(?i:{_CUES}) ?, ?{_UPPER}|(?i:{'|'.join(GREETINGS)}) {_UPPER}"
 
 
 @lru_cache(maxsize=1)
@@ -100,6 +119,11 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def iban_check(number: str) -> str:
+    """The two check digits of an account number, given as country and what follows the check digits."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{number[2:]}{number[:2]}00')) % 97:02}"
+
+
 def permute(x: int, size: int, key: str) -> int:
     """A keyed permutation of range(size): a Feistel network over a rectangle, walked into range."""
     if size <= 1:
@@ -177,7 +201,7 @@ def spelled(kind: str, value: str) -> tuple[str, int, int, Callable[[int], str]]
 
         def whole(y: int) -> str:
             new = head + spell(y)
-            return new + tail(new)
+            return new + tail(new) if kind != "iban" else head + iban_check(new) + new[2:]
 
         return f"{head}|{note}|{layout}", x, size, whole
 
@@ -189,8 +213,12 @@ def spelled(kind: str, value: str) -> tuple[str, int, int, Callable[[int], str]]
         valid = luhn(value[:-1]) == int(value[-1])
         body = value[1:-1] if valid else value[1:]
         return inside(value[0], body, [ALPHABETS["digit"]] * len(body), lambda new: str(luhn(new)) if valid else "", str(valid))
+    if kind == "iban":
+        return inside(value[:2], value[4:], [ALPHABETS["digit"] if c.isdigit() else ALPHABETS["latin_upper"] for c in value[4:]], lambda new: "", "check")
+    if kind == "ipv6":
+        return inside(value[:4], value[4:], [HEX] * 28)
     if kind == "phone":
-        country = len(value) - 10 if value.startswith("+") and len(value) > 11 else 1 if value.startswith("+") else 0
+        country = len(value) - 10 if value.startswith("+") and len(value) > 11 else 1 if value[:1] in ("+", "0") else 0
         fixed, body = value[: max(country, 0)], value[max(country, 0) :]
         return inside(fixed, body, [ALPHABETS["digit"] if c.isdigit() else None for c in body])
     if kind == "email":
@@ -269,14 +297,20 @@ def normal(kind: str, shown: str) -> str:
         return "".join(str(int(c)) for c in shown if c.isdigit())
     if kind == "phone":
         return "".join(c if c == "+" else str(int(c)) for c in shown if c.isdigit() or c == "+")
-    return shown.lower() if kind == "email" else shown
+    if kind == "iban":
+        return shown.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(shown).exploded.replace(":", "")
+    return shown.lower() if kind == "email" else shown.replace("’", "'") if kind == "name" else shown
 
 
 def laid_out(kind: str, shown: str, new: str) -> str:
     """A surrogate in the layout of the entity that it stands for."""
-    if kind in ("card", "ssn", "phone"):
+    if kind in ("card", "ssn", "phone", "iban"):
         signs = iter(new)
-        return "".join(next(signs) if c.isdigit() or c == "+" else c for c in shown)
+        return "".join(next(signs) if c.isdigit() or c == "+" or kind == "iban" and c != " " else c for c in shown)
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(":".join(new[i : i + 4] for i in range(0, 32, 4))).compressed
     if kind == "email":
         return "".join(n.upper() if s.isupper() else n for n, s in zip(new, shown, strict=True))
     return new
@@ -309,6 +343,22 @@ def cards(run: str) -> list[tuple[int, int]]:
     return sorted(taken)
 
 
+def account(run: str) -> int:
+    """Where an account number with valid check digits ends that starts the run; 0 if there is none."""
+    for end in range(len(run), 14, -1):
+        value = run[:end].replace(" ", "")
+        if run[end - 1] != " " and (end == len(run) or run[end] == " ") and 15 <= len(value) <= 34 and iban_check(value[:2] + value[4:]) == value[2:4]:
+            return end
+    return 0
+
+
+def address(shown: str) -> bool:
+    try:
+        return len(ipaddress.IPv6Address(shown).compressed) >= 6
+    except ValueError:
+        return False
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order, without overlap; earlier kinds win."""
     found: list[tuple[int, int, str]] = []
@@ -328,16 +378,23 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             if kind == "card":
                 for start, end in cards(m[0]):
                     add(m.start() + start, m.start() + end, kind)
+            elif kind == "iban":
+                if end := account(m[0]):
+                    add(m.start(), m.start() + end, kind)
+            elif kind == "ipv6":
+                if address(m[0]):
+                    add(*m.span(), kind)
             elif kind == "name":
-                parts = m["n"] or f"{m['g']}{m['s']}"
-                at = m.start("n") if m["n"] else m.start("g")
+                group = next(g for g in "ngcb" if m[g])
+                parts = m[group] if group != "g" else f"{m['g']}{m['s']}"
+                place = m.start(group)
                 words, gender = parts.split(" "), _TITLE.get(m["t"] or "", "")
                 for i, word in enumerate(words):
                     own = _GENDER.get(word)
                     given = own and i < len(words) - 1 and gender in ("", own[0])
-                    add(at, at + len(word), f"given-{own[0]}-{own[1]}" if given else "name")
-                    at += len(word) + 1
-            elif kind == "secret":
+                    add(place, place + len(word), f"given-{own[0]}-{own[1]}" if given else "name")
+                    place += len(word) + 1
+            elif kind in ("secret", "bearer"):
                 add(*m.span("v"), kind)
             else:
                 add(*m.span(), kind)
@@ -348,10 +405,10 @@ def _screened(column: pa.Array) -> list[bool]:
     return pc.fill_null(pc.match_substring_regex(column, _SCREEN), False).to_pylist()
 
 
-def entities(docs: DataFrame, text_col: str = "text", id_col: str | None = None) -> DataFrame:
-    """Distinct (kind, value) of the corpus, or (id, kind, value) if an id column is named."""
-    lead = [id_col] if id_col else []
-    rows = docs.select(*lead, F.col(text_col).alias("__text"))
+def entities(docs: DataFrame, text_col: str = "text", digests: bool = False) -> DataFrame:
+    """Distinct (kind, value) of the corpus, or with ``digests`` (digest, kind, value), by the MD5 of the text."""
+    lead = ["digest"] if digests else []
+    rows = docs.select(*([F.md5(text_col).alias("digest")] if digests else []), F.col(text_col).alias("__text"))
 
     def work(batches):
         for batch in batches:
@@ -376,15 +433,15 @@ def registry(found: DataFrame, key: str = KEY) -> DataFrame:
         def work(batches):
             for batch in batches:
                 got = []
-                for kind, value, attempt in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for kind, value, attempt, crowded in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                     new, size = surrogate(kind, value, attempt, key)
-                    got.append((kind, value, attempt, new, size >= ROOMY, f"{kind}|{spelled(kind, value)[0]}"))
+                    got.append((kind, value, attempt, crowded, new, float(size), f"{kind}|{spelled(kind, value)[0]}"))
                     if kind == "name" and value in _GENDER and not attempt:  # a given name's surrogate should not be this
-                        got.append((kind, value, -1, value, False, f"given-{'-'.join(_GENDER[value])}|list"))
-                types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(types)], ["kind", "value", "attempt", "surrogate", "roomy", "layout"])
+                        got.append((kind, value, -1, False, value, 0.0, f"given-{'-'.join(_GENDER[value])}|list"))
+                types = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.float64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(types)], ["kind", "value", "attempt", "crowded", "surrogate", "size", "layout"])
 
-        return rows.select("kind", "value", "attempt").mapInArrow(work, "kind string, value string, attempt int, surrogate string, roomy boolean, layout string")
+        return rows.select("kind", "value", "attempt", "crowded").mapInArrow(work, "kind string, value string, attempt int, crowded boolean, surrogate string, size double, layout string")
 
     def deal(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("value", "kind", "attempt")), strict=True))
@@ -403,26 +460,33 @@ def registry(found: DataFrame, key: str = KEY) -> DataFrame:
         types = (pa.string(), pa.string(), pa.int32(), pa.string())
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["kind", "value", "attempt", "surrogate"])
 
-    every = settle(fill(found.select("kind", "value", F.lit(0).alias("attempt"))), "pii-registry")
-    small = settle(every.where("not roomy").groupBy("layout").applyInArrow(deal, "kind string, value string, attempt int, surrogate string"), "pii-small")
-    table = every.where("roomy").drop("roomy", "layout")
+    every = settle(fill(found.select("kind", "value", F.lit(0).alias("attempt"), F.lit(False).alias("crowded"))), "pii-registry")
+    small = settle(every.where(F.col("size") < ROOMY).groupBy("layout").applyInArrow(deal, "kind string, value string, attempt int, surrogate string"), "pii-small")
+    table = every.where(F.col("size") >= ROOMY).select("kind", "value", "attempt", "crowded", "surrogate", "layout")
+    # a layout comes here only with ROOMY x CROWDED entities or more
+    full = every.where(F.col("size") >= ROOMY).groupBy("layout").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(F.col("n") >= CROWDED * F.col("size"))
+    full = settle(full.select("layout", F.lit(True).alias("full")), "pii-crowded")
+    if full.limit(1).count():
+        table = table.join(full, "layout", "left").withColumn("crowded", F.coalesce("full", F.lit(False))).drop("full")
+    table = table.drop("layout")
     given = (F.col("kind") == "name") & F.col("surrogate").isin(sorted(_GENDER))
     for _ in range(MAX_ROUNDS):
         real = table.select("kind", F.col("value").alias("surrogate")).distinct().withColumn("real", F.lit(True))
         # the entity with the fewest attempts keeps a surrogate that several have
         first = table.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         judged = table.join(real, ["kind", "surrogate"], "left").join(first, ["kind", "surrogate"], "left")
-        again = F.coalesce(F.col("real"), F.lit(False)) | F.coalesce(F.col("first.value") != F.col("value"), F.lit(False)) | given
-        judged = judged.select("kind", "value", "attempt", "surrogate", again.alias("again"))
+        taken = F.coalesce(F.col("real"), F.lit(False)) & (~F.col("crowded") | (F.col("surrogate") == F.col("value")))
+        again = taken | F.coalesce(F.col("first.value") != F.col("value"), F.lit(False)) | given
+        judged = judged.select("kind", "value", "attempt", "crowded", "surrogate", again.alias("again"))
         if not judged.where("again").limit(1).count():
-            return table.unionByName(small)
+            return table.drop("crowded").unionByName(small)
         judged = settle(judged, "pii-judged")
-        moved = fill(judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))).drop("roomy", "layout")
+        moved = fill(judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt"), "crowded")).drop("size", "layout").where("attempt >= 0")
         table = settle(judged.where("not again").drop("again").unionByName(moved), "pii-registry")
     raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
 
 
-def replace(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", key: str = KEY, report: bool = False, broadcast: int = BROADCAST_ATTEMPTS) -> DataFrame:
+def replace(docs: DataFrame, text_col: str = "text", key: str = KEY, report: bool = False, broadcast: int = BROADCAST_ATTEMPTS) -> DataFrame:
     """``docs`` with surrogates in their texts; ``report`` adds n_entities and spans (start, end, kind of the new text)."""
     moved = registry(entities(docs, text_col), key).where("attempt > 0").select("kind", "value", "attempt")
     names = docs.columns
@@ -430,9 +494,9 @@ def replace(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", key
     at, attempts = names.index(text_col), {}
     by_row = moved.limit(broadcast + 1).count() > broadcast
     if by_row:
-        own = entities(docs, text_col, id_col).join(moved, ["kind", "value"])
-        own = own.groupBy(F.col(id_col).alias("__id")).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("__moved"))
-        rows = rows.join(own, F.col(f"c{names.index(id_col)}") == F.col("__id"), "left").drop("__id")
+        own = entities(docs, text_col, digests=True).join(moved, ["kind", "value"])
+        own = own.groupBy("digest").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("moved"))  # those of one text
+        rows = rows.join(own, F.md5(f"c{at}") == F.col("digest"), "left").drop("digest")
     else:
         attempts = {(r["kind"], r["value"]): r["attempt"] for r in moved.collect()}
     shared = docs.sparkSession.sparkContext.broadcast(attempts)
