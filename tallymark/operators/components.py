@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.tables import settle
+from tallymark.tables import settle, temporary
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,12 +14,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Labels pass to neighbours, then jump to the label of their label; both halve the distance,
     so that rounds grow with the logarithm of a chain. State is a table, written each round.
     """
-    both = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = settle(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), "step")
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        labels = settle(step.join(jump, "root").select("node", "old", F.col("far").alias("root")), "labels")
-        if not labels.where("old <> root").limit(1).count():
-            return labels.select("node", "root")
+    with temporary() as keep:
+        both = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
+        labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
+        while True:
+            near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+            step = settle(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), "step")
+            jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            labels = settle(step.join(jump, "root").select("node", "old", F.col("far").alias("root")), "labels")
+            if not labels.where("old <> root").limit(1).count():
+                return keep(labels.select("node", "root"), labels)

@@ -2,27 +2,75 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_written: contextvars.ContextVar[list[tuple[SparkSession, str]] | None] = contextvars.ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where none is named, a temporary folder, which is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", "")
+    """``spark.checkpoint.dir``; on one machine a temporary folder if none is named, which is then set."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tallymark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tallymark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tallymark/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back: cuts lineage, and what is used twice is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/tallymark/{name}-{uuid.uuid4().hex}"
+    """Write and read back: cuts lineage, and what is used twice is computed once.
+
+    A lost executor costs the tasks it ran, not the plan above the table.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if (written := _written.get()) is not None:
+        written.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[Callable[..., DataFrame]]:
+    """Removes the tables settled inside when left, but for those that the result needs.
+
+    ``keep(result, *tables)`` names these, settled tables that ``result`` reads, and gives the result back.
+    """
+    outer, inner, kept = _written.get(), [], set()
+    token = _written.set(inner)
+
+    def keep(result: DataFrame, *tables: DataFrame) -> DataFrame:
+        kept.update(t._settled for t in (result, *tables) if hasattr(t, "_settled"))
+        return result
+
+    try:
+        yield keep
+    finally:
+        _written.reset(token)
+        for spark, path in inner:
+            if path in kept:
+                if outer is not None:
+                    outer.append((spark, path))
+            else:
+                remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def let(value: Column, body) -> Column:
