@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.store import settle
+from tallymark.llm.store import settle, temporary
 
 SAMPLE = 20_000
 MAX_LISTS = 2048
@@ -338,6 +338,10 @@ class Index:
         spark = queries.sparkSession
         if self.empty:
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        with temporary() as keep:
+            return keep(*self._searched(queries, k, id_col, vector_col))
+
+    def _searched(self, queries: DataFrame, k: int, id_col: str, vector_col: str) -> tuple[DataFrame, ...]:
         asked = self._placed(self._single(self._slim(queries, id_col, vector_col)), self.probes)
         asked = settle(asked.withColumnRenamed("vec_id", "query_id"), "ann-queries")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -357,5 +361,5 @@ class Index:
         left = F.array_except(F.sequence(F.lit(0), F.lit(self.n_lists - 1)), F.col("lists"))
         few = settle(few.select("query_id", "vector", F.lit(float("inf")).alias("bound"), left.alias("lists")).where("size(lists) > 0"), "ann-few")
         if few.limit(1).count():
-            found = best(found.drop("rank").unionByName(self._scan(few, k)))
-        return found
+            return best(found.drop("rank").unionByName(self._scan(few, k))), found, few
+        return (found,)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.store import SPACE, settle
+from tallymark.llm.store import SPACE, settle, temporary
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -69,6 +69,11 @@ def plan(slim: DataFrame, **knobs) -> DataFrame:
     ``slim`` has source, size and key (``hash_key``). A document is taken ``whole`` times, and
     once more if ``key <= cut``.
     """
+    with temporary() as keep:
+        return keep(_plan(slim, **knobs))
+
+
+def _plan(slim: DataFrame, **knobs) -> DataFrame:
     cells = slim.groupBy("source", F.substring("key", 1, 3).alias("cell")).agg(F.sum("size").alias("cell_size"))
     cells = settle(cells, "mix-cells")
     shares = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), **knobs)
@@ -121,8 +126,9 @@ def mix(docs: DataFrame, seed: str = "mix", **knobs) -> DataFrame:
 
 def repeat(docs: DataFrame, seed: str = "mix", copy_col: str | None = None, **knobs) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns, and its copies' numbers from 1 in ``copy_col``."""
-    slim = settle(slim_rows(docs, seed), "mix-sizes")
-    sources = plan(slim, **knobs)
+    with temporary() as keep:
+        slim = settle(slim_rows(docs, seed), "mix-sizes")
+        sources = keep(plan(slim, **knobs))
     names = docs.columns
     packed = docs.select(
         F.struct(*[F.col(c) for c in names]).alias("row"), F.col("source").alias("source"), hash_key(F.col("doc_id"), seed).alias("key")

@@ -41,7 +41,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm import codes
-from tallymark.llm.store import settle
+from tallymark.llm.store import settle, temporary
+from tallymark.operators.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -158,21 +159,6 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(a, b) to (node, root): the smallest node that each is connected with."""
-    both = settle(links.select("a", "b").union(links.select("b", "a")).distinct(), "dup-edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
-    labels = settle(labels, "dup-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        step = settle(step, "dup-step")
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        labels = settle(step.join(jump, "root").select("node", "old", F.col("far").alias("root")), "dup-labels")
-        if not labels.where("old <> root").limit(1).count():
-            return labels.select("node", "root")
-
-
 class _Classes:
     """The classes so far: (node, class) of all nodes that links may reach, and how links change them."""
 
@@ -296,6 +282,12 @@ def _by_set(rows: DataFrame, sets: DataFrame, total: int) -> DataFrame:
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, sparse: float = SPARSE, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """Rows of ``classes`` with their ``row_key``."""
+    with temporary() as keep:
+        return keep(*_found(docs, id_col, text_col, threshold, sparse, leader_rounds))
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, threshold: float, sparse: float, leader_rounds: int) -> tuple[DataFrame, ...]:
+    """The rows of ``_classed``, and the tables that they are read from."""
     signed = signatures(docs, id_col, text_col)
     own = F.coalesce("doc_id", F.col("set_a").bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS))
     signed = settle(signed.select("*", own.alias("own")), "dup-signatures")
@@ -342,24 +334,26 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, spar
     named = settle(named, "dup-named")
     names = named.groupBy("class").agg(F.min("low").alias("class_id"))
     named = settle(named.join(names, "class").select("set_a", "set_b", "n", "class_id"), "dup-class-ids")
-    columns = ["doc_id", "own", "set_a", "set_b", "n_shingles", "length", "mark"]
+    columns, read = ["doc_id", "own", "set_a", "set_b", "n_shingles", "length", "mark"], [signed, named]
     out = _by_set(full.select(columns), named, total).unionByName(signed.where("n_shingles = 0").select(*columns, F.col("own").alias("class_id")))
     if several or signed.where("n_shingles = 0").limit(1).count():
         # rows without words go to the class of the other rows of their id, if it has any
         bare = out.where("n_shingles = 0").select("own").distinct()
         worded = out.where("n_shingles > 0").join(bare, "own", "left_semi").groupBy("own").agg(F.min("class_id").alias("other"))
         worded = settle(worded, "dup-bare")
+        read.append(worded)
         if worded.limit(1).count():
             out = out.join(worded, "own", "left").withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.coalesce("other", "class_id")))
-    return out.select("doc_id", "class_id", "n_shingles", "length", "mark")
+    return out.select("doc_id", "class_id", "n_shingles", "length", "mark"), *read
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with its own columns: that of the smallest id, and of its texts the longest; null ids come last."""
     names = docs.columns
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), (-F.col("length")).alias("short"), "mark")
-    kept = _classed(docs, "doc_id", "text", threshold).groupBy("class_id").agg(F.min(order).alias("first"))
-    kept = settle(kept.select(F.col("first.id").alias("kept_id"), F.col("first.mark").alias("kept_mark")), "dup-kept")
+    with temporary() as keep:
+        kept = _classed(docs, "doc_id", "text", threshold).groupBy("class_id").agg(F.min(order).alias("first"))
+        kept = keep(settle(kept.select(F.col("first.id").alias("kept_id"), F.col("first.mark").alias("kept_mark")), "dup-kept"))
     # rows with equal id and text have one class and one key
     packed = docs.select(F.struct(*[F.col(c) for c in names]).alias("own"), F.col("doc_id").cast("long").alias("kept_id"), row_key("doc_id", "text")[1].alias("kept_mark"))
     rows = packed.join(kept.withColumnsRenamed({"kept_id": "i", "kept_mark": "m"}), F.col("kept_id").eqNullSafe(F.col("i")) & (F.col("kept_mark") == F.col("m")), "left_semi")

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.llm.store import settle
+from tallymark.llm.store import settle, temporary
 
 KEY = "tallymark"
 BROADCAST_ATTEMPTS = 20_000
@@ -488,7 +488,9 @@ def registry(found: DataFrame, key: str = KEY) -> DataFrame:
 
 def replace(docs: DataFrame, text_col: str = "text", key: str = KEY, report: bool = False, broadcast: int = BROADCAST_ATTEMPTS) -> DataFrame:
     """``docs`` with surrogates in their texts; ``report`` adds n_entities and spans (start, end, kind of the new text)."""
-    moved = registry(entities(docs, text_col), key).where("attempt > 0").select("kind", "value", "attempt")
+    with temporary() as keep:
+        moved = registry(entities(docs, text_col), key).where("attempt > 0").select("kind", "value", "attempt")
+        moved = keep(settle(moved, "pii-moved"))
     names = docs.columns
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     at, attempts = names.index(text_col), {}

@@ -5,9 +5,9 @@ Every rule is evaluated once a document; the ledger keeps the measurements and o
 ablation costs bit arithmetic on a narrow table and never reads the texts again.
 
 Defined results: a null text is an empty one, so it has no words and fails
-``too_few_words``. Repeated rows are judged one by one. Extra columns are ignored by
-``ledger`` and kept by ``attach``; columns that clash with the ledger's own are replaced
-there. An empty table gives an empty ledger. Texts of any length are measured whole.
+``too_few_words``. Repeated rows are judged one by one. Extra columns, of any name, are ignored by
+``ledger`` and kept by ``keep``. An empty table gives an empty ledger. Texts of any length are
+measured whole.
 """
 
 from __future__ import annotations

@@ -1,46 +1,16 @@
-"""Where intermediate tables go, and small helpers that several operators share."""
+"""Small helpers that several operators share; tables are written as in the rest of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII white space; words are what stands between runs of it.
-SPACE = r"[ \t-\r]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (tests, a laptop) is a temporary folder made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tallymark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from tallymark.tables import fresh_path, let, settle, shared_dir, temporary
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallymark/{name}-{uuid.uuid4().hex}"
+__all__ = ["SPACE", "fresh_path", "let", "settle", "shared_dir", "temporary", "whole_words"]
 
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts lineage: a lost executor costs the tasks it ran, not the plan above the table.
-    """
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, with ``value`` computed once a row however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: ASCII white space; words are what stands between runs of it.
+SPACE = r"[ \t-\r]+"
 
 
 def whole_words(text: Column) -> Column:

@@ -411,3 +411,40 @@ def test_pipeline(spark, tmp_path):
     assert dict(got) == want
     back = {r["doc_id"]: r["text"] for r in pieces.decode(out, tokenizer("piece_bpe_32k.model")).collect()}
     assert all(back[k] == v for k, v in ((r["doc_id"], r["text"]) for r in pii.replace(left).collect()) if k in back)
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Null, repeated and shared ids, null columns, empty and long texts, columns with names that stages use: against the stages' own rules."""
+    import os
+
+    import corpus_pipeline
+    from tallymark.llm import pieces, pii, quality
+    from tallymark.llm.queries import tokenizer
+
+    rng = random.Random(12)
+    prose = lambda k, n=40: " ".join(f"{rng.choice(['ab', 'cde', 'fghi'])}{k}{j}" for j in range(n))
+    a, b, c, e = (prose(k) for k in "abce")
+    rows = [(1, a), (None, a), (2, a), (None, b), (None, b), (3, c), (3, prose("d")), (4, e + " mail x.y@mail.example"), (4, e + " mail x.y@mail.example"), (5, None), (6, ""), (7, "too short"), (8, prose("f", 9000))]
+    docs = spark.createDataFrame([(i, t, None, None if n % 2 else "s", None, n, "z", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, own int, key string, n int")
+    path = str(tmp_path / "sf")
+    docs.write.parquet(f"{path}/documents.parquet")
+    got = corpus_pipeline.run(spark, path).collect()
+    left = quality.keep(docs, "v1")
+    assert left.count() == 10
+    one = neardup.keep_one(left).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"][:3]) for r in one) == sorted([(False, 1, a[:3]), (True, 0, b[:3]), (False, 3, max(rows[5][1], rows[6][1], key=len)[:3]), (False, 4, e[:3]), (False, 8, rows[12][1][:3])])
+    after = pii.replace(spark.createDataFrame(one, docs.schema))
+    want = collections.Counter()
+    for r in mixing.mix(after).collect():
+        want[r["doc_id"]] += r["copies"]
+    assert collections.Counter(r["doc_id"] for r in got) == +want
+    text = {r["doc_id"]: r["text"] for r in after.collect()}
+    back = pieces.decode(spark.createDataFrame([(r["doc_id"], r["ids"]) for r in got], "doc_id long, ids array<int>"), tokenizer("piece_bpe_32k.model")).collect()
+    assert all(text[r["doc_id"]] == r["text"] for r in back) and "x.y@mail.example" not in text[4]
+    docs.limit(0).write.parquet(f"{path}0/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{path}0").count() == 0
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(f"{shared}/tallymark"))
+    kept = corpus_pipeline.run(spark, path)
+    more = {x.rpartition("-")[0] for x in set(os.listdir(f"{shared}/tallymark")) - before}
+    assert more == {"pipeline-mixture"} and kept.count() == len(got)
