@@ -204,3 +204,44 @@ def test_one_error_is_found_where_it_is(spark):
         base = dict(order="ORD-1", cont="C-1")
         rows = found(spark, *(doc(i, **(base | ({field: other} if i == bad else {}))) for i in range(4)))
         assert [r["doc_b"] for r in rows] == [f"d{bad}"]
+
+
+def _likeness(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return 2 * row[-1] / (len(a) + len(b))
+
+
+@pytest.mark.parametrize("most", [2000, 0])
+def test_near_misses_equal_brute_force_at_all_lengths(spark, monkeypatch, most):
+    """Lengths 1 to 60, repeated grams, one to eight changes: by leaving signs out and by grams alone."""
+    import random
+
+    from tallymark.operators import match as ma
+
+    monkeypatch.setattr(ma, "MOST_RESTS", most)
+    rng, shared, alone = random.Random(6), [], []
+    for n in [*range(1, 24), 30, 34, 40, 47, 60]:
+        for signs in ("01", "0123456789", "AB"):
+            base = "".join(rng.choices(signs, k=n)) if rng.random() < 0.7 else (signs * n)[:n]
+            shared.append(base)
+            for changes in (1, 2, 8):
+                new = list(base)
+                for _ in range(changes):
+                    at = rng.randrange(len(new) + 1)
+                    new[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(signs), "Z"])
+                alone.append("".join(new) or "0")
+    shared = sorted(set(shared))
+    alone_rows = [(1000 + i, ("bl_no", "order_no")[i % 2], i % 2, k) for i, k in enumerate(alone)]
+    shared_rows = [(i, f, no, k) for i, k in enumerate(shared) for no, f in enumerate(("bl_no", "order_no"))]
+    got = ma.near_misses(spark.createDataFrame(alone_rows, "doc_ord long, field string, field_no int, key string"), spark.createDataFrame(shared_rows, "root long, field string, field_no int, key string"))
+    want = {}
+    for o, _, _, k in alone_rows:
+        best = max((round(_likeness(k, y), 12), -i) for i, y in enumerate(shared))
+        if best[0] >= 0.85:
+            want[o] = -best[1]
+    assert {r["doc_ord"]: r["root"] for r in got.collect()} == want and len(want) > 50
