@@ -63,17 +63,23 @@ def run_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     No product carries over from one sign to the next, so that patterns such as the Thue-Morse
     sequence do not cancel out. Runs come in order and do not overlap.
     """
-    n = len(cps)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    begin = np.zeros(n, np.int64)
-    begin[starts] = np.diff(starts, prepend=0)
-    place = (np.arange(n) - np.cumsum(begin)).astype(np.uint64)
-    place *= _ODD
-    place += cps
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mixed(place), out=sums[1:])
-    return mixed(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
+    out = np.zeros(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):  # in parts, so that a long text needs no long arrays
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + BATCH_CHARS, "right")))
+        base, s, e = starts[low], starts[low:high] - starts[low], ends[low:high] - starts[low]
+        place = np.zeros(e[-1], np.int64)
+        place[s] = np.diff(s, prepend=0)
+        np.cumsum(place, out=place)
+        np.subtract(np.arange(e[-1]), place, out=place)
+        keyed = place.view(np.uint64)
+        keyed *= _ODD
+        keyed += cps[base : base + e[-1]]
+        sums = np.zeros(e[-1] + 1, np.uint64)
+        np.cumsum(mixed(keyed), out=sums[1:])
+        out[low:high] = mixed(sums[e] - sums[s] + (e - s).astype(np.uint64))
+        low = high
+    return out
 
 
 def distinct_runs(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

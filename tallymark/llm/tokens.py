@@ -22,6 +22,7 @@ An empty table gives an empty one. Whole texts are counted, of any length.
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -37,14 +38,15 @@ HEAD, HEAD_CHARS = 65_536, 4_000_000
 #: A longer pre-token is never in the head; each place where it stands is that much text.
 LONGEST = 4096
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-#: Distinct pre-tokens that a task holds before it hands them on.
-FLUSH = 300_000
+#: Distinct pre-tokens that a task holds before it hands them on, and characters that it splits at once.
+FLUSH, SLICE = 200_000, 1 << 17
 #: Endings that split off after a lone apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 @lru_cache(maxsize=2)
 def _library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer, pre_tokenizers
 
     whole = Tokenizer.from_file(path)
@@ -161,7 +163,7 @@ def vocabulary(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
         seen: dict[str, int] = {}
         for batch in batches:
-            for part in codes.slices(batch, text_col):
+            for part in codes.slices(batch, text_col, SLICE):
                 words, _, which, counts, _ = _reduced(part.column(0).to_pylist(), path)
                 total = np.bincount(which, counts, len(words)).astype(np.int64)
                 for w, n in zip(words, total.tolist(), strict=True):
@@ -210,7 +212,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
         pieces, at = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in codes.slices(batch, "text"):
+            for part in codes.slices(batch, "text", SLICE):
                 texts = part.column(1).to_pylist()
                 words, row, which, counts, found = _reduced(texts, path)
                 own = np.fromiter((pieces.get(w, -1) for w in words), np.int64, len(words))[which]

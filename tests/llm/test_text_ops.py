@@ -322,3 +322,11 @@ def test_crowded_formats_do_not_stop_the_job(spark, monkeypatch):
     monkeypatch.setattr(pii, "CROWDED", 0.01)
     got = pii.registry(found).collect()
     assert len({r["surrogate"] for r in got}) == len(got) == 900 and not [r for r in got if r["surrogate"] == r["value"]]
+
+
+def test_hashes_do_not_depend_on_parts(monkeypatch):
+    cps, offsets = codes.points(["one two  three " * 50, "z" * 700, "one two"])
+    starts, ends = codes.word_spans(cps, offsets)
+    whole = codes.run_hashes(cps, starts, ends)
+    monkeypatch.setattr(codes, "BATCH_CHARS", 16)
+    assert (codes.run_hashes(cps, starts, ends) == whole).all() and len(set(whole.tolist())) == 4
