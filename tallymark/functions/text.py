@@ -37,12 +37,29 @@ def identifier(c: Column) -> Column:
     return blank_to_null(F.upper(F.regexp_replace(c, f"(?U)(?:{WS}|[-/.])", "")))
 
 
+#: Numbers as most documents write them, and what goes before they are read: the first that fits.
+COMMON = ((r"^[0-9]{1,15}(?:[.][0-9]{1,2})?$", ""), (r"^[0-9]{1,3}(?:[, ][0-9]{3}){1,4}(?:[.][0-9]{1,2})?$", ", "), (r"^[0-9]{1,15} [A-Za-z/]+$", "unit"), (r"^[0-9]{1,3}(?:[.][0-9]{3}){0,4},[0-9]{1,2}$", "."))
+
+
 def number(raw: Column) -> Column:
     """A number as documents write it: currency signs and codes, units, and either kind of separators.
 
     Dots in groups of three are thousands, so 1.234 is 1234; a comma before one or two last
     digits is decimal. Null if no plain number is left.
     """
+    from tallymark.tables import let
+
+    def either(v: Column) -> Column:
+        out = _any_number(v)
+        for pattern, drop in reversed(COMMON):
+            plain = F.substring_index(v, " ", 1) if drop == "unit" else F.translate(v, ",.", ".") if drop == "." else F.translate(v, drop, "") if drop else v
+            out = F.when(v.rlike(pattern), plain.cast("double")).otherwise(out)
+        return out
+
+    return let(raw, either)
+
+
+def _any_number(raw: Column) -> Column:
     s = F.translate(strip(raw), ARABIC_DIGITS, DIGITS)
     s = strip(F.regexp_replace(F.regexp_replace(s, "[€$£¥]", ""), rf"(?iU)^[a-z]{{3}}{WS}*", ""))
     s = F.replace(strip(F.regexp_replace(s, rf"(?U){WS}+[A-Za-z/]+$", "")), F.lit(" "), F.lit(""))

@@ -90,8 +90,10 @@ def text_pairs(lines: Column, known: dict[str, str]) -> Column:
 
 def labelled(tables: Column, known: dict[str, str]) -> Column:
     """Cells with the fields that they name: array of tables of rows of (v, f)."""
-    cell = lambda c: let(text.strip(F.coalesce(c, F.lit(""))), lambda v: F.struct(v.alias("v"), F.when(v != "", labels.field_of(v, known)).alias("f")))
-    return F.transform(F.coalesce(tables, F.array().cast("array<array<array<string>>>")), lambda t: F.transform(t, lambda r: F.transform(r, cell)))
+    every = F.coalesce(tables, F.array().cast("array<array<array<string>>>"))
+    each = lambda nested, cell: F.transform(nested, lambda t: F.transform(t, lambda r: F.transform(r, cell)))
+    plain = each(every, lambda c: text.strip(F.coalesce(c, F.lit(""))))
+    return each(plain, lambda v: F.struct(v.alias("v"), labels.field_of(v, known, stripped=True).alias("f")))
 
 
 def _named(row: Column) -> Column:
@@ -132,33 +134,33 @@ def _by_field(head: Column, row: Column) -> Column:
     return F.filter(at, lambda c: c["f"].isNotNull() & c["v"].isNotNull() & (c["v"] != ""))
 
 
-def _last(pairs: Column, field: str, part: str = "v") -> Column:
-    return F.try_element_at(F.filter(pairs, lambda p: p["f"] == field), F.lit(-1))[part]
+def _first(pairs: Column, field: str, part: str = "v") -> Column:
+    """What the first pair of a field says: arrays of one part are searched without a function for each pair."""
+    return F.get(pairs[part], F.array_position(pairs["f"], field).cast("int") - 1)
 
 
-def _first(pairs: Column, field: str, part: str = "v") -> Column:
-    return F.get(F.filter(pairs, lambda p: p["f"] == field), F.lit(0))[part]
+def _last(pairs: Column, field: str, part: str = "v") -> Column:
+    return _first(F.reverse(pairs), field, part)
 
 
 def line_items(tables: Column) -> Column:
     """Items of all tables with headers, in order; rows of totals, marks and blanks left out."""
 
-    def item(cells: Column) -> Column:
+    def item(cells: Column) -> Column:  # last cell first
         parsed = F.struct(
-            _last(cells, "description").alias("description"), _last(cells, "lot").alias("lot"),
-            text.integer(_last(cells, "cartons")).alias("cartons"), text.number(_last(cells, "net_kg")).alias("net_kg"),
-            text.number(_last(cells, "gross_kg")).alias("gross_kg"), text.number(_last(cells, "unit_price")).alias("unit_price"),
-            text.integer(_last(cells, "units")).alias("units"), text.number(_last(cells, "amount")).alias("amount"),
+            _first(cells, "description").alias("description"), _first(cells, "lot").alias("lot"),
+            text.integer(_first(cells, "cartons")).alias("cartons"), text.number(_first(cells, "net_kg")).alias("net_kg"),
+            text.number(_first(cells, "gross_kg")).alias("gross_kg"), text.number(_first(cells, "unit_price")).alias("unit_price"),
+            text.integer(_first(cells, "units")).alias("units"), text.number(_first(cells, "amount")).alias("amount"),
         )
         return let(parsed, lambda p: p.withField("amount", F.coalesce(p["amount"], text.rounded(p["unit_price"] * p["cartons"], 2))))
 
     def of_table(t: Column) -> Column:
-        rows = F.transform(t["rows"], lambda r: _by_field(t["head"], r))
+        rows = F.transform(t["rows"], lambda r: F.reverse(_by_field(t["head"], r)))
 
         def real(cells: Column) -> Column:
-            name = _last(cells, "description")
-            low = F.lower(name)
-            return name.isNotNull() & ~(low.startswith("total") | low.startswith("specimen") | name.isin(*TOTAL_ARABIC))
+            named = lambda name: let(F.lower(name), lambda low: name.isNotNull() & ~(low.startswith("total") | low.startswith("specimen") | name.isin(*TOTAL_ARABIC)))
+            return let(_first(cells, "description"), named)
 
         return F.transform(F.filter(rows, real), item)
 
@@ -290,7 +292,7 @@ def extract(docs: DataFrame, extra_labels: dict[str, str] | None = None, label_v
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(body, "\n")
     read = docs.select(
-        "*", body.alias("_body"), doc_type(body).alias("_type"), text_pairs(lines, known).alias("_text"),
+        "*", body.alias("_body"), doc_type(body).alias("_type"), F.reverse(text_pairs(lines, known)).alias("_text"),
         let(labelled(F.col("tables"), known), lambda cells: F.struct(table_pairs(cells).alias("pairs"), with_headers(cells).alias("headed"))).alias("_cells"),
         F.exists(F.coalesce("tables", F.array().cast("array<array<array<string>>>")), lambda t: (F.size(t) > 1) & F.exists(t, lambda r: F.size(r) >= 2)).alias("_structured"),
     )
@@ -302,7 +304,7 @@ def extract(docs: DataFrame, extra_labels: dict[str, str] | None = None, label_v
     )
 
     def pair(field: str, part: str = "v") -> Column:
-        found = [_first(F.col("_cells.pairs"), field, part), _last(F.col("_text"), field, part)]
+        found = [_first(F.col("_cells.pairs"), field, part), _first(F.col("_text"), field, part)]  # the last of the text comes first
         if field in (*CONFIRMATION, "shipper", "consignee"):
             found.append(F.col(f"_said.{field}") if part == "v" else F.when(F.col(f"_said.{field}").isNotNull(), F.lit(field)))
         return F.coalesce(*found)
@@ -337,7 +339,7 @@ def extract(docs: DataFrame, extra_labels: dict[str, str] | None = None, label_v
     split_tail = (F.size(halves) == 1) & vessel.rlike(tail)
     ship = F.when(split_tail, text.strip(F.regexp_extract(vessel, tail, 1))).otherwise(text.blank_to_null(text.strip(F.get(halves, F.lit(0)))))
     trip = F.when(split_tail, F.regexp_extract(vessel, tail, 2)).otherwise(text.strip(F.get(halves, F.lit(1))))
-    found_labels = F.array(*[F.struct(F.lit(f).alias("key"), F.coalesce(_first(F.transform(F.col("_heads"), lambda c: F.struct(c["f"].alias("f"), c["v"].alias("v"))), f), F.col(f"_labels.{f}")).alias("value")) for f in sorted(labels.fields())])
+    found_labels = F.array(*[F.struct(F.lit(f).alias("key"), F.coalesce(_first(F.col("_heads"), f), F.col(f"_labels.{f}")).alias("value")) for f in sorted(labels.fields())])
     out = read.select(
         "doc_id", "source_path", F.col("_type.type").alias("doc_type"), "source_format",
         F.struct(*[(text.container(kv(f)) if f == "container_no" else kv(f)).alias(f) for f in schema.IDENTIFIERS]).alias("identifiers"),

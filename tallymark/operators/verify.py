@@ -1,8 +1,8 @@
 """Groups to findings and verdicts: one plan for all fields instead of a comparator for each.
 
 Every value that a document states is a fact; per group and path the facts vote, and facts
-that differ from the winner are findings. Facts are counted before they are shuffled by
-group, path and key, and only paths with disagreement meet their facts again.
+that differ from the winner are findings. Only facts of paths with disagreement, found by
+aggregates of each group, are made rows, voted on and met again.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallymark import schema
 from tallymark.functions import text
+from tallymark.tables import settle
 
 FAILING = ("high", "medium")
 ITEM_NUMBERS, ITEM_COUNTS = ("net_kg", "gross_kg", "unit_price", "amount"), ("cartons",)
@@ -61,13 +62,37 @@ def item_rows(members: DataFrame) -> DataFrame:
     return by_lot.select(columns).unionByName(by_name.select(columns))
 
 
+def _differ(keys: list[tuple[str, Column]]) -> tuple[list[Column], Column]:
+    """Aggregates of named keys, and the names of those that have two values or more."""
+    aggregates = [agg(k).alias(f"{end}{i}") for i, (_, k) in enumerate(keys) for end, agg in (("low", F.min), ("high", F.max))]
+    names = F.array(*[F.when(F.col(f"low{i}") != F.col(f"high{i}"), F.lit(name)) for i, (name, _) in enumerate(keys)])
+    return aggregates, F.filter(names, lambda n: n.isNotNull())
+
+
+def _stated(fact: Column) -> Column:
+    """A fact's key, where it states anything: what has no normal form is a value of its own."""
+    return F.when(fact["shown"].isNotNull(), F.coalesce(fact["key"], F.lit("\0")))
+
+
 def facts(members: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """(group_id, doc_id, doc_ord, path, severity, tolerant, shown, key, num) of all stated values."""
-    wide = members.select("group_id", "doc_id", "doc_ord", F.inline(F.filter(F.array(*section_facts()), lambda f: f["shown"].isNotNull())))
+    """(group_id, doc_id, doc_ord, path, severity, tolerant, shown, key, num) of the values of all paths that documents disagree on.
+
+    Which these are is told by the smallest and largest key, combined before any shuffle; only
+    those facts are made rows.
+    """
+    keys = [*((f"{s}.{c}", s, c) for s, names in (("identifiers", schema.IDENTIFIERS), ("totals", ("net_kg", "gross_kg", "value", "cartons", "currency")), ("parties", schema.PARTIES), ("logistics", schema.LOGISTICS)) for c in names)]
+    aggregates, names = _differ([(name, _stated(f)) for (name, _, _), f in zip(keys, section_facts(), strict=True)])
+    disputed = members.groupBy("group_id").agg(*aggregates).select("group_id", names.alias("paths")).where("size(paths) > 0")
+    told = lambda f: f["shown"].isNotNull() & F.array_contains("paths", f["path"])
+    wide = members.join(disputed, "group_id").select("group_id", "doc_id", "doc_ord", F.inline(F.filter(F.array(*section_facts()), told)))
     items = item_rows(members) if items is None else items
-    path = lambda f: F.concat("prefix", F.lit(f".{f}"))
-    values = [_number(path(f), F.col(f"item.{f}"), "high", True) for f in ITEM_NUMBERS] + [_number(path(f), F.col(f"item.{f}"), "high", False) for f in ITEM_COUNTS]
-    narrow = items.where("several").select("group_id", "doc_id", "doc_ord", F.inline(F.filter(F.array(*values), lambda f: f["shown"].isNotNull())))
+    several = items.where("several")
+    values = [(f, "high", True) for f in ITEM_NUMBERS] + [(f, "high", False) for f in ITEM_COUNTS]
+    aggregates, names = _differ([(f, F.col(f"item.{f}")) for f, _, _ in values])
+    disputed = several.groupBy("group_id", "prefix").agg(*aggregates).select("group_id", "prefix", names.alias("fields")).where("size(fields) > 0")
+    each = F.array(*[F.struct(F.lit(f).alias("f"), _number(F.concat("prefix", F.lit(f".{f}")), F.col(f"item.{f}"), severity, tolerant).alias("fact")) for f, severity, tolerant in values])
+    own = F.transform(F.filter(each, lambda x: F.array_contains("fields", x["f"]) & x["fact"]["shown"].isNotNull()), lambda x: x["fact"])
+    narrow = several.join(disputed, ["group_id", "prefix"]).select("group_id", "doc_id", "doc_ord", F.inline(own))
     return wide.unionByName(narrow)
 
 
@@ -86,8 +111,8 @@ def findings(members: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """
     several = members.groupBy("group_id").agg(F.count("*").alias("m")).where("m > 1").select("group_id")
     members = members.join(several, "group_id", "left_semi")
-    items = item_rows(members)
-    stated = facts(members, items)
+    items = settle(item_rows(members), "item-rows")
+    stated = settle(facts(members, items), "facts")
     votes = disagreements(stated).select("group_id", "path", "total", "n_keys", F.col("win.n").alias("agree"), F.col("win.it").alias("it"))
     others = stated.join(votes, ["group_id", "path"]).where(~F.col("key").eqNullSafe(F.col("it.key")))
     near = F.coalesce(F.col("tolerant") & F.lit(tolerance > 0) & (F.abs(F.col("num") - F.col("it.num")) <= tolerance), F.lit(False))
