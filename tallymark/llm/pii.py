@@ -461,13 +461,13 @@ def registry(found: DataFrame, key: str = KEY) -> DataFrame:
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["kind", "value", "attempt", "surrogate"])
 
     every = settle(fill(found.select("kind", "value", F.lit(0).alias("attempt"), F.lit(False).alias("crowded"))), "pii-registry")
-    small = settle(every.where(F.col("size") < ROOMY).groupBy("layout").applyInArrow(deal, "kind string, value string, attempt int, surrogate string"), "pii-small")
+    small = every.where(F.col("size") < ROOMY).groupBy("layout").applyInArrow(deal, "kind string, value string, attempt int, surrogate string")
     table = every.where(F.col("size") >= ROOMY).select("kind", "value", "attempt", "crowded", "surrogate", "layout")
     # a layout comes here only with ROOMY x CROWDED entities or more
     full = every.where(F.col("size") >= ROOMY).groupBy("layout").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(F.col("n") >= CROWDED * F.col("size"))
-    full = settle(full.select("layout", F.lit(True).alias("full")), "pii-crowded")
+    full = full.select("layout", F.lit(True).alias("full"))
     if full.limit(1).count():
-        table = table.join(full, "layout", "left").withColumn("crowded", F.coalesce("full", F.lit(False))).drop("full")
+        table = table.join(settle(full, "pii-crowded"), "layout", "left").withColumn("crowded", F.coalesce("full", F.lit(False))).drop("full")
     table = table.drop("layout")
     given = (F.col("kind") == "name") & F.col("surrogate").isin(sorted(_GENDER))
     for _ in range(MAX_ROUNDS):
@@ -490,17 +490,18 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY, report: boo
     """``docs`` with surrogates in their texts; ``report`` adds n_entities and spans (start, end, kind of the new text)."""
     with temporary() as keep:
         moved = registry(entities(docs, text_col), key).where("attempt > 0").select("kind", "value", "attempt")
-        moved = keep(settle(moved, "pii-moved"))
+        few = moved.limit(broadcast + 1).collect()
+        if by_row := len(few) > broadcast:
+            moved = keep(settle(moved, "pii-moved"))
     names = docs.columns
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     at, attempts = names.index(text_col), {}
-    by_row = moved.limit(broadcast + 1).count() > broadcast
     if by_row:
         own = entities(docs, text_col, digests=True).join(moved, ["kind", "value"])
         own = own.groupBy("digest").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("moved"))  # those of one text
         rows = rows.join(own, F.md5(f"c{at}") == F.col("digest"), "left").drop("digest")
     else:
-        attempts = {(r["kind"], r["value"]): r["attempt"] for r in moved.collect()}
+        attempts = {(r["kind"], r["value"]): r["attempt"] for r in few}
     shared = docs.sparkSession.sparkContext.broadcast(attempts)
     extra = [T.StructField("n_entities", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())])))]
     schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)], *(extra if report else [])])
