@@ -263,10 +263,11 @@ def unresolved_labels(docs: DataFrame, known: dict[str, str] | None = None) -> D
     return every.where((F.col("label") != "") & labels.field_of(F.col("label"), known).isNull()).distinct()
 
 
-def resolve_labels(unresolved: DataFrame, resolver, batch: int = 64) -> dict[str, str]:
+def resolve_labels(unresolved: DataFrame, resolver, batch: int = 64, most: int = 10_000) -> dict[str, str]:
     """Ask ``resolver`` (list of labels to dict of fields) for labels, in batches on the executors.
 
-    Returns what can be passed as ``extra`` to the dictionary: one entry for each distinct label.
+    Returns what can be passed as ``extra`` to the dictionary: one entry for each distinct label. More than
+    ``most`` resolved labels are no dictionary but a sign of wrong input, and an error.
     """
     valid = labels.fields() - {"pack", "tare_kg", "origin_country", "notify_party"}
 
@@ -280,7 +281,10 @@ def resolve_labels(unresolved: DataFrame, resolver, batch: int = 64) -> dict[str
                 yield pd.DataFrame({"label": list(got), "field": list(got.values())}, dtype="object")
 
     rows = unresolved.select("label").distinct().mapInPandas(ask, "label string, field string")
-    return {r["label"]: r["field"] for r in rows.collect()}  # distinct unknown labels that were resolved
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} labels were resolved")
+    return {r["label"]: r["field"] for r in found}
 
 
 def extract(docs: DataFrame, extra_labels: dict[str, str] | None = None, label_values: bool = False) -> DataFrame:

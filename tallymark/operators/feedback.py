@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark import schema
@@ -93,6 +93,7 @@ def load_overrides(spark: SparkSession, path: str) -> tuple[dict[str, str], floa
     return {x["label"]: x["field"] for x in row["synonyms"] or []}, max((x["tolerance"] for x in row["numeric_tolerances"] or []), default=0.0)
 
 
+# What training examples ask and how they answer.
 SYSTEM = "Given a raw field label and a document snippet, map the label to one of these canonical fields: {}. Respond with ONLY a JSON object."
 
 
@@ -113,18 +114,63 @@ def training_text(rows: DataFrame) -> DataFrame:
     return rows.where(wrong()).select(F.concat(F.lit("INPUT: Map label '"), name, F.lit("' for "), kind, F.lit('\nOUTPUT: {"'), name, F.lit('": "'), name, F.lit('"}\n')).alias("value"))
 
 
-def dashboard(rows: DataFrame) -> str:
-    """Metrics as text: totals, the most often wrong fields, the last fourteen days."""
-    total = overall(rows).first()
-    lines = [f"reviews {total['total_reviews']}  accuracy {total['accuracy']:.1%}  " + "  ".join(f"{v} {total[v]}" for v in VERDICTS)]
-    for r in error_rate(rows, "field").orderBy(F.desc("error_rate"), "field").limit(20).collect():
-        lines.append(f"{r['field']:<30} {'#' * round(r['error_rate'] * 20):<20} {r['error_rate']:.1%}")
-    if total["total_reviews"] and total["accuracy"] < 0.7:
-        worst = [r["field"] for r in error_rate(rows, "field").orderBy(F.desc("error_rate"), "field").limit(3).collect()]
-        lines.append("needs attention: " + ", ".join(worst))
-    lines += [f"{r['date']}  {r['accuracy']:.1%}  {r['count']}" for r in trend(rows).orderBy(F.desc("date")).limit(14).collect()[::-1]]
+def dashboard_lines(rows: DataFrame) -> DataFrame:
+    """(section, place, name, rate, n): totals, error rates of all fields and document types, worst first, the worst three and the last fourteen days."""
+    from tallymark.tables import numbered, settle
+
+    rows = settle(rows, "feedback")
+    shape = lambda section, frame: frame.select(F.lit(section).alias("section"), "place", "name", F.col("rate").cast("double").alias("rate"), F.col("n").cast("bigint").alias("n"))
+    total = overall(rows)
+    each = F.array(*[F.struct(F.lit(i).cast("bigint").alias("place"), F.lit(v).alias("name"), F.col(v).alias("n")) for i, v in enumerate(VERDICTS, 1)])
+    counts = total.select(F.inline(each)).withColumn("rate", F.lit(None))
+    whole = total.select(F.lit(0).cast("bigint").alias("place"), F.lit("accuracy").alias("name"), F.col("accuracy").alias("rate"), F.col("total_reviews").alias("n"))
+
+    def ranked(by: str) -> DataFrame:
+        rates = error_rate(rows, by).select(F.col(by).alias("name"), F.col("error_rate").alias("rate"), "n", (-F.col("error_rate")).alias("order"))
+        return numbered(rates, ["order", "name"], "place")
+
+    fields = settle(ranked("field"), "field-rates")
+    # three rows against one
+    worst = fields.where("place <= 3").crossJoin(F.broadcast(total.select("accuracy", "total_reviews"))).where("total_reviews > 0 and accuracy < 0.7")
+    days = trend(rows).orderBy(F.desc("date")).limit(14)  # fourteen days at most
+    days = days.select(F.row_number().over(Window.orderBy("date")).cast("bigint").alias("place"), F.col("date").alias("name"), F.col("accuracy").alias("rate"), F.col("count").alias("n"))
+    sections = [("totals", whole.unionByName(counts)), ("field", fields), ("doc_type", ranked("doc_type")), ("worst", worst), ("trend", days)]
+    out = [shape(name, frame) for name, frame in sections]
+    for frame in out[1:]:
+        out[0] = out[0].unionByName(frame)
+    return out[0]
+
+
+def _shown(lines: DataFrame, most: int) -> list:
+    found = lines.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} lines: write dashboard_lines(rows) instead")
+    order = ("totals", "field", "doc_type", "worst", "trend")
+    return sorted(found, key=lambda r: (order.index(r["section"]), r["place"]))
+
+
+def dashboard(rows: DataFrame, most: int = 10_000) -> str:
+    """Metrics as text; more lines than ``most`` are an error."""
+    found = _shown(dashboard_lines(rows), most)
+    lines = []
+    for r in found:
+        if r["section"] == "totals":
+            lines.append(f"reviews {r['n']}  accuracy {r['rate']:.1%}" if r["place"] == 0 else f"{r['name']} {r['n']}")
+        elif r["section"] == "worst":
+            lines.append(f"needs attention: {r['name']}")
+        else:
+            lines.append(f"{r['name']:<30} {'#' * round(r['rate'] * 20):<20} {r['rate']:.1%}  {r['n']}")
     return "\n".join(lines)
 
 
+def dashboard_html(rows: DataFrame, most: int = 10_000) -> str:
+    """The same as a page of its own."""
+    import html as h
+
+    found = _shown(dashboard_lines(rows), most)
+    cells = "".join(f"<tr class='{r['section']}'><td>{r['section']}<td>{h.escape(r['name'] or '')}<td>{'' if r['rate'] is None else format(r['rate'], '.1%')}<td>{r['n']}</tr>" for r in found)
+    return f"<!doctype html><meta charset=utf-8><title>Reviews</title><h1>Reviews</h1><table><tr><th>Section<th>Name<th>Rate<th>Reviews</tr>{cells}</table>"
+
+
 def last(rows: DataFrame, n: int = 50) -> DataFrame:
     return rows.orderBy(F.desc("timestamp")).limit(n)

@@ -47,6 +47,20 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", "false").load(folder)
 
 
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, length) of all documents of a folder, empty ones too, which readers pass over; listed by a task."""
+
+    def work(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1))
+            found = [x for x in system.get_file_info(fs.FileSelector(base)) if x.type == fs.FileType.File and x.extension.lower() in schema.FORMATS] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([pa.array([x.base_name for x in found], pa.string()), pa.array([x.size for x in found], pa.int64())], ["name", "length"])
+
+    return spark.range(1).mapInArrow(work, "name string, length bigint")
+
+
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """(name, size_kb, modified, type) of a folder's documents; contents are not read."""
     name = F.regexp_extract("path", r"([^/\\]*)$", 1)
@@ -62,7 +76,6 @@ def scan(spark: SparkSession, folder: str, logical: str | None = None) -> tuple[
     """
     try:
         found = files(spark, folder)
-        listed = found.inputFiles()
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -73,11 +86,27 @@ def scan(spark: SparkSession, folder: str, logical: str | None = None) -> tuple[
     good = parsed.where("error is null").withColumn("source_path", path)
     placed = numbered(good, ["source_path"], "place").withColumn("doc_ord", F.col("place") - 1)
     raw = placed.select(text.content_hash(F.col("text"), F.col("source_path")).alias("doc_id"), "source_path", "source_format", "text", "tables", "doc_ord")
-    # the two lists write a path's scheme in different ways
-    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    names = spark.createDataFrame([(x,) for x in listed] or [], "listed string").withColumn("key", bare(F.col("listed")))
-    unread = names.join(parsed.select(bare(F.col("source_path")).alias("key")), "key", "left_anti").select(F.col("listed").alias("source_path"), F.lit("empty file").alias("error"))
-    return raw, parsed.where("error is not null").select("source_path", "error").unionByName(unread)
+    empty = _listed(spark, folder).where("length = 0").select(F.concat(F.lit(folder.rstrip("/") + "/"), "name").alias("source_path"), F.lit("empty file").alias("error"))
+    return raw, parsed.where("error is not null").select("source_path", "error").unionByName(empty)
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(shipment, name): the documents of a folder by the shipment that their names start with, or "ungrouped"."""
+    names = catalogue(spark, folder).select("name")
+    return names.select(F.coalesce(text.shipment_prefix(F.col("name")), F.lit("ungrouped")).alias("shipment"), "name")
+
+
+def pick_shipment(listed: DataFrame, seed: int = 1) -> DataFrame:
+    """The documents of one shipment of ``listing``, drawn by a keyed hash."""
+    one = listed.select("shipment").distinct().orderBy(F.xxhash64(F.col("shipment"), F.lit(seed)), "shipment").limit(1)
+    return listed.join(F.broadcast(one), "shipment", "left_semi")  # one row
+
+
+def pick_documents(listed: DataFrame, count: int = 3, seed: int = 1) -> DataFrame:
+    """So many documents of ``listing``, drawn by a keyed hash; all if there are fewer."""
+    if count < 1:
+        raise ValueError("at least one document is picked")
+    return listed.orderBy(F.xxhash64(F.col("name"), F.lit(seed)), "name").limit(count)
 
 
 def document(spark: SparkSession, folder: str, name: str) -> DataFrame:

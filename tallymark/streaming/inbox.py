@@ -20,7 +20,7 @@ from tallymark import schema
 from tallymark.functions import text
 from tallymark.sources import scan
 
-ATTACHMENTS = "message string, name string, content binary"
+ATTACHMENTS = "message string, name string, content binary, error string"
 
 
 def decoded(value: str | None) -> str:
@@ -46,10 +46,10 @@ def _unpacked(batches):
         rows = []
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             try:
-                rows += [(path, name, data) for name, data in attachments(content.as_py() or b"")]
-            except Exception:  # noqa: BLE001, S112  # one bad message does not stop the others
-                continue
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], ["message", "name", "content"])
+                rows += [(path, name, data, None) for name, data in attachments(content.as_py() or b"")]
+            except Exception as e:  # noqa: BLE001  # one bad message does not stop the others
+                rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary(), pa.string()))], ["message", "name", "content", "error"])
 
 
 def messages(spark: SparkSession, folder: str, most: int = 50) -> DataFrame:
@@ -58,29 +58,39 @@ def messages(spark: SparkSession, folder: str, most: int = 50) -> DataFrame:
     return reader.option("pathGlobFilter", "*.eml").option("maxFilesPerTrigger", most).load(folder)
 
 
+def unpacked(arrived: DataFrame) -> DataFrame:
+    """Messages to (source_path, source_format, text, tables, error): attachments, and what cannot be read with its error."""
+    found = arrived.select("path", "content").mapInArrow(_unpacked, ATTACHMENTS)
+    parsed = found.where("error is null").select(F.concat(F.lit("email://"), "name").alias("path"), "content").mapInArrow(scan._parsed, scan.PARSED)
+    bad = found.where("error is not null").select(F.col("message").alias("source_path"), F.lit("eml").alias("source_format"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<array<array<string>>>").alias("tables"), "error")
+    return parsed.unionByName(bad)
+
+
 def raw_documents(arrived: DataFrame) -> DataFrame:
     """Messages to RAW without numbers; paths are email://name, and ids follow from those."""
-    found = arrived.select("path", "content").mapInArrow(_unpacked, ATTACHMENTS)
-    parsed = found.select(F.concat(F.lit("email://"), "name").alias("path"), "content").mapInArrow(scan._parsed, scan.PARSED).where("error is null")
-    return parsed.select(text.content_hash(F.col("text"), F.col("source_path")).alias("doc_id"), "source_path", "source_format", "text", "tables")
+    return unpacked(arrived).where("error is null").select(text.content_hash(F.col("text"), F.col("source_path")).alias("doc_id"), "source_path", "source_format", "text", "tables")
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, handle=None) -> StreamingQuery:
-    """Everything that has arrived, once: extracted documents are appended to ``out``.
+def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, handle=None, errors: str | None = None) -> StreamingQuery:
+    """Everything that has arrived, once: extracted documents are appended to ``out``, what cannot be read to ``errors``.
 
-    ``handle`` is called with each batch that was stored, to match and verify anew.
+    ``handle`` is called with each batch that was stored, to match and verify anew. Documents are numbered by their paths
+    inside a batch, so that a batch that is repeated gives the same rows.
     """
     from tallymark.operators.extract import extract
+    from tallymark.tables import numbered, settle, temporary
 
     def store(batch: DataFrame, number: int) -> None:
-        numbered = batch.withColumn("doc_ord", F.lit(number).cast("bigint") * (1 << 40) + F.monotonically_increasing_id())
-        docs = extract(numbered)
-        docs.write.mode("overwrite").parquet(f"{out}/batch={number}")  # the same batch again replaces itself
+        with temporary():
+            parsed = settle(unpacked(batch), "inbox")
+            rows = parsed.where("error is null").select(text.content_hash(F.col("text"), F.col("source_path")).alias("doc_id"), "source_path", "source_format", "text", "tables")
+            placed = numbered(rows, ["source_path", "doc_id"], "place").withColumn("doc_ord", F.lit(number).cast("bigint") * (1 << 40) + F.col("place") - 1).drop("place")
+            extract(placed).write.mode("overwrite").parquet(f"{out}/batch={number}")  # the same batch again replaces itself
+            parsed.where("error is not null").select("source_path", "error").write.mode("overwrite").parquet(f"{errors or out.rstrip('/') + '-errors'}/batch={number}")
         if handle is not None:
             handle(spark.read.parquet(out), number)
 
-    stream = raw_documents(messages(spark, folder))
-    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return messages(spark, folder).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def review_metrics(reviews: DataFrame, delay: str = "1 day") -> DataFrame:

@@ -148,4 +148,56 @@ def test_corpus_and_personas(spark):
         corpus.check(docs)
     mail = personas.planned(docs.select(F.floor(F.col("doc_ord") / 4).alias("shipment"), "identifiers.order_no", "source_path"))
     rows = mail.limit(50).collect()
-    assert {r["status"] for r in rows} == {"dry_run"} and all(len(r["attachments"]) >= 3 for r in rows) and personas.personas(spark).count() == 5
+    assert {r["status"] for r in rows} == {"dry_run"} and all(len(r["attachments"]) >= 3 for r in rows) and personas.personas(spark).count() == len(personas.PERSONAS)
+
+
+def test_dates_and_cells_that_go_on_below():
+    from tallymark.sources import render
+
+    text, tables = ooxml.xlsx(render.xlsx("Ship Date: 2026-01-01", [[["Lot", "Net", "X"], ["L1", "4.5", "x"]]]))
+    assert text == "[Sheet: Invoice]\nShip Date: 2026-01-01 00:00:00\nLot\tNet\tX\nL1\t4.5\tx" and tables == [[["Ship Date", "2026-01-01 00:00:00", ""], ["Lot", "Net", "X"], ["L1", "4.5", "x"]]]
+    styles = f"<styleSheet xmlns='{ooxml.S[1:-1]}'><numFmts><numFmt numFmtId='164' formatCode='[Red]0.00'/><numFmt numFmtId='165' formatCode='dd&quot;.&quot;mm'/></numFmts><cellXfs><xf numFmtId='164'/><xf numFmtId='165'/><xf numFmtId='20'/></cellXfs></styleSheet>"
+    import io as _io
+
+    assert ooxml._dated(zipfile.ZipFile(_io.BytesIO(zipped(**{"xl__styles.xml": styles})))) == {1, 2}
+    assert (ooxml._date("0.5", False), ooxml._date("1", True), ooxml._date("45306.25", False)) == ("12:00:00", "1904-01-02 00:00:00", "2024-01-15 06:00:00")
+    cell = lambda t, down="": f"<w:tc><w:tcPr>{down}</w:tcPr><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    table = f"<w:tbl><w:tr>{cell('Port', '<w:vMerge w:val=' + chr(39) + 'restart' + chr(39) + '/>')}{cell('Genoa')}</w:tr><w:tr>{cell('', '<w:vMerge/>')}{cell('Jeddah')}</w:tr></w:tbl>"
+    content = zipped(**{"word__document.xml": f"<w:document xmlns:w='{ooxml.W[1:-1]}'><w:body>{table}</w:body></w:document>"})
+    assert ooxml.docx(content) == ("Port\tGenoa\nPort\tJeddah", [[["Port", "Genoa"], ["Port", "Jeddah"]]])
+
+
+def test_tables_of_pdf_files():
+    from tallymark.sources import render
+
+    table = [["Lot", "Cartons"], ["L1", "5"], ["L2", "(7)"]]
+    text, tables = pdf(render.pdf("PACKING LIST\nOrder No: 1", [table]))
+    assert tables == [table] and text.startswith("PACKING LIST\nOrder No: 1\n") and text.endswith("L1\t5\nL2\t(7)")
+    assert pdf(render.pdf("no table\nhere", []))[1] == []
+
+
+def test_what_a_run_cannot_mean():
+    from tallymark.plans.engine import check_options, read_stage
+
+    check_options(0.0, 1, inbox=True)
+    for options in ({"tolerance": float("nan")}, {"tolerance": -1.0}, {"messages": 0}, {"inbox": True, "simulate": True}):
+        with pytest.raises(ValueError):
+            check_options(**options)
+    with pytest.raises(ValueError):
+        read_stage(None, "x", "nonsense")
+
+
+def test_stage_files_with_one_array(spark, tmp_path):
+    from tallymark.plans.engine import read_stage
+
+    (tmp_path / "v.json").write_text('[{"group_id": "G01", "verdict": "PASS", "suspect_doc_ids": []},\n {"group_id": "G02", "verdict": "FAIL", "suspect_doc_ids": ["a"]}]')
+    assert [r["verdict"] for r in read_stage(spark, str(tmp_path / "v.json"), "verdicts", "array").orderBy("group_id").collect()] == ["PASS", "FAIL"]
+
+
+def test_messages_that_cannot_be_read_are_rows(spark, tmp_path):
+    from tallymark.sources import render
+
+    good = render.mail("x", [("a.docx", render.docx("Order No: 1", [])), ("b.pdf", b"no PDF")])
+    arrived = spark.createDataFrame([("m1.eml", bytearray(good)), ("m2.eml", bytearray(b"no mail"))], "path string, content binary")
+    rows = {r["source_path"]: r["error"] for r in inbox.unpacked(arrived).collect()}
+    assert rows["email://a.docx"] is None and "not a PDF" in rows["email://b.pdf"] and len(rows) == 2
