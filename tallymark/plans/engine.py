@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallymark import schema
 from tallymark.operators import extract as ex
 from tallymark.operators import feedback, match, verify
 from tallymark.plans import report, score
@@ -14,6 +15,31 @@ from tallymark.sources import scan
 from tallymark.tables import settle
 
 
+#: Stages that can be written and read, with their schemas.
+STAGES = {
+    "raw": schema.RAW, "documents": schema.CANONICAL, "groups": schema.MEMBERS, "findings": f"{schema.FINDINGS}, n_key bigint, first_ord bigint, ord_b bigint, sev_rank int",
+    "verdicts": "group_id string, verdict string, suspect_doc_ids array<string>, n_docs bigint, n_findings bigint",
+}
+
+
+def read_stage(spark: SparkSession, path: str, name: str, form: str = "parquet") -> DataFrame:
+    """A stage as it was written: Parquet, JSON lines, or ``array`` for files that hold one JSON array."""
+    if name not in STAGES or form not in ("parquet", "json", "array"):
+        raise ValueError(f"no such stage or form: {name!r}, {form!r}")
+    reader = spark.read.schema(STAGES[name]).option("multiLine", form == "array")
+    return reader.parquet(path) if form == "parquet" else reader.json(path)
+
+
+def check_options(tolerance: float | None = None, messages: int = 1, inbox: bool = False, simulate: bool = False) -> None:
+    """ValueError for what a run cannot mean."""
+    if tolerance is not None and not (math.isfinite(tolerance) and tolerance >= 0):
+        raise ValueError("a tolerance is a finite number, not below 0")
+    if messages < 1:
+        raise ValueError("at least one message is planned")
+    if inbox and simulate:
+        raise ValueError("an inbox and simulated messages exclude each other")
+
+
 class Engine:
     """Raw documents to results.
 
@@ -22,8 +48,7 @@ class Engine:
     """
 
     def __init__(self, raw: DataFrame, tolerance: float | None = None, overrides: str | None = None, fuzzy: bool = True):
-        if tolerance is not None and not (math.isfinite(tolerance) and tolerance >= 0):
-            raise ValueError("a tolerance is a finite number, not below 0")
+        check_options(tolerance)
         self.spark: SparkSession = raw.sparkSession
         self.raw, self.fuzzy = raw, fuzzy
         self.labels, learned = feedback.load_overrides(self.spark, overrides) if overrides else ({}, 0.0)
@@ -63,10 +88,10 @@ class Engine:
     def group(self, group_id: str) -> DataFrame:
         return self.results.where(self.results.group_id == group_id)
 
-    def write(self, folder: str) -> None:
-        """All stages and reports under ``folder``."""
-        for name in ("documents", "groups", "findings", "verdicts"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    def write(self, folder: str, form: str = "parquet") -> None:
+        """All stages, as Parquet or JSON lines, and reports under ``folder``."""
+        for name in STAGES:
+            getattr(self, name).write.mode("overwrite").format(form).save(f"{folder}/{name}")
         report.write(self.results, folder)
 
     def score(self, key: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

@@ -272,6 +272,13 @@ SELECT 'high' AS severity, field, count(*) AS n FROM f WHERE field IN ('identifi
 , s AS (SELECT k, string_agg(DISTINCT doc || b, ',' ORDER BY doc || b) AS suspects, count(*) AS c FROM f JOIN o USING (k) GROUP BY k)
 SELECT 'O' || o.k AS group_id, CASE WHEN c > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, coalesce(suspects, '') AS suspects, CAST(3 AS BIGINT) AS n_docs, coalesce(c, 0) AS n_findings
 FROM o LEFT JOIN s ON o.k = s.k""",
+    "verify_single_items": BASE + """,
+i AS (SELECT k, lot, description, row_number() OVER (PARTITION BY k ORDER BY line, lot, description, cartons, net_kg, gross_kg, unit_price, amount, supplier) - 1 AS idx FROM li),
+d AS (SELECT o.k, o.doc || kind AS doc, kind, i.lot, description, idx FROM o JOIN i ON o.k = i.k, (SELECT unnest([0, 1, 2]) AS kind) WHERE kind = 0 OR idx > 0),
+l AS (SELECT *, idx = max(idx) OVER (PARTITION BY k, lot, kind) AS last, min(kind) OVER (PARTITION BY k, lot) <> max(kind) OVER (PARTITION BY k, lot) AS several FROM d),
+r AS (SELECT *, idx = max(idx) OVER (PARTITION BY k, description, kind) AS last_, min(kind) OVER (PARTITION BY k, description) <> max(kind) OVER (PARTITION BY k, description) AS several_ FROM l WHERE NOT (last AND several)),
+s AS (SELECT k, doc, 'lot=' || lot AS path, lot AS label FROM l WHERE last AND NOT several UNION ALL SELECT k, doc, 'desc=' || lower(description), description FROM r WHERE last_ AND NOT several_)
+SELECT 'O' || k AS group_id, 'line_items[' || path || ']' AS field, doc AS doc_a, doc AS doc_b, label AS value_a, 'not present in other documents' AS value_b, 'Line item ''' || label || ''' only found in one document' AS message FROM s""",
     "match_groups": BASE + """,
 d AS (SELECT k, row_number() OVER (ORDER BY k) AS group_rank, doc, unnest(CASE WHEN k % 97 = 0 THEN [0, 1, 2, 3] ELSE [0, 1, 2] END) AS kind FROM o)
 SELECT printf('G%02d', group_rank) AS group_id, group_rank, doc || kind AS doc_id, CASE WHEN kind = 3 THEN 0.4 ELSE 1.0 END::DOUBLE AS certainty, kind = 3 AS absorbed FROM d""",
@@ -346,6 +353,9 @@ SELECT 'INPUT: Map label ''' || f || ''' for ' || d || chr(10) || 'OUTPUT: {"' |
     "text_hashes": r"SELECT doc_id, sha256(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) || chr(0)) AS hash FROM documents",
     "text_identifiers": "SELECT c_custkey, upper(replace(c_name, ' ', '')) || 'A1' AS key FROM customer",
     "text_numbers": "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS n0, l_extendedprice AS n1, l_extendedprice AS n2, l_extendedprice AS n3 FROM lineitem",
+    "label_fields": """
+SELECT unnest(['order_no', 'bl_no', 'reference', 'container_no', 'seal_no', 'shipper', 'consignee', 'vessel', 'voyage', 'pol', 'pod', 'ship_date', 'description', 'lot', 'cartons', 'pack', 'net_kg', 'gross_kg', 'unit_price', 'units', 'amount', 'value', 'currency', 'invoice_no', 'buyer', 'incoterm', 'notify_party', 'origin_country', 'tare_kg']) AS field,
+       unnest([28, 18, 16, 11, 14, 13, 11, 9, 6, 9, 9, 16, 13, 16, 26, 1, 21, 22, 12, 14, 10, 10, 6, 10, 7, 6, 5, 6, 9]) AS n""",
     "doc_types": """
 SELECT doc_id, ['bill_of_lading', 'packing_list', 'commercial_invoice', 'unknown'][doc_id % 4 + 1] AS type, CASE WHEN doc_id % 4 = 3 THEN 0.0 ELSE 0.9 END::DOUBLE AS confidence FROM documents""",
 }

@@ -9,6 +9,7 @@ from tallymark import schema
 from tallymark.functions import text
 from tallymark.operators import verify
 
+# The wording of reports and correction drafts is that of ``corrections`` and ``markdown`` below, and their titles and tables too.
 TOTALS = ("cartons", "net_kg", "gross_kg", "value", "currency")
 SHOWN_IDS = ("order_no", "bl_no", "container_no")
 
@@ -114,19 +115,52 @@ def markdown(rows: DataFrame) -> DataFrame:
     return rows.select("group_id", F.concat(head, F.when(F.col("verdict") == "FAIL", failed).otherwise(passed)).alias("text"))
 
 
-def html(rows: DataFrame) -> str:
-    """A page of its own for a result that fits a page; the rows are limited to what one can look at."""
-    import html as h
+def _escaped(c: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
 
-    count = summary(rows).first()
-    shown = rows.select("group_id", "verdict", "identifiers.order_no", F.size("documents").alias("n"), F.transform("findings", lambda f: F.concat_ws(" ", f["severity"], f["message"])).alias("f")).orderBy("verdict", "group_id").limit(1000).collect()
-    cells = "".join(f"<tr class='{r['verdict'].lower()}'><td>{h.escape(r['group_id'])}<td>{r['verdict']}<td>{h.escape(r['order_no'] or '')}<td>{r['n']}<td>{'<br>'.join(map(h.escape, r['f']))}</tr>" for r in shown)
-    return f"<!doctype html><meta charset=utf-8><title>Shipments</title><h1>Shipments</h1><p>{count['shipments']} shipments, {count['passed']} passed, {count['failed']} failed</p><table><tr><th>Group<th>Verdict<th>Order<th>Documents<th>Findings</tr>{cells}</table>"
+
+def _document(head: DataFrame, lines: DataFrame, tail: DataFrame) -> DataFrame:
+    """(value) in order: what the parts of a text file say, one after the other, however many lines there are."""
+    parts = [frame.select(F.lit(i).alias("part"), *(c for c in ("a", "b") if c in frame.columns), *(F.lit("").alias(c) for c in ("a", "b") if c not in frame.columns), "value") for i, frame in enumerate((head, lines, tail))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("part", "a", "b").select("value")
+
+
+def page(rows: DataFrame) -> DataFrame:
+    """(value): the lines of a page of its own with all groups, failed ones first."""
+    spark = rows.sparkSession
+    said = F.concat(F.col("shipments").cast("string"), F.lit(" shipments, "), F.col("passed").cast("string"), F.lit(" passed, "), F.col("failed").cast("string"), F.lit(" failed"))
+    head = summary(rows).select(F.concat(F.lit("<!doctype html><meta charset=utf-8><title>Shipments</title><h1>Shipments</h1><p>"), said, F.lit("</p><table><tr><th>Group<th>Verdict<th>Order<th>Documents<th>Findings</tr>")).alias("value"))
+    found = F.array_join(F.transform("findings", lambda f: _escaped(F.concat_ws(" ", f["severity"], f["message"]))), "<br>")
+    line = F.concat(F.lit("<tr class='"), F.lower("verdict"), F.lit("'><td>"), _escaped(F.col("group_id")), F.lit("<td>"), "verdict", F.lit("<td>"), _escaped(F.coalesce("identifiers.order_no", F.lit(""))), F.lit("<td>"), F.size("documents").cast("string"), F.lit("<td>"), found, F.lit("</tr>"))
+    lines = rows.select(F.col("verdict").alias("a"), F.col("group_id").alias("b"), line.alias("value"))
+    return _document(head, lines, spark.createDataFrame([("</table>",)], "value string"))
+
+
+def html(rows: DataFrame, most: int = 10_000) -> str:
+    """``page`` as one string, for results that fit one; more groups than ``most`` are an error, and ``page`` can be written."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} groups: write page(rows) instead")
+    return "".join(r["value"] for r in page(rows).collect())
+
+
+def results_document(rows: DataFrame) -> DataFrame:
+    """(value): the lines of one JSON document, {"summary": ..., "shipments": [...]}."""
+    spark = rows.sparkSession
+    count = F.struct("shipments", "passed", "failed", F.lit("tallymark").alias("generated_by"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"))
+    head = summary(rows).select(F.concat(F.lit('{"summary": '), F.to_json(count), F.lit(', "shipments": [')).alias("value"))
+    last = rows.agg(F.max("group_id").alias("last"))
+    comma = F.when(F.col("group_id") == F.col("last"), F.lit("")).otherwise(F.lit(","))
+    lines = rows.crossJoin(F.broadcast(last)).select(F.col("group_id").alias("a"), F.concat(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), comma).alias("value"))  # one row
+    return _document(head, lines, spark.createDataFrame([("]}",)], "value string"))
 
 
 def write(rows: DataFrame, folder: str) -> None:
-    """results (JSON lines), reports and corrections under ``folder``, by the cluster's own writers."""
+    """results (JSON lines, and one document in parts), page, reports and corrections under ``folder``, by the cluster's own writers."""
     rows.write.mode("overwrite").json(f"{folder}/results")
+    results_document(rows).write.mode("overwrite").text(f"{folder}/results_document")
+    page(rows).write.mode("overwrite").text(f"{folder}/page")
     summary(rows).write.mode("overwrite").json(f"{folder}/summary")
     for name, frame in (("reports", markdown(rows)), ("corrections", corrections(rows))):
         frame.write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import text
@@ -86,6 +86,24 @@ def scorecard(table: DataFrame, located: DataFrame, targets: dict[str, float] |
     )
 
 
+KEY = "answer_key array<struct<shipment: bigint, order_no: string, bl_no: string, container: string, has_planted_discrepancy: boolean, discrepancy_in_doc_type: string, discrepancy_detail: array<string>>>"
+
+
+def read_key(spark: SparkSession, path: str) -> DataFrame:
+    """An answer key file, {"answer_key": [...]}; of several entries for a shipment the last counts."""
+    rows = spark.read.schema(KEY).option("multiLine", True).json(path).select(F.posexplode("answer_key").alias("at", "k"))
+    return rows.groupBy("k.shipment").agg(F.max_by("k", "at").alias("k")).select("k.*")
+
+
+def export(card: DataFrame, table: DataFrame, located: DataFrame, folder: str, targets: dict[str, float] | None = None) -> None:
+    """scorecard (one JSON object), confusion and localization (JSON lines, sorted by shipment) under ``folder``."""
+    aim = {"recall": 1.0, "grouping": 1.0, "localization": 0.8, "false_positives": 0} | (targets or {})
+    shown = card.withColumn("targets", F.create_map(*[F.lit(x) for k, v in aim.items() for x in (k, float(v))]))
+    shown.coalesce(1).write.mode("overwrite").json(f"{folder}/scorecard")  # one row
+    for name, rows in (("confusion", table), ("localization", located)):
+        rows.orderBy("shipment").write.mode("overwrite").json(f"{folder}/{name}")
+
+
 def pairwise(members: DataFrame, truth: Column) -> DataFrame:
     """True pairwise precision and recall of grouping, from group sizes and not from pairs."""
     rows = members.select("group_id", truth.alias("t"))
