@@ -1,8 +1,9 @@
 """Mixing sources to target weights by capped water-filling (operator 4).
 
 Targets: the total is shared by weight; a source stops at ``max_epochs`` times its size and
-its excess goes to the others by weight until no source is above. The fixed point is found
-in closed form from running sums over the sources sorted by cap / weight.
+its excess goes to the others by weight until no source is above. Each round is one aggregate over
+the sources, and one number, what a unit of weight gets, says all about it. Sources are ranked by sorted ranges,
+so they may be as many as hosts.
 
 Sampling: a document is repeated ``floor(target / source size)`` times and once more if it is
 among the first of its source in the order of a keyed hash, up to the cut that brings the
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.store import SPACE, settle, temporary
+from tallymark.tables import numbered
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -45,22 +47,22 @@ def hash_key(doc_id: Column, seed: str) -> Column:
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size) to (source, source_size, target); one row a source."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))))
-    at = sizes.select("source", "source_size", weight.alias("w"))
-    at = at.select("*", (F.lit(float(max_epochs)) * F.col("source_size")).alias("cap"))
-    at = at.select("*", (F.col("cap") / F.col("w")).alias("full_at"))
-    before = Window.orderBy("full_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("full_at", F.col("source").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    at = at.select("*", (F.lit(float(share)) * F.sum("source_size").over(everything)).alias("total"))
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    at = at.select("*", level.alias("level"))
-    # the lowest source that the level does not fill decides the level of all that it does not fill
-    held = F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "level"))
-    at = at.select("*", F.min(held).over(everything)["level"].alias("lam"))
-    target = F.least(F.col("cap"), F.coalesce(F.col("lam") * F.col("w"), F.col("cap")))
-    return at.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
+    ranked = numbered(sizes.select("source", "source_size", F.col("source").isNull().alias("last")), ["last", "source"], "place")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int"))
+    at = ranked.select("source", F.col("source_size").cast("long").alias("source_size"), weight.alias("w"), (F.lit(float(max_epochs)) * F.col("source_size")).alias("cap"))
+    at = settle(at, "mix-sources")
+    level, full = None, -1
+    while True:
+        # sources that the level fills are clamped; what they leave is shared by the others
+        filled = F.lit(False) if level is None else F.col("cap") < level * F.col("w")
+        row = at.agg(F.sum("source_size").alias("size"), F.sum(F.when(filled, F.col("cap")).otherwise(0.0)).alias("taken"), F.sum(F.when(filled, 0.0).otherwise(F.col("w"))).alias("rest"), F.count_if(filled).alias("full")).first()
+        if row["full"] == full or not row["rest"]:
+            break
+        level, full = (share * row["size"] - row["taken"]) / row["rest"], row["full"]
+    if row["rest"] == 0.0:  # every source is full
+        level = None
+    target = F.least(F.col("cap"), F.lit(level) * F.col("w")) if level is not None else F.col("cap")
+    return at.select("source", "source_size", target.alias("target"))
 
 
 def plan(slim: DataFrame, **knobs) -> DataFrame:

@@ -22,6 +22,8 @@ def brute_targets(sizes, weights=(3, 1, 2), share=1.5, epochs=2):
     while True:
         left = total - sum(epochs * sizes[s] for s in full)
         free = [s for s in names if s not in full]
+        if not free:
+            return {s: epochs * sizes[s] for s in full}
         target = {s: left * w[s] / sum(w[x] for x in free) for s in free} | {s: epochs * sizes[s] for s in full}
         over = [s for s in free if target[s] > epochs * sizes[s]]
         if not over:
@@ -52,6 +54,16 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs.where("text is null")).first()["target"] == 0
 
 
+@pytest.mark.parametrize("share", [1.5, 2.0, 2.5, 0.3])
+def test_targets_of_many_sources(spark, share):
+    rng = random.Random(3)
+    sizes = {f"host{i}": int(rng.paretovariate(0.7)) for i in range(400)} | {None: 77, "": 0}
+    got = mixing.targets(spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long"), share=share).collect()
+    want = brute_targets(sizes, share=share)
+    assert len(got) == len(sizes) and all(r["target"] == pytest.approx(min(want[r["source"]], 2 * sizes[r["source"]])) for r in got)
+    assert sum(r["target"] for r in got) == pytest.approx(min(share, 2.0) * sum(sizes.values()))
+
+
 def test_shards(spark):
     rows = [(i, None if i % 50 == 0 else f"text {i} é") for i in range(517)] + [(None, "x"), (7, "text 7 é"), (7, "text 7 é")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
