@@ -69,11 +69,16 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does by itself, from the bitmasks of all documents."""
+    return quality.ablations(quality.ledger(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_adaptive_scan, op2_merge_dropout, op3_pretoken_counts, op4_water_filling, op5_feistel_shards,
-        op6_host_reputation, op7_prob_minhash, op8_surrogates, op9_chunked_warc, op10_rule_ledger,
+        op6_host_reputation, op7_prob_minhash, op8_surrogates, op9_chunked_warc, op10_rule_ledger, ledger_ablations,
     )
 }
 
@@ -182,3 +187,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM v
 """,
 }
+
+ORACLE_SQL["ledger_ablations"] = (
+    "WITH ledger AS (" + ORACLE_SQL["op10_rule_ledger"] + """),
+r AS (SELECT unnest(['too_few_words', 'repeated_windows', 'symbol_ratio', 'repeated_lines', 'word_length', 'shouting']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS b)
+SELECT rule, count(*) AS n_docs, count(*) FILTER (WHERE failures & b <> 0) AS n_failed, count(*) FILTER (WHERE failures = b) AS n_only, count(*) FILTER (WHERE failures & (63 - b) = 0) AS n_kept_without
+FROM ledger, r GROUP BY rule"""
+)
