@@ -9,7 +9,6 @@ from tallymark import schema
 from tallymark.functions import text
 from tallymark.operators import verify
 
-# The wording of reports and correction drafts is that of ``corrections`` and ``markdown`` below, and their titles and tables too.
 TOTALS = ("cartons", "net_kg", "gross_kg", "value", "currency")
 SHOWN_IDS = ("order_no", "bl_no", "container_no")
 
@@ -67,6 +66,7 @@ def _last_part(field: Column) -> Column:
     return F.replace(F.substring_index(field, ".", -1), F.lit("_"), F.lit(" "))
 
 
+# The wording of drafts and reports in the two functions below, titles and tables included.
 def corrections(rows: DataFrame) -> DataFrame:
     """(group_id, text): a draft for each failed group, naming every finding of high or medium severity."""
     acting = F.filter("findings", lambda f: f["severity"].isin(*verify.FAILING))
