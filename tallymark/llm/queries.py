@@ -1,10 +1,11 @@
-"""The queries of the ten operators, and SQL for those that SQL can express."""
+"""The queries of the operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallymark.llm import ann, mixing, neardup, pieces, pii, quality, sharding, tokens, urlfilter, warc
+from tallymark.llm import ann, dialogue, lexical, mixing, neardup, pieces, pii, quality, sharding, tokens, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,21 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held_out = toxicity.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs.where(~held_out), labels.select("doc_id", F.col("toxic").alias("label")))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(dialogue.damage(_table(spark, sf_dir, "conversations")))
+
+
 def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the policy does by itself, from the bitmasks of all documents."""
     return quality.ablations(quality.ledger(_table(spark, sf_dir, "documents")))
@@ -78,7 +94,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_adaptive_scan, op2_merge_dropout, op3_pretoken_counts, op4_water_filling, op5_feistel_shards,
-        op6_host_reputation, op7_prob_minhash, op8_surrogates, op9_chunked_warc, op10_rule_ledger, ledger_ablations,
+        op6_host_reputation, op7_prob_minhash, op8_surrogates, op9_chunked_warc, op10_rule_ledger,
+        op11_ranked_search, op12_subsequence_svm, op13_turn_repair, ledger_ablations,
     )
 }
 
@@ -185,6 +202,73 @@ v AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, failures = 0 AS kept, CAST(failures AS BIGINT) AS failures
 FROM v
+""",
+    "op11_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+n AS (SELECT rid, doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+tf AS (SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * c.docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY term, c.docs),
+p AS (
+  SELECT doc_id, rid, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * c.docs) // c.terms))) AS impact
+  FROM tf JOIN w USING (term) JOIN n USING (rid), c),
+s AS (SELECT item_id, doc_id, rid, CAST(sum(impact) AS BIGINT) AS score FROM i JOIN p USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+""",
+    "op13_turn_repair": r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS signs FROM conversations),
+told AS (
+  SELECT *, xor(list_reduce(list_transform(signs, lambda c: CAST(ord(c) AS BIGINT)), lambda a, b:
+      list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind FROM raw),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again
+  FROM told WHERE kind <> 0),
+met AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn ASC NULLS FIRST) AS seen FROM hurt),
+named AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, role, text, seen) AS BIGINT) AS i, substring(role, 1, 1) AS r,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM met),
+faulty AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM named),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+counts AS (
+  SELECT c.conv_id, count(f.i) AS n, coalesce(max(f.turn) - min(f.turn) + 1 - count(DISTINCT f.turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM convs c LEFT JOIN faulty f ON c.conv_id IS NOT DISTINCT FROM f.conv_id GROUP BY c.conv_id),
+-- what may follow a last role ('' at the start): the next one, and what is inserted before it
+moves (s, t, ins, added) AS (VALUES ('', 's', '', ''), ('', 'u', '', ''), ('', 'a', 'I', 'user:' || chr(10)), ('s', 'u', '', ''), ('s', 'a', 'I', 'user:' || chr(10)),
+  ('u', 'a', '', ''), ('u', 'u', 'I', 'assistant:' || chr(10)), ('a', 'u', '', ''), ('a', 'a', 'I', 'user:' || chr(10))),
+ways AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS s, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS out FROM convs
+  UNION ALL
+  SELECT conv_id, i, s, best.cost, best.audit, best.out FROM (
+    SELECT conv_id, i, s, min(struct_pack(cost := cost, audit := audit, out := out)) AS best FROM (
+      SELECT f.conv_id, f.i, w.s, w.cost + 4 AS cost, w.audit || 'D' AS audit, w.out FROM ways w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+      UNION ALL
+      SELECT f.conv_id, f.i, m.t, w.cost + 3 * length(m.ins) + CASE WHEN f.fault = 'truncated' THEN 3 ELSE 0 END + CASE WHEN f.r = m.t THEN 0 ELSE 3 END,
+             w.audit || m.ins || CASE WHEN f.r = m.t THEN 'K' ELSE 'R' END,
+             w.out || m.added || CASE WHEN f.r = m.t THEN f.role WHEN m.t = 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text || chr(10)
+      FROM ways w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN moves m ON m.s = w.s
+      WHERE f.fault NOT IN ('blank', 'duplicate') AND (f.r = m.t OR m.t <> 's')) GROUP BY conv_id, i, s)),
+done AS (
+  SELECT w.conv_id, min(struct_pack(cost := w.cost + CASE s WHEN 's' THEN 6 WHEN 'u' THEN 3 ELSE 0 END, audit := audit || CASE s WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END,
+         out := out || CASE s WHEN 's' THEN 'user:' || chr(10) || 'assistant:' || chr(10) WHEN 'u' THEN 'assistant:' || chr(10) ELSE '' END)) AS best
+  FROM ways w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = c.n GROUP BY w.conv_id)
+SELECT c.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(best.cost AS BIGINT) AS cost, best.audit AS audit,
+       sha256(left(best.out, greatest(length(best.out) - 1, 0))) AS repaired_sha256
+FROM counts c JOIN done ON c.conv_id IS NOT DISTINCT FROM done.conv_id
 """,
 }
 
