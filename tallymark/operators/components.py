@@ -5,22 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.tables import settle, temporary
+from tallymark.tables import HOT, settle, spread_join, temporary
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _state(edges: DataFrame) -> tuple:
+    """What tells two edge tables apart, from one pass."""
+    told = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
+    return told["n"], told["sum"]
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", hot: int = HOT) -> DataFrame:
     """(node, root): the smallest node that each is connected with.
 
-    Labels pass to neighbours, then jump to the label of their label; both halve the distance,
-    so that rounds grow with the logarithm of a chain. State is a table, written each round.
+    Large stars and small stars take turns: each node hands its larger neighbours to the smallest of its
+    neighbours and itself, then its smaller ones with itself to the smallest of them, until the edges are stars around roots. The
+    number of edges never grows, rounds grow with the logarithm of the longest path, and the edges of each round are a table.
+    The smallest neighbour comes from an aggregate that combines before it shuffles, and goes back to the edges by ``spread_join``,
+    so that a hub of any size is the work of many tasks. Loops and repeated edges change nothing.
     """
     with temporary() as keep:
-        both = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
-        labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
+        x, y = F.col(a), F.col(b)
+        stars = settle(edges.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "edges")
+        before = _state(stars)
         while True:
-            near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-            step = settle(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), "step")
-            jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-            labels = settle(step.join(jump, "root").select("node", "old", F.col("far").alias("root")), "labels")
-            if not labels.where("old <> root").limit(1).count():
-                return keep(labels.select("node", "root"), labels)
+            for turn in ("large", "small"):
+                if turn == "large":
+                    both = settle(stars.select("a", "b").union(stars.select(F.col("b"), F.col("a"))), "both")
+                    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+                    moved = spread_join(both.where("b > a"), settle(least, "least"), ["a"], hot).select(F.col("b").alias("a"), F.col("m").alias("b"))
+                else:
+                    least = settle(stars.groupBy("a").agg(F.min("b").alias("m")), "least")
+                    own = spread_join(stars, least, ["a"], hot).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                    moved = own.union(least.select("a", F.col("m").alias("b")))
+                stars = settle(moved.distinct(), "stars")
+            after = _state(stars)
+            if after == before:
+                break
+            before = after
+        found = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return keep(settle(found.union(stars.select("b", "b").distinct()), "components"))

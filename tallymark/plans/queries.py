@@ -17,7 +17,8 @@ from tallymark.operators import verify as ve
 from tallymark.plans import report as re_
 from tallymark.plans import score as sc
 from tallymark.sources import corpus
-from tallymark.tables import settle
+from tallymark.streaming.groups import Groups
+from tallymark.tables import fresh_path, settle
 
 # Items of one order may share line and lot: the first is told by all their columns, as the corpus sorts them.
 # Facts of the corpus in SQL: orders, items, totals of orders, and which errors are planted where.
@@ -89,6 +90,32 @@ def match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("certainty").agg(F.count("*").alias("n_docs"), F.countDistinct("group_id").alias("n_groups"))
 
 
+def match_arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that arrive in three batches, one of them twice."""
+    docs = settle(corpus.canonical(spark, sf_dir).select("doc_id", "doc_ord", "identifiers"), "arriving")
+    kept = Groups(spark, fresh_path(spark, "groups"))
+    for number in (0, 1, 1, 2):
+        kept.absorb(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == number), number)
+    return kept.groups(docs).select("group_id", "group_rank", "doc_id", "certainty", "absorbed")
+
+
+def match_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of 30 signs: two documents an order, and for some a third whose number is damaged a little, or too much."""
+    key = F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))
+    signs = F.substring(F.upper(F.md5(key)), 1, 30)
+    part = lambda a, n: F.substring(signs, a, n)
+    near = F.concat(F.lit("Q"), part(1, 4), part(6, 6), F.lit("Z"), part(13, 18))  # one more, one less, another
+    far = F.concat(F.lit("QQQQQQQQQQ"), part(11, 20))
+    kinds = F.when(F.col("o_orderkey") % 64 == 1, F.array(signs, signs, near)).when(F.col("o_orderkey") % 64 == 2, F.array(signs, signs, far)).otherwise(F.array(signs, signs))
+    docs = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.posexplode(kinds).alias("kind", "bl_no"))
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    docs = docs.select(F.concat(F.col("o_orderkey").cast("string"), F.lit("-"), F.col("kind").cast("string")).alias("doc_id"), (F.col("o_orderkey") * 4 + F.col("kind")).alias("doc_ord"),
+                       F.struct(none("order_no"), "bl_no", none("reference"), none("container_no"), none("seal_no")).alias("identifiers"))
+    out = settle(ma.match(docs), "match-long")
+    first = out.groupBy("group_id").agg(F.min_by("doc_id", "doc_ord").alias("first"))
+    return out.join(first, "group_id").select("doc_id", "first", "certainty", "absorbed")
+
+
 def extract_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ex.extract(corpus.raw(spark, sf_dir))
     return out.select("doc_id", "doc_type", "identifiers.order_no", "identifiers.bl_no", "identifiers.container_no", "parties.shipper", "parties.consignee", "logistics.ship_date", "totals.currency", "extraction_confidence")
@@ -235,7 +262,7 @@ def doc_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        flagship, verify_findings, verify_tolerance, verify_verdicts, verify_single_items, match_groups, match_exact, extract_headers, extract_totals, extract_items,
+        flagship, verify_findings, verify_tolerance, verify_verdicts, verify_single_items, match_groups, match_exact, match_arriving, match_long, extract_headers, extract_totals, extract_items,
         pipeline_summary, corpus_errors, report_consensus, report_corrections, report_markdown, score_confusion, score_localization, score_card, feedback_overall, feedback_by_field,
         feedback_by_doc_type, feedback_trend, feedback_boosts, feedback_training, text_hashes, text_identifiers, text_numbers, label_fields, doc_types,
     )
@@ -282,6 +309,11 @@ SELECT 'O' || k AS group_id, 'line_items[' || path || ']' AS field, doc AS doc_a
     "match_groups": BASE + """,
 d AS (SELECT k, row_number() OVER (ORDER BY k) AS group_rank, doc, unnest(CASE WHEN k % 97 = 0 THEN [0, 1, 2, 3] ELSE [0, 1, 2] END) AS kind FROM o)
 SELECT printf('G%02d', group_rank) AS group_id, group_rank, doc || kind AS doc_id, CASE WHEN kind = 3 THEN 0.4 ELSE 1.0 END::DOUBLE AS certainty, kind = 3 AS absorbed FROM d""",
+    "match_long": """
+WITH d AS (SELECT o_orderkey AS k, unnest(CASE WHEN o_orderkey % 64 IN (1, 2) THEN [0, 1, 2] ELSE [0, 1] END) AS kind FROM orders)
+SELECT k || '-' || kind AS doc_id, CASE WHEN kind = 2 AND k % 64 = 2 THEN k || '-2' ELSE k || '-0' END AS first,
+       CASE WHEN kind < 2 THEN 0.7 WHEN k % 64 = 1 THEN 0.4 ELSE 0.2 END::DOUBLE AS certainty, kind = 2 AND k % 64 = 1 AS absorbed
+FROM d""",
     "match_exact": BASE + """
 SELECT CAST(1.0 AS DOUBLE) AS certainty, CAST(3 * count(*) AS BIGINT) AS n_docs, count(*) AS n_groups FROM o
 UNION ALL SELECT 0.2, count(*), count(*) FROM o WHERE k % 97 = 0""",
@@ -359,3 +391,5 @@ SELECT unnest(['order_no', 'bl_no', 'reference', 'container_no', 'seal_no', 'shi
     "doc_types": """
 SELECT doc_id, ['bill_of_lading', 'packing_list', 'commercial_invoice', 'unknown'][doc_id % 4 + 1] AS type, CASE WHEN doc_id % 4 = 3 THEN 0.0 ELSE 0.9 END::DOUBLE AS confidence FROM documents""",
 }
+
+ORACLE_SQL["match_arriving"] = ORACLE_SQL["match_groups"]

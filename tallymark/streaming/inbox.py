@@ -71,13 +71,15 @@ def raw_documents(arrived: DataFrame) -> DataFrame:
     return unpacked(arrived).where("error is null").select(text.content_hash(F.col("text"), F.col("source_path")).alias("doc_id"), "source_path", "source_format", "text", "tables")
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, handle=None, errors: str | None = None) -> StreamingQuery:
+def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, handle=None, errors: str | None = None, groups: str | None = None) -> StreamingQuery:
     """Everything that has arrived, once: extracted documents are appended to ``out``, what cannot be read to ``errors``.
 
+    ``groups`` names a folder in which the groups of all that arrived are kept (``streaming.groups``).
     ``handle`` is called with each batch that was stored, to match and verify anew. Documents are numbered by their paths
     inside a batch, so that a batch that is repeated gives the same rows.
     """
     from tallymark.operators.extract import extract
+    from tallymark.streaming.groups import Groups
     from tallymark.tables import numbered, settle, temporary
 
     def store(batch: DataFrame, number: int) -> None:
@@ -87,6 +89,8 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, handle=N
             placed = numbered(rows, ["source_path", "doc_id"], "place").withColumn("doc_ord", F.lit(number).cast("bigint") * (1 << 40) + F.col("place") - 1).drop("place")
             extract(placed).write.mode("overwrite").parquet(f"{out}/batch={number}")  # the same batch again replaces itself
             parsed.where("error is not null").select("source_path", "error").write.mode("overwrite").parquet(f"{errors or out.rstrip('/') + '-errors'}/batch={number}")
+        if groups is not None:
+            Groups(spark, groups).absorb(spark.read.parquet(f"{out}/batch={number}"), number)
         if handle is not None:
             handle(spark.read.parquet(out), number)
 

@@ -73,6 +73,26 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: A key with more rows than this is hot; with more than ``FEW`` such keys the bound rises, so that never more are broadcast.
+HOT, FEW = 1 << 16, 20_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], hot: int = HOT) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has one row for each key, without a task that holds all rows of a hot key.
+
+    The rows of ``one`` for hot keys are broadcast: there are at most ``FEW`` of them, since a key is hot only if it has
+    more than a ``FEW``-th of all rows. ``many`` should be a written table, for it is counted first. Null keys meet nothing.
+    """
+    counts = many.groupBy(*on).agg(F.count("*").alias("__n"))
+    sizes = counts.agg(F.max("__n").alias("most"), F.sum("__n").alias("all")).first()
+    bound = max(hot, -(-(sizes["all"] or 0) // FEW))
+    if (sizes["most"] or 0) <= bound:
+        return many.join(one, on)
+    few = settle(counts.where(F.col("__n") > bound).select(*on), "hot-keys")
+    heavy = many.join(F.broadcast(few), on, "left_semi").join(F.broadcast(one.join(F.broadcast(few), on, "left_semi")), on)
+    return heavy.unionByName(many.join(F.broadcast(few), on, "left_anti").join(one, on))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, computed once a row however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -13,6 +13,8 @@ from tallymark import schema
 from tallymark.operators import feedback, match, verify
 from tallymark.operators.components import components
 from tallymark.plans import report, score
+from tallymark.streaming.groups import Groups
+from tallymark.tables import settle, spread_join
 
 NO = (None,) * 5
 
@@ -96,6 +98,79 @@ def test_near_misses_equal_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+LONE, SHARED = "doc_ord long, field string, field_no int, key string", "root long, field string, field_no int, key string"
+
+
+@pytest.mark.parametrize("prefix, low, high, most", [("", 20, 60, 9), ("REF2024-", 12, 18, 6)])
+def test_long_near_misses_equal_brute_force(spark, prefix, low, high, most):
+    rng = random.Random(3)
+    shared = [prefix + "".join(rng.choices("0123456789", k=rng.randint(low, high))) for _ in range(80)]
+
+    def bent(s):
+        s = list(s)
+        for _ in range(rng.randint(0, most)):
+            i = rng.randrange(len(s))
+            s[i : i + rng.randint(0, 1)] = rng.choice(["", rng.choice("0123456789")])
+        return "".join(s)
+
+    alone = [bent(rng.choice(shared)) for _ in range(60)]
+    got = {r["doc_ord"]: r["root"] for r in match.near_misses(spark.createDataFrame([(1000 + i, "bl_no", 0, k) for i, k in enumerate(alone)], LONE), spark.createDataFrame([(i, "bl_no", 0, k) for i, k in enumerate(shared)], SHARED)).collect()}
+    best = {1000 + j: max((indel(a, s), -i) for i, s in enumerate(shared)) for j, a in enumerate(alone)}
+    assert got == {d: -i for d, (score, i) in best.items() if score * 100 >= match.THRESHOLD} and 20 < len(got)
+
+
+def test_long_identifiers_meet_few_others(spark):
+    rng = random.Random(5)
+    sides = [spark.createDataFrame([("bl_no", "".join(rng.choices("0123456789", k=30)), 30) for _ in range(1500)], "field string, key string, n int") for _ in "xy"]
+    plan = spark.createDataFrame([("bl_no", 30, 30)], "field string, nx int, ny int")
+    assert match._met(*sides, plan, match.THRESHOLD / 100).count() <= 1500  # of 2.25 million pairs
+
+
+def test_hot_keys_are_split(spark):
+    many = spark.range(60_000, numPartitions=6).select((F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(-1)).alias("k"), "id")
+    many = settle(many.unionByName(spark.createDataFrame([(None, 1)], "k long, id long")), "many")
+    one = settle(many.groupBy("k").agg(F.count("*").alias("n")), "one")
+    got = settle(spread_join(many, one, ["k"], hot=1000).withColumn("part", F.spark_partition_id()), "met")
+    assert got.count() == 60_000 and got.select("k", "id", "n").exceptAll(many.where("k is not null").join(one, "k").select("k", "id", "n")).count() == 0
+    sizes = sorted(r["count"] for r in got.where("k = -1").groupBy("part").count().collect())
+    assert len(sizes) >= 2 and sizes[-1] < 5 * sizes[len(sizes) // 2]
+
+
+def test_components_with_hubs(spark):
+    rng = random.Random(6)
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)] + [(7000 + rng.randrange(200), 7000 + rng.randrange(200)) for _ in range(150)] + [(9, 9), (1, 0)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = components(spark.createDataFrame(edges, "a long, b long"), hot=50).collect()
+    assert {r["node"]: r["root"] for r in got} == {x: find(x) for x in root} and len(got) == len(root)
+
+
+def test_groups_over_batches(spark, tmp_path):
+    rng = random.Random(1)
+    pick = lambda name, n: rng.choice([None, f"{name}{rng.randrange(n)}"])
+    docs = [doc(i, order=pick("ORD-2026-000", 40), bl=pick("BLNO0", 30), ref=pick("r", 60), cont="N/A" if i % 9 == 0 else None) for i in range(60)] + [doc(60, order="ORD-2026-0001"), doc(61)]
+    every = frame(spark, *docs)
+    want = {r["doc_id"]: tuple(r) for r in match.match(every).collect()}
+    kept = Groups(spark, str(tmp_path / "groups"))
+    number = {d[-2]: rng.randrange(3) for d in docs}
+    for n in (0, 1, 2, 1):
+        part = [d for d in docs if number[d[-2]] == n]
+        kept.absorb(frame(spark, *part), n)
+    assert kept.batches() == [0, 1, 2]
+    assert {r["doc_id"]: tuple(r) for r in kept.groups(every).collect()} == want
+    roots = {r["doc_ord"]: r["root"] for r in kept.documents().collect()}
+    own = {r["node"]: r["root"] for r in components(match.edges(match.identifier_rows(every))).collect()}
+    assert roots == {d[-2]: own.get(d[-2], d[-2]) for d in docs}
+
+
 def test_votes(spark):
     base = dict(order="ORD-001", cont="CONT-001")
     assert found(spark, *(doc(i, **base) for i in range(3))) == []
