@@ -19,7 +19,8 @@ normally very few, travel back to the texts: by broadcast up to ``BROADCAST_ATTE
 join on a digest of the text, on which alone its entities depend.
 
 Names: after a title; a known given name and what follows it; two or three capitalised words after words like
-``Name:`` or ``Dear``, or right before an address or number. Numbers of accounts (IBAN) and
+``Name:`` or ``Dear``, or right before an address or number; then also each part of these names where it stands by itself in
+the same text. Numbers of accounts (IBAN) and
 cards need valid check digits, and get them.
 
 Defined results: a null text stays null. Repeated rows are replaced alike. Extra columns are kept
@@ -87,7 +88,7 @@ _NAME = rf"{_UPPER}(?:['’]{_UPPER})?{_LOWER}+(?:[-'’]?{_UPPER}{_LOWER}+)*"
 _CUES = "|".join(BEFORE_NAMES)
 #: Tried in this order at each place; a group named v is what is replaced, else all of the match.
 PATTERNS = {
-    "email": r"[\w.%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
+    "email": r"@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?)+",  # and LOCAL before it
     "secret": r"(?i:\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?)(?P<v>[^\s\"'<>,;]{4,}?)(?=[\s\"'<>,;]|\.?$|\.\s)",
     "key": r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA)(?P<k>[0-9A-Z]{16})\b|\b(?:ghp|gho|ghs|xoxb|xoxp|sk)[_-][A-Za-z0-9_-]{16,}",
     "bearer": r"(?i:\bbearer) +(?=[^\s]*\d)(?P<v>[A-Za-z0-9._~+/-]{12,}=*)",
@@ -101,10 +102,17 @@ PATTERNS = {
     rf"|\b(?P<g>(?:(?:{'|'.join(sorted(_GENDER))}) )+)(?P<s>{_NAME}(?: (?!(?:{'|'.join(NO_SURNAMES)})\b){_NAME}(?![\w.]))?)"
     rf"|\b(?:(?i:{_CUES}) ?[:,] ?|(?i:{'|'.join(GREETINGS)}) )(?P<c>{_NAME}(?: {_NAME}){{1,2}})|\b(?P<b>{_NAME}(?: {_NAME}){{1,2}})(?=,? ?[<(\[]?\0)",
 }
+#: What may stand before the sign of an address, of which the last LOCAL_SIGNS are looked at, so that long runs of letters are read once.
+LOCAL, LOCAL_SIGNS = re.compile(r"[\w.%+-]+\Z"), 256
+#: How numbers of cards begin, by their length; asked of those that stand among other numbers.
+ISSUERS = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7]|6[0245]|35|62|81)\d{14}|(?:6[0-9]|5[0678]|62)\d{10,17}|3[47]\d{13}|3[0689]\d{12}")
 #: For RE2, whose \b and \d know ASCII only: matches wherever one of PATTERNS does.
 _SCREEN = rf"[\p{{Nd}}@=:]|(?:AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]|(?:ghp|gho|ghs|xoxb|xoxp|sk)[_-][A-Za-z0-9_-]|(?:{'|'.join([*_TITLE, *_GENDER])})\.? {_UPPER}|(?i:{_CUES}) ?, ?{_UPPER}|(?i:{'|'.join(GREETINGS)}) {_UPPER}"
 
 
+_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
+
+
 @lru_cache(maxsize=1)
 def _patterns() -> dict[str, re.Pattern]:
     return {k: re.compile(v) for k, v in PATTERNS.items()}
@@ -319,21 +327,35 @@ def laid_out(kind: str, shown: str, new: str) -> str:
 def cards(run: str) -> list[tuple[int, int]]:
     """Spans of card numbers in a run of digits that single spaces and hyphens part.
 
-    They start and end at separators, have 13 to 19 digits and a valid check digit. Of those that
-    overlap, one grouped as cards are comes first, then that with most digits, then the first.
+    They start and end at separators, have 13 to 19 digits and a valid check digit. Those that are part of a longer run,
+    or not grouped as cards are, must begin as the numbers of card issuers do; those that are part of a longer run are also grouped as
+    cards are, and what stands beside them is not another group like theirs, as in a table of numbers, unless that belongs to another card. Of those that overlap, one
+    grouped as cards are comes first, then that with most digits, then the first.
     """
     parts = [m.span() for m in re.finditer(r"\d+", run)]
-    found = []
+    found, among = [], {}
     for i, (start, _) in enumerate(parts):
         digits, groups = "", []
-        for low, end in parts[i:]:
+        for j, (low, end) in enumerate(parts[i : i + 20], i):
+            if len(digits) + end - low > 19:
+                break
             digits += normal("card", run[low:end])
             groups.append(end - low)
-            if len(digits) > 19:
-                break
             if len(digits) >= 13 and luhn(digits[:-1]) == int(digits[-1]):
-                usual = len(groups) == 1 or groups == [4, 6, 5] or set(groups[:-1]) == {4} and groups[-1] <= 4 and len(digits) >= 16
-                found.append((not usual, -len(digits), start, end))
+                usual = len(groups) == 1 or groups in ([4, 6, 5], [4, 6, 4]) or set(groups[:-1]) == {4} and groups[-1] <= 4 and len(digits) >= 16
+                whole = i == 0 and j == len(parts) - 1
+                if whole and (usual or ISSUERS.fullmatch(digits)):
+                    found.append((not usual, -len(digits), start, end))
+                elif usual and ISSUERS.fullmatch(digits):
+                    among[i, j] = (False, -len(digits), start, end)
+    for (i, j), span in among.items():
+        inside = set(run[span[2] : span[3]]) & set(" -") or set(" -")
+        like = {b - a for a, b in parts[i : j + 1]}
+        # a group of the same size and separator beside it belongs to another card, or all are numbers of a table
+        before = i > 0 and run[span[2] - 1] in inside and parts[i - 1][1] - parts[i - 1][0] in like and not any(e == i - 1 for _, e in among)
+        after = j + 1 < len(parts) and run[span[3]] in inside and parts[j + 1][1] - parts[j + 1][0] in like and not any(s == j + 1 for s, _ in among)
+        if not before and not after:
+            found.append(span)
     taken: list[tuple[int, int]] = []
     free = bytearray(b"\1") * len(run)
     for _, _, start, end in sorted(found):
@@ -362,11 +384,12 @@ def address(shown: str) -> bool:
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order, without overlap; earlier kinds win."""
     found: list[tuple[int, int, str]] = []
+    whole = text
 
     def add(start: int, end: int, kind: str) -> None:
         found.append((start, end, kind))
 
-    at = 0
+    at = last_address = 0
     for kind, pattern in _patterns().items():
         if len(found) > at:  # what is found is blanked for the kinds after it
             last, parts = 0, []
@@ -375,7 +398,11 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 last = end
             text, at = "".join([*parts, text[last:]]), len(found)
         for m in pattern.finditer(text):
-            if kind == "card":
+            if kind == "email":
+                if local := LOCAL.search(text[max(last_address, m.start() - LOCAL_SIGNS) : m.start()]):
+                    add(m.start() - len(local[0]), m.end(), kind)
+                    last_address = m.end()
+            elif kind == "card":
                 for start, end in cards(m[0]):
                     add(m.start() + start, m.start() + end, kind)
             elif kind == "iban":
@@ -398,6 +425,16 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 add(*m.span("v"), kind)
             else:
                 add(*m.span(), kind)
+    # a name or given name that stands by itself elsewhere in the text is that of the same person
+    parts = {whole[s:e]: kind for s, e, kind in found if kind == "name" or kind.startswith("given")}
+    if parts:
+        last, shown = 0, []
+        for start, end, _ in sorted(found[at:]):
+            shown += [text[last:start], "\0" * (end - start)]
+            last = end
+        for m in _WORD.finditer("".join([*shown, text[last:]])):
+            if m[0] in parts:
+                add(*m.span(), parts[m[0]])
     return sorted(found)
 
 
