@@ -45,8 +45,8 @@ FIT_WINDOWS = 2000
 #: Clean windows in training, at most, at random and hard ones of each round.
 CLEAN, HARD = 10_000, 3000
 ROUNDS = 3
-#: Decisions beyond the margins count as at the margin.
-FLOOR, CEILING = -1.0, 1.25
+#: Decisions beyond these count as these.
+FLOOR, CEILING = -0.5, 1.25
 SLICE = 1 << 20
 #: Words whose decisions a task remembers, and words that are worked on at once.
 REMEMBERED, PENDING = 300_000, 100_000
@@ -97,49 +97,68 @@ def _shape(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return i, j, k, DECAY ** (k - i + 1).astype(np.float64)
 
 
-def triples(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(which strings, their triples, weight of each place, norms) for strings of one length at a time, in parts of bounded size."""
+def triples(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(which strings, their triples, weight of each place) for strings of one length at a time, in parts of bounded size."""
     lengths = np.array([len(s) for s in strings], np.int64)
     for n in np.unique(lengths).tolist():
         i, j, k, weight = _shape(n + 2)
         own = np.flatnonzero(lengths == n)
-        step = max(1, 2_000_000 // len(weight))
+        step = max(1, 500_000 // len(weight))
         for low in range(0, len(own), step):
             at = own[low : low + step]
             points = np.frombuffer("".join([strings[x] for x in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n).astype(np.int64)
             # a to z by themselves, all other letters by a hash, and the two ends
-            letter = np.where((points >= 97) & (points <= 122), points - 97, 26 + (points * 40503 >> 4) % (LETTERS - 28))
+            letter = np.where((points >= 97) & (points <= 122), points - 97, 26 + (points * 40503 >> 4) % (LETTERS - 28)).astype(np.int32)
             letter = np.pad(letter, ((0, 0), (1, 1)), constant_values=((0, 0), (LETTERS - 2, LETTERS - 1)))
-            codes = (letter[:, i] * LETTERS + letter[:, j]) * LETTERS + letter[:, k]
-            order = np.argsort(codes, axis=1)
-            held = np.take_along_axis(codes, order, 1)
-            first = np.ones(held.shape, bool)
-            first[:, 1:] = held[:, 1:] != held[:, :-1]
-            sums = np.add.reduceat(weight[order].ravel(), np.flatnonzero(first.ravel()))
-            norms = np.sqrt(np.add.reduceat(sums * sums, np.concatenate([[0], np.cumsum(first.sum(1))[:-1]])))
-            yield at, codes, weight, norms
+            yield at, ((letter * LETTERS**2)[:, i] + (letter * LETTERS)[:, j] + letter[:, k]), weight
+
+
+def norms(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The length of each string's vector of triples; places of one triple add up."""
+    order = np.argsort(codes, axis=1)
+    held = np.take_along_axis(codes, order, 1)
+    first = np.ones(held.shape, bool)
+    first[:, 1:] = held[:, 1:] != held[:, :-1]
+    sums = np.add.reduceat(weight[order].ravel(), np.flatnonzero(first.ravel()))
+    return np.sqrt(np.add.reduceat(sums * sums, np.concatenate([[0], np.cumsum(first.sum(1))[:-1]])))
 
 
 def product(strings: list[str], table: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
     """Normed triples of each string times a vector, or a matrix whose rows ``place`` names for each triple."""
     out = np.zeros((len(strings), *table.shape[1:]))
-    for at, codes, weight, norms in triples(strings):
+    for at, codes, weight in triples(strings):
+        size = norms(codes, weight)
         if place is None:
-            out[at] = (table[codes] @ weight) / norms
+            out[at] = (table[codes] @ weight) / size
         else:
-            step = max(1, 8_000_000 // (codes.shape[1] * table.shape[1]))
+            step = max(1, 2_000_000 // (codes.shape[1] * table.shape[1]))
             for low in range(0, len(at), step):
-                out[at[low : low + step]] = np.einsum("bcm,c->bm", table[place[codes[low : low + step]]], weight) / norms[low : low + step, None]
+                out[at[low : low + step]] = np.einsum("bcm,c->bm", table[place[codes[low : low + step]]], weight) / size[low : low + step, None]
+    return out
+
+
+def above(strings: list[str], table: np.ndarray, bias: float, floor: float) -> np.ndarray:
+    """``product`` with a bias, where it may be above the floor; else the floor.
+
+    A string's length lies between those that it has if no triple repeats and if all are one, so that it is worked out for few.
+    """
+    out = np.full(len(strings), floor)
+    for at, codes, weight in triples(strings):
+        value = table[codes] @ weight
+        low, high = np.sqrt((weight * weight).sum()), weight.sum()
+        near = np.flatnonzero(np.where(value > 0, value / low, value / high) + bias > floor)
+        if len(near):
+            out[at[near]] = np.maximum(value[near] / norms(codes[near], weight) + bias, floor)
     return out
 
 
 def spread(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, triple, weight) of all normed triples."""
     who, what, much = [], [], []
-    for at, codes, weight, norms in triples(strings):
+    for at, codes, weight in triples(strings):
         who.append(np.repeat(at, codes.shape[1]))
         what.append(codes.ravel())
-        much.append((weight / norms[:, None]).ravel())
+        much.append((weight / norms(codes, weight)[:, None]).ravel())
     return np.concatenate(who), np.concatenate(what), np.concatenate(much)
 
 
@@ -230,7 +249,8 @@ class Model:
     rate: float = 0.0
 
     def decisions(self, strings: list[str]) -> np.ndarray:
-        return product(strings, self.weights) + self.bias if self.weights is not None else np.full(len(strings), FLOOR)
+        """Of windows; those not above ``FLOOR`` are ``FLOOR``."""
+        return above(strings, self.weights, self.bias, FLOOR) if self.weights is not None else np.full(len(strings), FLOOR)
 
     def probability(self, decisions: np.ndarray) -> np.ndarray:
         """Of each row of the two greatest decisions of a text."""
@@ -294,7 +314,7 @@ def trained(bags: list[tuple[int, np.ndarray]], strings: list[str], totals: tupl
         weight = np.concatenate([times / times.sum() * 0.7, times / times.sum() * 0.3, np.full(len(none), 1 / len(none))])
         w, bias = machine(x, y, weight)
         weights = nystrom.folded(w)
-        decision = product(strings, weights) + bias
+        decision = above(strings, weights, bias, FLOOR)
         if not len(hard):  # landmarks where the first machine was wrong
             near = clean[np.argsort(-decision[clean], kind="stable")[:500]]
             nystrom = Nystrom([*landmarks, *diverse([s for s in (strings[i] for i in near) if s not in set(landmarks)], LANDMARKS // 3)])
