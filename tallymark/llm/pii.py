@@ -336,6 +336,8 @@ def cards(run: str) -> list[tuple[int, int]]:
     found, among = [], {}
     for i, (start, _) in enumerate(parts):
         digits, groups = "", []
+        if i and parts[i][1] - start != 4 and not 13 <= parts[i][1] - start <= 19:  # starts no part of a run that is grouped as cards are
+            continue
         for j, (low, end) in enumerate(parts[i : i + 20], i):
             if len(digits) + end - low > 19:
                 break
