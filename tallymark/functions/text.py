@@ -109,8 +109,36 @@ def despaced(c: Column) -> Column:
 
 
 def rounded(c: Column, digits: int) -> Column:
-    """Half away from zero on the decimal form; may differ from binary half-even in the last digit."""
-    return F.round(c, digits)
+    """A double to so many digits after the point (0 to 15): the nearest to its binary value, ties to even, as Python rounds.
+
+    The double is multiplied by a power of ten in two parts, product and error, which together are exact: both factors are
+    cut into halves whose products fit a double. What is left over half of a unit then has the right sign. Doubles too large for
+    that (2^52 and more after scaling) are rounded by their fraction alone.
+    """
+    from tallymark.tables import let
+
+    scale = float(10**digits)
+    cut = 134217729.0  # 2^27 + 1
+    lit_high = scale * cut - (scale * cut - scale)
+    lit_low = scale - lit_high
+
+    def unit(x: Column) -> Column:
+        """x times the power of ten as the nearest integer; x is not negative and small enough."""
+
+        def exact(p: Column) -> Column:
+            return let(x * cut - (x * cut - x), lambda high: let(((high * lit_high - p) + high * lit_low + (x - high) * lit_high) + (x - high) * lit_low, lambda error: nearest(p, error)))
+
+        def nearest(p: Column, error: Column) -> Column:
+            return let(F.floor(p).cast("double"), lambda k: let((p - k - 0.5) + error, lambda over: k + F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(F.pmod(k, F.lit(2.0)))))
+
+        return let(x * scale, exact)
+
+    def whole(x: Column) -> Column:
+        large = let(F.floor(x).cast("double"), lambda k: k + unit(x - k) / scale)
+        return F.when(x >= 2.0**52, x).when(x * scale >= 2.0**52, large).otherwise(unit(x) / scale)
+
+    sized = let(c.cast("double"), lambda v: F.when(F.isnan(v), v).when(v < 0, -let(-v, whole)).otherwise(let(v, whole)))
+    return F.when(c.isNotNull(), sized)
 
 
 def shown_double(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark import schema
+from tallymark.functions import text
 
 VERDICTS = ("confirmed", "rejected", "corrected")
 
@@ -35,19 +36,19 @@ def recent(rows: DataFrame, now: Column, days: int = 30) -> DataFrame:
 def overall(rows: DataFrame) -> DataFrame:
     n = lambda v: F.count_if(F.col("verdict") == v).alias(v)
     out = rows.agg(F.count("*").alias("total_reviews"), *map(n, VERDICTS))
-    return out.withColumn("accuracy", F.when(F.col("total_reviews") > 0, F.round(F.col("confirmed") / F.col("total_reviews"), 3)).otherwise(0.0))
+    return out.withColumn("accuracy", F.when(F.col("total_reviews") > 0, text.rounded(F.col("confirmed") / F.col("total_reviews"), 3)).otherwise(0.0))
 
 
 def error_rate(rows: DataFrame, by: str) -> DataFrame:
     """(by, n, error_rate); blank document types are left out."""
     rows = rows.where(F.col(by) != "") if by == "doc_type" else rows
-    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.count_if(wrong()) / F.count("*"), 3).alias("error_rate"))
+    return rows.groupBy(by).agg(F.count("*").alias("n"), text.rounded(F.count_if(wrong()) / F.count("*"), 3).alias("error_rate"))
 
 
 def trend(rows: DataFrame) -> DataFrame:
     """(date, accuracy, count) by the day that the time's text starts with."""
     rows = rows.withColumn("date", F.substring("timestamp", 1, 10))
-    return rows.groupBy("date").agg(F.round(F.count_if(F.col("verdict") == "confirmed") / F.count("*"), 3).alias("accuracy"), F.count("*").alias("count")).orderBy("date")
+    return rows.groupBy("date").agg(text.rounded(F.count_if(F.col("verdict") == "confirmed") / F.count("*"), 3).alias("accuracy"), F.count("*").alias("count")).orderBy("date")
 
 
 def boosts(rows: DataFrame, above: float = 0.3) -> DataFrame:

@@ -11,7 +11,7 @@ from tallymark import schema
 from tallymark.operators import extract as ex
 from tallymark.operators import feedback, match, verify
 from tallymark.plans import report, score
-from tallymark.sources import scan
+from tallymark.sources import named, scan
 from tallymark.tables import settle
 
 
@@ -88,11 +88,20 @@ class Engine:
     def group(self, group_id: str) -> DataFrame:
         return self.results.where(self.results.group_id == group_id)
 
-    def write(self, folder: str, form: str = "parquet") -> None:
-        """All stages, as Parquet or JSON lines, and reports under ``folder``."""
+    def write(self, folder: str, form: str = "parquet", files: bool = False) -> None:
+        """All stages, as Parquet, JSON lines or ``array`` (a JSON array a part), and reports under ``folder``.
+
+        ``files`` also writes each report and each draft as a file named after its group. Arrays replace parts of the same number only.
+        """
         for name in STAGES:
-            getattr(self, name).write.mode("overwrite").format(form).save(f"{folder}/{name}")
+            if form == "array":
+                named.write_arrays(getattr(self, name), f"{folder}/{name}")
+            else:
+                getattr(self, name).write.mode("overwrite").format(form).save(f"{folder}/{name}")
         report.write(self.results, folder)
+        if files:
+            report.write_files(report.markdown(self.results), f"{folder}/report_files", ".md")
+            report.write_files(report.corrections(self.results), f"{folder}/draft_files", ".txt")
 
     def score(self, key: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
         numbers = score.shipments(self.members)

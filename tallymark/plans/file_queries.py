@@ -96,10 +96,10 @@ def inbox_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engine_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files all the way: scanned, run, every stage written in two forms and read back, one group looked up."""
+    """Files all the way: scanned, run, every stage written in three forms and read back, one group looked up."""
     raw, _ = scan.scan(spark, _folder(spark, sf_dir), logical="/corpus")
     run, counts = engine.Engine(settle(raw, "raw")), None
-    for form in ("parquet", "json"):
+    for form in ("parquet", "json", "array"):
         folder = fresh_path(spark, "stages")
         run.write(folder, form)
         for name in engine.STAGES:
@@ -230,7 +230,7 @@ FROM d""",
     "engine_stages": """
 WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE s_suppkey % 7 = 0) AS bad FROM supplier),
 s AS (SELECT unnest(['raw', 'documents', 'groups', 'verdicts']) AS name, unnest([3, 3, 3, 1]) AS times),
-f AS (SELECT unnest(['parquet', 'json']) AS form)
+f AS (SELECT unnest(['parquet', 'json', 'array']) AS form)
 SELECT name || ' ' || form AS stage, CAST(n * times AS BIGINT) AS n FROM s, f, n
 UNION ALL SELECT 'findings ' || form, CAST(2 * bad AS BIGINT) FROM f, n
 UNION ALL SELECT 'one group', 3""",

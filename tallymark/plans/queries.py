@@ -283,7 +283,8 @@ WITH r AS (
   FROM events),
 w AS (SELECT * FROM r WHERE date_trunc('second', ts) >= TIMESTAMP '2024-01-01 00:00:00')
 """
-_RATE = "count(*) AS n, round(count(*) FILTER (WHERE verdict <> 'confirmed') / count(*), 3) AS error_rate"
+# printf rounds the binary value, ties to even; round() does not
+_RATE = "count(*) AS n, CAST(printf('%.3f', count(*) FILTER (WHERE verdict <> 'confirmed') / count(*)) AS DOUBLE) AS error_rate"
 
 ORACLE_SQL = {
     "flagship": BASE + """,
@@ -372,10 +373,10 @@ SELECT n || '/' || n AS grouping_accuracy, 100.0::DOUBLE AS grouping_accuracy_pc
        1.0::DOUBLE AS f1, p || '/' || p AS localization_accuracy, 100.0::DOUBLE AS localization_accuracy_pct, true AS overall_pass FROM c""",
     "feedback_overall": EVENTS + """
 SELECT count(*) AS total_reviews, count(*) FILTER (WHERE verdict = 'confirmed') AS confirmed, count(*) FILTER (WHERE verdict = 'rejected') AS rejected,
-       count(*) FILTER (WHERE verdict = 'corrected') AS corrected, round(count(*) FILTER (WHERE verdict = 'confirmed') / count(*), 3) AS accuracy FROM w""",
+       count(*) FILTER (WHERE verdict = 'corrected') AS corrected, CAST(printf('%.3f', count(*) FILTER (WHERE verdict = 'confirmed') / count(*)) AS DOUBLE) AS accuracy FROM w""",
     "feedback_by_field": EVENTS + f"SELECT field, {_RATE} FROM w GROUP BY 1",
     "feedback_by_doc_type": EVENTS + f"SELECT doc_type, {_RATE} FROM w WHERE doc_type <> '' GROUP BY 1",
-    "feedback_trend": EVENTS + "SELECT day AS date, round(count(*) FILTER (WHERE verdict = 'confirmed') / count(*), 3) AS accuracy, count(*) AS count FROM w GROUP BY 1",
+    "feedback_trend": EVENTS + "SELECT day AS date, CAST(printf('%.3f', count(*) FILTER (WHERE verdict = 'confirmed') / count(*)) AS DOUBLE) AS accuracy, count(*) AS count FROM w GROUP BY 1",
     "feedback_boosts": EVENTS + """,
 b AS (SELECT string_split(field, '.')[-1] AS field FROM r GROUP BY 1, r.field HAVING count(*) FILTER (WHERE verdict <> 'confirmed') / count(*) > 0.3)
 SELECT DISTINCT unnest([field, replace(field, '_', ' ')]) AS label, field FROM b""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymark import schema
 from tallymark.functions import text
 from tallymark.operators import verify
+from tallymark.sources import named
 
 TOTALS = ("cartons", "net_kg", "gross_kg", "value", "currency")
 SHOWN_IDS = ("order_no", "bl_no", "container_no")
@@ -166,6 +167,11 @@ def write(rows: DataFrame, folder: str) -> None:
         frame.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def write_files(texts: DataFrame, folder: str, ending: str) -> None:
+    """(group_id, text) as a file a group: report.md or draft.txt of its own, none of it if the job fails."""
+    named.write(texts.select(F.concat("group_id", F.lit(ending)).alias("name"), "text"), folder, "name", "text")
+
+
 def results_json(rows: DataFrame) -> DataFrame:
     """(group_id, json): each shipment as JSON."""
     return rows.select("group_id", F.to_json(F.struct(*rows.columns)).alias("json"))

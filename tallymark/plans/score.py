@@ -80,9 +80,9 @@ def scorecard(table: DataFrame, located: DataFrame, targets: dict[str, float] |
     reached = (F.col("recall") >= aim["recall"]) & (F.col("grouping") >= aim["grouping"]) & (F.col("localization") >= aim["localization"]) & (F.col("fp") <= aim["false_positives"])
     share = lambda a, b: F.concat_ws("/", F.col(a).cast("string"), F.col(b).cast("string"))
     return counts.select(
-        share("grouped", "n").alias("grouping_accuracy"), F.round(F.col("grouping") * 100, 1).alias("grouping_accuracy_pct"), share("tp", "planted").alias("recall"),
-        F.round(F.col("recall") * 100, 1).alias("recall_pct"), F.round("precision", 3).alias("precision"), F.col("fp").alias("false_positives"), F.round(f1, 3).alias("f1"),
-        share("right", "located").alias("localization_accuracy"), F.round(F.col("localization") * 100, 1).alias("localization_accuracy_pct"), reached.alias("overall_pass"),
+        share("grouped", "n").alias("grouping_accuracy"), text.rounded(F.col("grouping") * 100, 1).alias("grouping_accuracy_pct"), share("tp", "planted").alias("recall"),
+        text.rounded(F.col("recall") * 100, 1).alias("recall_pct"), text.rounded(F.col("precision"), 3).alias("precision"), F.col("fp").alias("false_positives"), text.rounded(f1, 3).alias("f1"),
+        share("right", "located").alias("localization_accuracy"), text.rounded(F.col("localization") * 100, 1).alias("localization_accuracy_pct"), reached.alias("overall_pass"),
     )
 
 

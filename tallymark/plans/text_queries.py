@@ -13,8 +13,8 @@ from tallymark.functions import labels, text
 from tallymark.operators import extract as ex
 from tallymark.operators import verify as ve
 from tallymark.plans import report as re_
-from tallymark.sources import corpus
-from tallymark.tables import settle
+from tallymark.sources import corpus, named
+from tallymark.tables import fresh_path, settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,15 @@ def text_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").select("s_suppkey", *[c.alias(f"d{i}") for i, c in enumerate(shown)], text.rounded(quarter / 10, 1).alias("r"))
 
 
+def text_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles rounded by their binary value, ties to even: products, sixteenths, and what lies beside a half."""
+    price, quantity = F.col("l_extendedprice"), F.col("l_quantity").cast("double")
+    return _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", text.rounded(price * (1 - F.col("l_discount")), 2).alias("r2"), text.rounded(-quantity / 8, 1).alias("r1"),
+        text.rounded(price + 0.005, 2).alias("up"), text.rounded(quantity / 16, 3).alias("r3"),
+    )
+
+
 #: Titles as they head documents, and the types that they tell.
 TITLES = (
     ("PRO FORMA INVOICE", "proforma_invoice"), ("Shipment  Confirmation", "confirmation"), ("Commercial Invoice", "commercial_invoice"), ("Fattura 12", "commercial_invoice"), ("P A C K I N G   L I S T", "packing_list"),
@@ -187,6 +196,14 @@ def verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(said, "group_id", "left").select("group_id", "verdict", F.size("suspect_doc_ids").alias("suspects"), "n_findings", F.coalesce("ambiguous", F.lit(0)).alias("ambiguous"))
 
 
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of ``report_text``, each a file named after its group, read back."""
+    folder = fresh_path(spark, "reports")
+    re_.write_files(report_text(spark, sf_dir), folder, ".md")
+    found = named.read(spark, folder)
+    return found.select(F.substring_index("name", ".md", 1).alias("group_id"), F.col("value").alias("text"))
+
+
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole reports of groups with one document, and with a low difference between two."""
     docs = _altered(spark, sf_dir)
@@ -198,7 +215,7 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.markdown(re_.results(members, settle(ve.findings(members), "findings")))
 
 
-QUERIES = {f.__name__: f for f in (label_lookup, field_names, text_parties, text_likeness, text_doubles, title_types, extract_shapes, extract_unresolved, extract_learned, verify_fields, verify_pairs, report_text)}
+QUERIES = {f.__name__: f for f in (label_lookup, field_names, text_parties, text_likeness, text_doubles, text_rounded, title_types, extract_shapes, extract_unresolved, extract_learned, verify_fields, verify_pairs, report_text, report_files)}
 
 _KEYED = "WITH d AS (SELECT o_orderkey AS k, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS key, o_orderkey % 8 AS s, o_orderkey % 900 + 1 AS a, o_orderkey % 700 + 1 AS b FROM orders)"
 #: Orders that have items, as the corpus keeps them, with their number of documents' ids and the first document's shipper.
@@ -227,7 +244,10 @@ SELECT c_custkey, 'CONT' || key AS container, c_name AS party, lower(c_name) ||
     "text_likeness": """
 SELECT o_orderkey, round(CASE o_orderkey % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 24.0 / 26 WHEN 2 THEN 22.0 / 23 WHEN 3 THEN 22.0 / 24 ELSE 0.0 END::DOUBLE, 9) AS ratio FROM orders""",
     "text_doubles": """
-SELECT s_suppkey, CAST(s_suppkey * 0.25::DOUBLE AS VARCHAR) AS d0, CAST(CAST(s_suppkey * 250000 AS BIGINT) AS VARCHAR) || '.0' AS d1, round(s_suppkey * 0.25::DOUBLE / 10, 1) AS r FROM supplier""",
+SELECT s_suppkey, CAST(s_suppkey * 0.25::DOUBLE AS VARCHAR) AS d0, CAST(CAST(s_suppkey * 250000 AS BIGINT) AS VARCHAR) || '.0' AS d1, CAST(printf('%.1f', s_suppkey * 0.25::DOUBLE / 10) AS DOUBLE) AS r FROM supplier""",
+    "text_rounded": """
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(printf('%.2f', l_extendedprice * (1 - l_discount)) AS DOUBLE) AS r2, CAST(printf('%.1f', -l_quantity / 8) AS DOUBLE) AS r1,
+       CAST(printf('%.2f', l_extendedprice + 0.005) AS DOUBLE) AS up, CAST(printf('%.3f', l_quantity / 16) AS DOUBLE) AS r3 FROM lineitem""",
     "title_types": f"""
 SELECT o_orderkey, {_sql_list([t for _, t in TITLES])}[o_orderkey // 2 % {len(TITLES)} + 1] AS type, CASE WHEN o_orderkey // 2 % {len(TITLES)} = {len(TITLES) - 1} THEN 0.0 WHEN o_orderkey % 2 = 0 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence FROM orders""",
     "extract_shapes": _KEYED + """
@@ -259,3 +279,5 @@ FROM o""",
 n AS (SELECT k, count(*) AS c, count(*) FILTER (WHERE severity <> 'low') AS bad FROM f GROUP BY k)
 SELECT 'O' || k AS group_id, CASE WHEN coalesce(bad, 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, CASE WHEN c > 0 THEN 2 ELSE 0 END AS suspects, coalesce(c, 0) AS n_findings, coalesce(c, 0) AS ambiguous FROM o LEFT JOIN n USING (k)""",
 }
+
+ORACLE_SQL["report_files"] = ORACLE_SQL["report_text"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import random
 import zipfile
 import zlib
 from email.message import EmailMessage
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tallymark.plans.engine import Engine
 from tallymark.plans.queries import feedback_rows
-from tallymark.sources import corpus, ooxml, personas, scan
+from tallymark.functions import text
+from tallymark.sources import corpus, named, ooxml, personas, scan
 from tallymark.sources.pdf import pdf
 from tallymark.streaming import inbox
 
@@ -201,3 +204,53 @@ def test_messages_that_cannot_be_read_are_rows(spark, tmp_path):
     arrived = spark.createDataFrame([("m1.eml", bytearray(good)), ("m2.eml", bytearray(b"no mail"))], "path string, content binary")
     rows = {r["source_path"]: r["error"] for r in inbox.unpacked(arrived).collect()}
     assert rows["email://a.docx"] is None and "not a PDF" in rows["email://b.pdf"] and len(rows) == 2
+
+
+def test_named_files(spark, tmp_path):
+    folder = tmp_path / "named"
+    folder.mkdir()
+    (folder / "other.md").write_text("stays")
+    (folder / "a.md").write_text("old")
+    rows = spark.createDataFrame([("a.md", 2, "two"), ("b é+.md", 1, "ü"), ("a.md", 1, "one\n"), ("c.md", 1, None)], "n string, k int, t string").repartition(3)
+    named.write(rows, str(folder), "n", "t", ("k",))
+    assert {f.name: f.read_text() for f in folder.iterdir() if f.is_file() and not f.name.startswith((".", "_"))} == {"a.md": "one\ntwo", "b é+.md": "ü", "c.md": "", "other.md": "stays"}
+    assert {r["name"]: r["value"] for r in named.read(spark, str(folder)).collect() if r["value"]} == {"a.md": "one\ntwo", "b é+.md": "ü", "other.md": "stays"}
+    for bad in ("../x", "a/b", "", None, "_x"):
+        with pytest.raises(Exception, match="not a file name"):
+            named.write(spark.createDataFrame([("fine.md", "1"), (bad, "2")], "n string, t string").coalesce(1), str(folder), "n", "t")
+    assert not (folder / "fine.md").exists() and not list((folder / "_attempts").iterdir())
+
+
+def test_named_files_of_repeated_tasks(tmp_path):
+    writer = named.NamedWriter(str(tmp_path))
+    writer.write(iter([("a", "first attempt"), ("b", "x")]))  # its executor is lost before it reports
+    done = [writer.write(iter([("a", "second"), ("a", " attempt")])), writer.write(iter([])), writer.write(iter([("b", "y")]))]
+    assert not [f for f in tmp_path.iterdir() if f.is_file()]
+    writer.commit(done)
+    assert {f.name: f.read_text() for f in tmp_path.iterdir() if f.is_file()} == {"a": "second attempt", "b": "y", "_SUCCESS": ""}
+    with pytest.raises(ValueError, match="not together"):
+        writer.write(iter([("a", "1"), ("b", "2"), ("a", "3")]))
+    writer.abort([None])
+    assert (tmp_path / "a").read_text() == "second attempt" and not list((tmp_path / "_attempts").iterdir())
+
+
+def test_arrays(spark, tmp_path):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else f'say "{i}"\n') for i in range(50)], "i int, s string").repartition(3)
+    named.write_arrays(rows.where("i < 40").repartition(4, "i"), str(tmp_path))
+    parts = sorted(tmp_path.glob("part-*.json"))
+    assert all(isinstance(json.loads(p.read_text()), list) for p in parts)
+    got = spark.read.schema("i int, s string").option("multiLine", True).json(str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.where("i < 40").collect()), key=str)
+    assert '"s":null' in "".join(p.read_text() for p in parts)
+
+
+def test_rounding_equals_python(spark):
+    rng = random.Random(1)
+    values = [2.675, 0.125, 0.375, 1.005, -2.675, -0.125, 0.0, 0.5, 1.5, 2.5, 1e300, 4.5e15, 9.3e13 + 3 / 64, 5e-324, 45035996273704.955, 4503599627370495.5]
+    values += [rng.uniform(-1e4, 1e4) for _ in range(40_000)] + [round(rng.uniform(0, 1e6), 3) for _ in range(40_000)] + [rng.randrange(10**6) / 8 for _ in range(10_000)] + [10 ** rng.uniform(-12, 17) for _ in range(10_000)]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for digits in (0, 1, 2, 3):
+        for i, got in frame.select("i", text.rounded(F.col("v"), digits)).collect():
+            assert got == round(values[i], digits), (values[i], digits)
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "v double").select(text.rounded(F.col("v"), 2)).collect()
+    assert str(odd[0][0]) == "nan" and odd[1][0] == float("inf") and odd[2][0] is None
