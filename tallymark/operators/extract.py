@@ -92,7 +92,8 @@ def labelled(tables: Column, known: dict[str, str]) -> Column:
     """Cells with the fields that they name: array of tables of rows of (v, f)."""
     every = F.coalesce(tables, F.array().cast("array<array<array<string>>>"))
     each = lambda nested, cell: F.transform(nested, lambda t: F.transform(t, lambda r: F.transform(r, cell)))
-    plain = each(every, lambda c: text.strip(F.coalesce(c, F.lit(""))))
+    shown = lambda c, at: F.substring(c, at, 1).between("!", "~")  # noqa: E731  # ASCII, and no white space
+    plain = each(every, lambda c: F.when(shown(c, 1) & shown(c, -1), c).otherwise(text.strip(F.coalesce(c, F.lit("")))))
     return each(plain, lambda v: F.struct(v.alias("v"), labels.field_of(v, known, stripped=True).alias("f")))
 
 

@@ -63,8 +63,8 @@ def files_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(read.agg(F.lit("read").alias("what"), F.count("*").alias("n"), F.count("error").alias("shipments")))
 
 
-def files_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that cannot be read: no archive, no PDF, empty; whatever else lies there is passed over."""
+def _broken(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files that cannot be read, one for each nation."""
     folder = fresh_path(spark, "broken")
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey")
 
@@ -82,7 +82,19 @@ def files_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64())], ["k"])
 
     rows.mapInArrow(work, "k bigint").write.format("noop").mode("overwrite").save()
-    raw, errors = scan.scan(spark, folder)
+    return folder
+
+
+def files_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a folder by name and size, those without content too."""
+    folder = _broken(spark, sf_dir)
+    types = scan.catalogue(spark, folder).where("modified is not null").select("name", "type", "size_kb")
+    return scan.listed(spark, folder).join(types, "name").select("name", "length", "type", "size_kb")
+
+
+def files_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that cannot be read: no archive, no PDF, empty; whatever else lies there is passed over."""
+    raw, errors = scan.scan(spark, _broken(spark, sf_dir))
     kind = F.when(F.col("error") == "empty file", "empty").when(F.col("error").startswith("BadZipFile"), "archive").otherwise("pdf")
     return errors.select(F.regexp_extract("source_path", r"([^/]*)$", 1).alias("name"), kind.alias("kind")).unionByName(raw.select(F.col("source_path").alias("name"), F.lit("read").alias("kind")))
 
@@ -196,7 +208,7 @@ def messages_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        files_scan, files_listing, files_picks, files_errors, inbox_documents, engine_stages, results_file, report_page, score_files, score_card_errors, feedback_log, feedback_overrides,
+        files_scan, files_listing, files_picks, files_catalogue, files_errors, inbox_documents, engine_stages, results_file, report_page, score_files, score_card_errors, feedback_log, feedback_overrides,
         feedback_examples, feedback_dashboard, feedback_last, messages_planned,
     )
 }
@@ -225,6 +237,7 @@ SELECT '/corpus/' || name AS source_path, form AS source_format,
 FROM d""",
     "files_listing": _DOCS + "SELECT 'S' || key AS shipment, name, form AS type FROM d",
     "files_picks": "SELECT 'shipment' AS what, CAST(3 AS BIGINT) AS n, CAST(1 AS BIGINT) AS shipments UNION ALL SELECT 'documents', 2, 1 UNION ALL SELECT 'read', 1, 0",
+    "files_catalogue": "SELECT 'n' || n_nationkey || '.' || t AS name, length, t AS type, 0.0::DOUBLE AS size_kb FROM (SELECT *, ['docx', 'pdf', 'xlsx'][n_nationkey % 4 + 1] AS t, CAST([10, 20, 0][n_nationkey % 4 + 1] AS BIGINT) AS length FROM nation WHERE n_nationkey % 4 < 3)",
     "files_errors": "SELECT 'n' || n_nationkey || ['.docx', '.pdf', '.xlsx'][n_nationkey % 4 + 1] AS name, ['archive', 'pdf', 'empty'][n_nationkey % 4 + 1] AS kind FROM nation WHERE n_nationkey % 4 < 3",
     "inbox_documents": _DOCS + "SELECT 'email://Übersicht ' || name AS source_path, form AS source_format, 'ORD-' || key AS order_no, CAST(12 AS BIGINT) AS cartons, 2 AS n_items FROM d WHERE form = 'docx'",
     "engine_stages": """

@@ -18,7 +18,7 @@ from tallymark.plans import report as re_
 from tallymark.plans import score as sc
 from tallymark.sources import corpus
 from tallymark.streaming.groups import Groups
-from tallymark.tables import fresh_path, settle
+from tallymark.tables import fresh_path, numbered, settle
 
 # Items of one order may share line and lot: the first is told by all their columns, as the corpus sorts them.
 # Facts of the corpus in SQL: orders, items, totals of orders, and which errors are planted where.
@@ -162,6 +162,13 @@ def report_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.corrections(re_.results(members, settle(ve.findings(members), "findings")))
 
 
+def report_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reports of failed groups: findings and the sentence that sums them up."""
+    members = _members(spark, sf_dir)
+    results = settle(re_.results(members, settle(ve.findings(members), "findings")), "results")
+    return re_.markdown(results.where("verdict = 'FAIL'"))
+
+
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = _members(spark, sf_dir)
     out = re_.markdown(re_.results(members, settle(ve.findings(members), "findings")))
@@ -179,6 +186,12 @@ def score_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.confusion(key, verdicts, numbers)
 
 
+def score_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confusion table in the order in which it is exported, with each row's place."""
+    _, _, verdicts, numbers, key = _scored(spark, sf_dir)
+    return numbered(sc.confusion(key, verdicts, numbers), ["shipment"], "place").select("place", "shipment", "expected_verdict", "predicted_verdict")
+
+
 def score_localization(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, found, verdicts, numbers, key = _scored(spark, sf_dir)
     return sc.localization(key, found, members, verdicts, numbers).select("shipment", "expected_doc_type", "expected_field", "correct")
@@ -263,7 +276,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship, verify_findings, verify_tolerance, verify_verdicts, verify_single_items, match_groups, match_exact, match_arriving, match_long, extract_headers, extract_totals, extract_items,
-        pipeline_summary, corpus_errors, report_consensus, report_corrections, report_markdown, score_confusion, score_localization, score_card, feedback_overall, feedback_by_field,
+        pipeline_summary, corpus_errors, report_consensus, report_corrections, report_failed, report_markdown, score_confusion, score_sorted, score_localization, score_card, feedback_overall, feedback_by_field,
         feedback_by_doc_type, feedback_trend, feedback_boosts, feedback_training, text_hashes, text_identifiers, text_numbers, label_fields, doc_types,
     )
 }
@@ -358,10 +371,25 @@ SELECT 'O' || k AS group_id, 'Subject: Correction needed — Order ' || order_no
        || 'While cross-checking the documents for shipment ' || order_no || ' (B/L ' || bl_no || ', container ' || container_no || ') we found discrepancy(ies) that need correction:' || chr(10) || chr(10)
        || lines || chr(10) || chr(10) || 'Please reissue the corrected document(s) at your earliest convenience so we can clear the shipment without delay.' || chr(10) || chr(10) || 'Best regards,' || chr(10) || 'Logistics Team' AS text
 FROM t JOIN o USING (k)""",
+    "report_failed": PLANTED + """
+, d AS (SELECT k, [{'t': 'bill_of_lading', 'e': 'docx'}, {'t': 'packing_list', 'e': 'docx'}, {'t': 'commercial_invoice', 'e': 'xlsx'}] AS kinds FROM o),
+p AS (SELECT k, list_transform(kinds, lambda x: {'t': x.t, 'p': '/corpus/S' || lpad(CAST(k AS VARCHAR), 9, '0') || '_' || x.t || '.' || x.e}) AS docs FROM d),
+c AS (SELECT k, 3 - count(DISTINCT b) AS n, arg_min(b, field) AS b, arg_min(field, field) AS field FROM f GROUP BY k),
+t AS (SELECT f.k, string_agg('| ' || field || ' | `' || docs[b + 1].p || '` | ' || value_b || ' | ' || value_a || ' | high |', chr(10) ORDER BY field) AS lines FROM f JOIN p USING (k) GROUP BY f.k)
+SELECT 'O' || k AS group_id, '# Shipment Report — O' || k || chr(10) || chr(10) || '**Verdict:** FAIL' || chr(10) || chr(10) || '**Order No:** ' || order_no || '  ' || chr(10) || '**B/L No:** ' || bl_no || '  ' || chr(10)
+  || '**Container No:** ' || container_no || chr(10) || chr(10) || '**Documents:** 3' || chr(10) || chr(10) || '## Documents' || chr(10) || chr(10)
+  || array_to_string(list_transform(docs, lambda x: '- **' || x.t || '** — `' || x.p || '`'), chr(10)) || chr(10) || chr(10)
+  || '## Findings' || chr(10) || chr(10) || '| Field | Suspect Doc | Found Value | Expected Value | Severity |' || chr(10) || '|-------|------------|-------------|----------------|----------|' || chr(10) || lines || chr(10) || chr(10)
+  || '**Summary:** Likely error: the ' || ['Bill Of Lading', 'Packing List', 'Commercial Invoice'][c.b + 1] || ' (`' || docs[c.b + 1].p || '`) — ' || replace(string_split(c.field, '.')[-1], '_', ' ')
+  || ' disagrees with ' || n || CASE WHEN n = 1 THEN ' other document' ELSE ' other documents' END || ' in this shipment.' || chr(10) AS text
+FROM c JOIN t USING (k) JOIN p USING (k) JOIN o USING (k)""",
     "report_markdown": PLANTED + """
 SELECT 'O' || k AS group_id, '**Verdict:** ' || CASE WHEN k IN (SELECT k FROM f) THEN 'FAIL' ELSE 'PASS' END AS verdict_line, '**Order No:** ' || order_no || '  ' AS order_line, 3 AS documents FROM o""",
     "score_confusion": BASE + """
 SELECT k AS shipment, p AS planted_error, CASE WHEN p THEN 'FAIL' ELSE 'PASS' END AS expected_verdict, CASE WHEN p THEN 'FAIL' ELSE 'PASS' END AS predicted_verdict, true AS correct
+FROM (SELECT k, k % 17 = 0 OR k % 23 = 0 OR k % 31 = 0 AS p FROM o)""",
+    "score_sorted": BASE + """
+SELECT row_number() OVER (ORDER BY k) AS place, k AS shipment, CASE WHEN p THEN 'FAIL' ELSE 'PASS' END AS expected_verdict, CASE WHEN p THEN 'FAIL' ELSE 'PASS' END AS predicted_verdict
 FROM (SELECT k, k % 17 = 0 OR k % 23 = 0 OR k % 31 = 0 AS p FROM o)""",
     "score_localization": BASE + """
 SELECT k AS shipment, CASE WHEN k % 17 = 0 THEN 'commercial_invoice' WHEN k % 23 = 0 THEN 'packing_list' ELSE 'bill_of_lading' END AS expected_doc_type,

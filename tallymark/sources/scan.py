@@ -15,6 +15,8 @@ from tallymark.tables import numbered, settle
 
 PARSED = "source_path string, source_format string, text string, tables array<array<array<string>>>, error string"
 GLOB = "*.{docx,xlsx,pdf,DOCX,XLSX,PDF}"
+#: Names that a task of a listing hands on at once.
+LISTED = 10_000
 
 
 def parse(name: str, content: bytes | None) -> tuple[str, str, list]:
@@ -47,24 +49,39 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", "false").load(folder)
 
 
-def _listed(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, length) of all documents of a folder, empty ones too, which readers pass over; listed by a task."""
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, length, modified) of all documents of a folder, empty ones too, which Spark's readers pass over.
 
-    def work(batches):
+    A listing of a folder is one call of its file system, as it is for Spark's own readers; it is made by a task and gives names only. Files are
+    then looked up by as many tasks as there are shuffle partitions, each for its share of the names.
+    """
+    where = folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1)
+
+    def names(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            system, base = fs.FileSystem.from_uri(where)
+            found = system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if batch.num_rows else []
+            kept = [x.base_name for x in found if x.type == fs.FileType.File and x.extension.lower() in schema.FORMATS]
+            for i in range(0, max(1, len(kept)), LISTED):
+                yield pa.RecordBatch.from_arrays([pa.array(kept[i : i + LISTED], pa.string())], ["name"])
+
+    def looked_up(batches):
         from pyarrow import fs
 
         for batch in batches:
-            system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1))
-            found = [x for x in system.get_file_info(fs.FileSelector(base)) if x.type == fs.FileType.File and x.extension.lower() in schema.FORMATS] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([pa.array([x.base_name for x in found], pa.string()), pa.array([x.size for x in found], pa.int64())], ["name", "length"])
+            system, base = fs.FileSystem.from_uri(where)
+            found = system.get_file_info([f"{base}/{name}" for name in batch.column(0).to_pylist()])
+            kept = [x for x in found if x.type == fs.FileType.File]  # what was there when it was listed may be gone
+            yield pa.RecordBatch.from_arrays([pa.array([x.base_name for x in kept], pa.string()), pa.array([x.size for x in kept], pa.int64()), pa.array([x.mtime for x in kept], pa.timestamp("us", "UTC"))], ["name", "length", "modified"])
 
-    return spark.range(1).mapInArrow(work, "name string, length bigint")
+    return spark.range(1).mapInArrow(names, "name string").repartition("name").mapInArrow(looked_up, "name string, length bigint, modified timestamp")
 
 
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, size_kb, modified, type) of a folder's documents; contents are not read."""
-    name = F.regexp_extract("path", r"([^/\\]*)$", 1)
-    return files(spark, folder).select(name.alias("name"), F.round(F.col("length") / 1024, 1).alias("size_kb"), F.col("modificationTime").alias("modified"), F.lower(F.substring_index("path", ".", -1)).alias("type"))
+    """(name, size_kb, modified, type) of a folder's documents, empty ones too; contents are not read."""
+    return listed(spark, folder).select("name", text.rounded(F.col("length") / 1024, 1).alias("size_kb"), "modified", F.lower(F.substring_index("name", ".", -1)).alias("type"))
 
 
 def scan(spark: SparkSession, folder: str, logical: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -74,19 +91,16 @@ def scan(spark: SparkSession, folder: str, logical: str | None = None) -> tuple[
     folder in paths, so that ids do not depend on where files happened to lie. A folder that is
     missing or has no documents gives empty tables.
     """
-    try:
-        found = files(spark, folder)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        empty = spark.createDataFrame([], schema.RAW)
-        return empty, spark.createDataFrame([], "source_path string, error string")
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema.RAW), spark.createDataFrame([], "source_path string, error string")
+    found = files(spark, folder)
     parsed = settle(found.select("path", "content").mapInArrow(_parsed, PARSED), "scan")
     path = F.col("source_path") if logical is None else F.concat(F.lit(logical.rstrip("/") + "/"), F.regexp_extract("source_path", r"([^/\\]*)$", 1))
     good = parsed.where("error is null").withColumn("source_path", path)
     placed = numbered(good, ["source_path"], "place").withColumn("doc_ord", F.col("place") - 1)
     raw = placed.select(text.content_hash(F.col("text"), F.col("source_path")).alias("doc_id"), "source_path", "source_format", "text", "tables", "doc_ord")
-    empty = _listed(spark, folder).where("length = 0").select(F.concat(F.lit(folder.rstrip("/") + "/"), "name").alias("source_path"), F.lit("empty file").alias("error"))
+    empty = listed(spark, folder).where("length = 0").select(F.concat(F.lit(folder.rstrip("/") + "/"), "name").alias("source_path"), F.lit("empty file").alias("error"))
     return raw, parsed.where("error is not null").select("source_path", "error").unionByName(empty)
 
 

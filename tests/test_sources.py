@@ -90,7 +90,8 @@ def test_scan(spark, folder):
     assert {r["source_path"].rpartition("/")[2] for r in errors.collect()} == {"broken.docx", "empty.xlsx"}
     assert scan.scan(spark, folder + "/nowhere")[0].count() == 0
     assert scan.scan(spark, folder, logical="mail:/")[0].where("source_path = 'mail:/S01_bl.docx'").count() == 1
-    assert {r["name"] for r in scan.catalogue(spark, folder).collect()} >= {"S01_bl.docx", "S02_note.pdf"}
+    assert {r["name"] for r in scan.catalogue(spark, folder).collect()} >= {"S01_bl.docx", "S02_note.pdf", "empty.xlsx"}
+    assert {r["name"]: r["length"] for r in scan.listed(spark, folder).collect()}["empty.xlsx"] == 0 and scan.listed(spark, folder + "/nowhere").count() == 0
     assert scan.document(spark, folder, "S01_bl.docx").first()["text"].startswith("BILL OF LADING")
     for name in ("../x.docx", "a/b.docx", "", "*"):
         with pytest.raises(ValueError):
