@@ -32,6 +32,8 @@ P = 2_147_483_647
 #: Steps of cycle walking that the plan unrolls; a walk longer than that raises an error.
 WALK = 64
 #: Portions in which equal rows are counted and numbered.
+#: Equal rows that are told out at once.
+STEP = 1 << 16
 SALTS = 64
 
 
@@ -139,8 +141,11 @@ def numbered(rows: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, int]:
     # 4096 rows at most: the cells are three hexadecimal digits
     placed = celled.join(F.broadcast(offsets.select("cell", "offset")), "cell")
     placed = placed.select(*names, "n", (F.col("offset") + F.sum("n").over(inside) - F.col("n")).alias("start"))
-    every = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("row_no")
-    return placed.select(*names, every), int(total)
+    # equal rows are told out in two steps, so that no array is longer than STEP or the STEP-th part of them
+    step = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / STEP).cast("bigint"))).alias("step")
+    stepped = placed.select(*names, (F.col("start") + F.col("n")).alias("end"), "start", step).withColumn("low", F.col("start") + F.col("step") * STEP)
+    every = F.explode(F.sequence(F.col("low"), F.least(F.col("end"), F.col("low") + STEP) - 1)).alias("row_no")
+    return stepped.select(*names, every), int(total)
 
 
 def shard(docs: DataFrame, shards: int = 40, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

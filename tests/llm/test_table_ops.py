@@ -64,6 +64,15 @@ def test_targets_of_many_sources(spark, share):
     assert sum(r["target"] for r in got) == pytest.approx(min(share, 2.0) * sum(sizes.values()))
 
 
+def test_equal_rows_are_told_out_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STEP", 7)
+    docs = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text")).unionByName(spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, text string"))
+    got = sharding.shard(docs, shards=40).collect()
+    assert len(got) == 302 and len({(r["shard"], r["slot"]) for r in got}) == 302
+    rows, n = sharding.numbered(docs)
+    assert n == 302 and sorted(r["row_no"] for r in rows.collect()) == list(range(302))
+
+
 def test_shards(spark):
     rows = [(i, None if i % 50 == 0 else f"text {i} é") for i in range(517)] + [(None, "x"), (7, "text 7 é"), (7, "text 7 é")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
