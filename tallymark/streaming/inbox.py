@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallymark import schema
 from tallymark.functions import text
-from tallymark.sources import scan
+from tallymark.sources import mail, scan
 
 ATTACHMENTS = "message string, name string, content binary, error string"
 
@@ -58,6 +58,12 @@ def messages(spark: SparkSession, folder: str, most: int = 50) -> DataFrame:
     return reader.option("pathGlobFilter", "*.eml").option("maxFilesPerTrigger", most).load(folder)
 
 
+def mailbox(spark: SparkSession, **options: str) -> DataFrame:
+    """A stream of the messages of a mailbox (``sources.mail``) in the form of ``messages``."""
+    spark.dataSource.register(mail.Mailbox)
+    return spark.readStream.format(mail.FORMAT).options(**options).load().select(F.concat(F.lit("mail://"), F.col("uid").cast("string")).alias("path"), "content")
+
+
 def unpacked(arrived: DataFrame) -> DataFrame:
     """Messages to (source_path, source_format, text, tables, error): attachments, and what cannot be read with its error."""
     found = arrived.select("path", "content").mapInArrow(_unpacked, ATTACHMENTS)
@@ -71,10 +77,10 @@ def raw_documents(arrived: DataFrame) -> DataFrame:
     return unpacked(arrived).where("error is null").select(text.content_hash(F.col("text"), F.col("source_path")).alias("doc_id"), "source_path", "source_format", "text", "tables")
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, handle=None, errors: str | None = None, groups: str | None = None) -> StreamingQuery:
+def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, handle=None, errors: str | None = None, groups: str | None = None, arrived: DataFrame | None = None) -> StreamingQuery:
     """Everything that has arrived, once: extracted documents are appended to ``out``, what cannot be read to ``errors``.
 
-    ``groups`` names a folder in which the groups of all that arrived are kept (``streaming.groups``).
+    ``arrived`` is another stream of messages than ``folder``'s, such as a ``mailbox``. ``groups`` names a folder in which the groups of all that arrived are kept (``streaming.groups``).
     ``handle`` is called with each batch that was stored, to match and verify anew. Documents are numbered by their paths
     inside a batch, so that a batch that is repeated gives the same rows.
     """
@@ -94,7 +100,7 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, handle=N
         if handle is not None:
             handle(spark.read.parquet(out), number)
 
-    return messages(spark, folder).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return (messages(spark, folder) if arrived is None else arrived).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def review_metrics(reviews: DataFrame, delay: str = "1 day") -> DataFrame:

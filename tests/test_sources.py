@@ -255,3 +255,42 @@ def test_rounding_equals_python(spark):
             assert got == round(values[i], digits), (values[i], digits)
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "v double").select(text.rounded(F.col("v"), 2)).collect()
     assert str(odd[0][0]) == "nan" and odd[1][0] == float("inf") and odd[2][0] is None
+
+
+def test_mailbox_stream(spark, tmp_path):
+    box = tmp_path / "box"
+    box.mkdir()
+
+    def drop(*uids):
+        for u in uids:
+            (box / f"{u}.eml").write_bytes(f"message {u}".encode())
+
+    marked = lambda: sorted(int(p.stem) for p in box.glob("*.seen"))
+    stored, fail = [], [True]
+
+    def store(batch, number):
+        rows = sorted(((r["path"], bytes(r["content"])) for r in batch.collect()), key=lambda x: int(x[0].rpartition("/")[2]))
+        if fail[0]:
+            raise RuntimeError("the sink is down")
+        stored.extend(rows)
+
+    def run():
+        query = inbox.mailbox(spark, path=str(box), share="2").writeStream.foreachBatch(store).option("checkpointLocation", str(tmp_path / "seen")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    drop(3, 5, 6, 9, 10)
+    with pytest.raises(Exception, match="sink is down"):
+        run()
+    assert not stored and not marked()
+    drop(11)  # arrives before the batch is tried again and is not part of it
+    fail[0] = False
+    run()
+    run()
+    drop(20, 12)
+    (box / "4.eml").write_bytes(b"late, with a number below")
+    run()
+    assert stored == [(f"mail://{u}", f"message {u}".encode()) for u in (3, 5, 6, 9, 10)] + [("mail://11", b"message 11")] + [("mail://12", b"message 12"), ("mail://20", b"message 20")]
+    assert set(marked()) >= {3, 5, 6, 9, 10}
