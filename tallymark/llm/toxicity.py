@@ -347,12 +347,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], ["label", "windows"])
 
     known: dict[str, int] = {}
-    bags = []
+    read = []
     for row in texts.mapInArrow(work, "label int, windows array<string>").toLocalIterator():
-        bags.append((row["label"], row["windows"]))
-    bags.sort()  # whatever task a document came from
-    bags = [(label, np.array([known.setdefault(w, len(known)) for w in own], np.int64)) for label, own in bags]
-    return trained(bags, list(known), (totals.get(0, 0), totals.get(1, 0)))
+        read.append((row["label"], np.array([known.setdefault(w, len(known)) for w in row["windows"]], np.int32)))
+    # by name, and documents by their windows, whatever task they came from
+    strings = sorted(known)
+    place = np.empty(len(strings), np.int32)
+    place[[known[w] for w in strings]] = np.arange(len(strings), dtype=np.int32)
+    known.clear()
+    bags = sorted(((label, np.sort(place[own])) for label, own in read), key=lambda bag: (bag[0], bag[1].tobytes()))
+    return trained(bags, strings, (totals.get(0, 0), totals.get(1, 0)))
 
 
 def hash_of(word: str) -> int:
