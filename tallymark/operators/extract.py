@@ -1,7 +1,7 @@
-"""Raw documents to canonical documents, all inside the row: no join, no shuffle, no Python.
+"""Raw documents to canonical documents: no join and no shuffle. Tables are read by ``cells``, texts by column expressions.
 
-Nested arrays of lines and cells are worked on with higher-order functions. Whatever several
-fields need (labelled cells, label-value pairs, lines) is bound once with ``let``.
+Arrays of lines are worked on with higher-order functions. Whatever several
+fields need (label-value pairs, lines) is bound once with ``let``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallymark import schema
 from tallymark.functions import labels, text
 from tallymark.functions.text import WS
+from tallymark.operators import cells
 from tallymark.tables import let
 
 # Titles of documents in the order in which they are tried, with their type.
@@ -43,8 +44,7 @@ CONFIRMATION = {
 BL_AGAIN = r"\bbl\s*no\.?\s*:?\s*(\w+)"
 FROM_TO = r"\bfrom\s+(.+?)\s+to\s+(.+?)[,\.\n]"
 CONFIRMED_TOTALS = r"total[:\s]*(\d[\d,]*)\s*cartons?,\s*net\s*([\d,\.]+)\s*kg,\s*gross\s*([\d,\.]+)\s*kg"
-# Words that mark rows of totals, header lines and columns of fixed-width lists.
-TOTAL_WORDS, TOTAL_ARABIC = ("total", "totale", "montant"), ("المجموع", "الإجمالي", "اجمالي")
+# Words that mark header lines and columns of fixed-width lists.
 HEADER_WORDS = ("description", "descrizione", "net", "gross", "peso", "cartons", "colli", "ctns", "packages", "pkgs", "الوصف", "الوزن", "الصناديق", "كراتين")
 COLUMN_WORDS = {
     "lot": ("lot", "لوط", "الدفعة", "numéro de lot", "n° de lot"),
@@ -53,7 +53,6 @@ COLUMN_WORDS = {
     "net_kg": ("peso neto kg", "peso netto kg", "n.w. (kgs)", "net wt", "net weight", "peso neto", "peso netto", "n.w.", "net", "poids net", "poids net kg", "p. net", "الوزن الصافي", "وزن صافي"),
     "gross_kg": ("peso bruto kg", "peso lordo kg", "gross wt", "gross weight", "peso bruto", "peso lordo", "g.w.", "gross", "poids brut", "poids brut kg", "p. brut", "الوزن الإجمالي", "الوزن الخام", "وزن إجمالي"),
 }
-ITEM_FIELDS = ("description", "cartons", "net_kg", "gross_kg", "unit_price", "units", "amount")
 DATA_LINE = r"(?i)^[A-Z]\d{4}[A-Z]"
 KEY_FIELDS = ("order_no", "bl_no", "reference", "container_no", "seal_no", "shipper", "consignee", "vessel", "pol", "pod", "ship_date", "currency")
 
@@ -88,53 +87,6 @@ def text_pairs(lines: Column, known: dict[str, str]) -> Column:
     return F.filter(found, lambda p: p["f"].isNotNull() & (p["v"] != ""))
 
 
-def labelled(tables: Column, known: dict[str, str]) -> Column:
-    """Cells with the fields that they name: array of tables of rows of (v, f)."""
-    every = F.coalesce(tables, F.array().cast("array<array<array<string>>>"))
-    each = lambda nested, cell: F.transform(nested, lambda t: F.transform(t, lambda r: F.transform(r, cell)))
-    shown = lambda c, at: F.substring(c, at, 1).between("!", "~")  # noqa: E731  # ASCII, and no white space
-    plain = each(every, lambda c: F.when(shown(c, 1) & shown(c, -1), c).otherwise(text.strip(F.coalesce(c, F.lit("")))))
-    return each(plain, lambda v: F.struct(v.alias("v"), labels.field_of(v, known, stripped=True).alias("f")))
-
-
-def _named(row: Column) -> Column:
-    return F.filter(row, lambda c: c["f"].isNotNull())
-
-
-def table_pairs(cells: Column) -> Column:
-    """Pairs of the tables that are not item tables, from columns 1-2 and 4-5."""
-
-    def of_row(row: Column) -> Column:
-        pair = lambda i: F.struct(F.get(row, F.lit(i))["f"].alias("f"), F.get(row, F.lit(i + 1))["v"].alias("v"), F.get(row, F.lit(i))["v"].alias("l"))
-        return F.filter(F.array(pair(0), pair(3)), lambda p: p["f"].isNotNull() & (p["v"] != ""))
-
-    metadata = F.filter(cells, lambda t: F.coalesce(F.size(_named(F.get(t, F.lit(0)))), F.lit(0)) < 3)
-    return F.flatten(F.transform(metadata, lambda t: F.flatten(F.transform(t, of_row))))
-
-
-def header_row(table: Column) -> Column:
-    """Place of the header row from 0, or -1: the row with most known labels, item labels before others."""
-
-    def score(row: Column) -> Column:
-        names = F.transform(_named(row), lambda c: c["f"])
-        extra = F.when(F.array_contains(names, "description"), 100).otherwise(0) + F.when(F.arrays_overlap(names, F.array(*map(F.lit, ITEM_FIELDS))), 50).otherwise(0)
-        return F.when(F.size(names) >= 2, F.size(names) + F.coalesce(extra, F.lit(0))).otherwise(-1)
-
-    return let(F.transform(table, score), lambda s: F.when(F.array_max(s) > 0, F.array_position(s, F.array_max(s)).cast("int") - 1).otherwise(-1))
-
-
-def with_headers(cells: Column) -> Column:
-    """Tables that have a header: array of (head, rows); rows are those below it."""
-    found = F.transform(cells, lambda t: let(header_row(t), lambda at: F.struct(at.alias("at"), F.get(t, at).alias("head"), F.slice(t, at + 2, F.greatest(F.size(t), F.lit(1))).alias("rows"))))
-    return F.filter(found, lambda t: t["at"] >= 0)
-
-
-def _by_field(head: Column, row: Column) -> Column:
-    """The filled cells of a row with the fields of their columns: array of (f, v)."""
-    at = F.transform(head, lambda h, i: F.struct(h["f"].alias("f"), F.get(row, i)["v"].alias("v")))
-    return F.filter(at, lambda c: c["f"].isNotNull() & c["v"].isNotNull() & (c["v"] != ""))
-
-
 def _first(pairs: Column, field: str, part: str = "v") -> Column:
     """What the first pair of a field says: arrays of one part are searched without a function for each pair."""
     return F.get(pairs[part], F.array_position(pairs["f"], field).cast("int") - 1)
@@ -144,50 +96,6 @@ def _last(pairs: Column, field: str, part: str = "v") -> Column:
     return _first(F.reverse(pairs), field, part)
 
 
-def line_items(tables: Column) -> Column:
-    """Items of all tables with headers, in order; rows of totals, marks and blanks left out."""
-
-    def item(cells: Column) -> Column:  # last cell first
-        parsed = F.struct(
-            _first(cells, "description").alias("description"), _first(cells, "lot").alias("lot"),
-            text.integer(_first(cells, "cartons")).alias("cartons"), text.number(_first(cells, "net_kg")).alias("net_kg"),
-            text.number(_first(cells, "gross_kg")).alias("gross_kg"), text.number(_first(cells, "unit_price")).alias("unit_price"),
-            text.integer(_first(cells, "units")).alias("units"), text.number(_first(cells, "amount")).alias("amount"),
-        )
-        return let(parsed, lambda p: p.withField("amount", F.coalesce(p["amount"], text.rounded(p["unit_price"] * p["cartons"], 2))))
-
-    def of_table(t: Column) -> Column:
-        rows = F.transform(t["rows"], lambda r: F.reverse(_by_field(t["head"], r)))
-
-        def real(cells: Column) -> Column:
-            named = lambda name: let(F.lower(name), lambda low: name.isNotNull() & ~(low.startswith("total") | low.startswith("specimen") | name.isin(*TOTAL_ARABIC)))
-            return let(_first(cells, "description"), named)
-
-        return F.transform(F.filter(rows, real), item)
-
-    return F.flatten(F.transform(tables, of_table))
-
-
-def table_totals(tables: Column) -> Column:
-    """Totals of the rows that say so: the first number of each field."""
-
-    def of_table(t: Column) -> Column:
-        says = lambda r: F.exists(r, lambda c: F.lower(c["v"]).isin(*TOTAL_WORDS) | c["v"].isin(*TOTAL_ARABIC))
-        return F.flatten(F.transform(F.filter(t["rows"], says), lambda r: _by_field(t["head"], r)))
-
-    def first(cells: Column, field: str, parse) -> Column:
-        numbers = F.transform(F.filter(cells, lambda c: c["f"] == field), lambda c: parse(c["v"]))
-        return F.get(F.filter(numbers, lambda x: x.isNotNull()), F.lit(0))
-
-    return let(
-        F.flatten(F.transform(tables, of_table)),
-        lambda cells: F.struct(
-            first(cells, "cartons", text.integer).alias("cartons"), first(cells, "net_kg", text.number).alias("net_kg"),
-            first(cells, "gross_kg", text.number).alias("gross_kg"), first(cells, "amount", text.number).alias("value"),
-        ),
-    )
-
-
 def confirmation(body: Column) -> Column:
     """What a confirmation says in prose: struct of fields."""
     found = {k: _group(body, v) for k, v in CONFIRMATION.items()}
@@ -296,30 +204,25 @@ def extract(docs: DataFrame, extra_labels: dict[str, str] | None = None, label_v
     known = labels.dictionary(extra_labels)
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(body, "\n")
-    read = docs.select(
-        "*", body.alias("_body"), doc_type(body).alias("_type"), F.reverse(text_pairs(lines, known)).alias("_text"),
-        let(labelled(F.col("tables"), known), lambda cells: F.struct(table_pairs(cells).alias("pairs"), with_headers(cells).alias("headed"))).alias("_cells"),
-        F.exists(F.coalesce("tables", F.array().cast("array<array<array<string>>>")), lambda t: (F.size(t) > 1) & F.exists(t, lambda r: F.size(r) >= 2)).alias("_structured"),
-    )
+    own = [c.split()[0] for c in schema.RAW.split(", ")]
+    read = cells.read(docs.select(*own), known).select("*", body.alias("_body"), doc_type(body).alias("_type"), F.reverse(text_pairs(lines, known)).alias("_text"))
     sure = F.col("_type.type") == "confirmation"
     read = read.select(
         "*", F.when(sure, confirmation(F.col("_body"))).alias("_said"), F.when(sure, confirmed_totals(F.col("_body"))).alias("_said_totals"),
-        prose_totals(F.col("_body")).alias("_prose"), F.when(F.col("_structured"), line_items(F.col("_cells.headed"))).alias("_items"),
-        F.when(F.col("_structured"), table_totals(F.col("_cells.headed"))).alias("_totals"), fixed_width(F.split("_body", "\n")).alias("_fixed"),
+        prose_totals(F.col("_body")).alias("_prose"), fixed_width(F.split("_body", "\n")).alias("_fixed"),
     )
 
     def pair(field: str, part: str = "v") -> Column:
-        found = [_first(F.col("_cells.pairs"), field, part), _first(F.col("_text"), field, part)]  # the last of the text comes first
+        found = [_first(F.col("_pairs"), field, part), _first(F.col("_text"), field, part)]  # the last of the text comes first
         if field in (*CONFIRMATION, "shipper", "consignee"):
             found.append(F.col(f"_said.{field}") if part == "v" else F.when(F.col(f"_said.{field}").isNotNull(), F.lit(field)))
         return F.coalesce(*found)
 
     kept = F.struct(*[pair(f).alias(f) for f in KEY_FIELDS])
     named = F.struct(*[pair(f, "v" if label_values else "l").alias(f) for f in sorted(labels.fields())])
-    heads = F.flatten(F.transform(F.col("_cells.headed"), lambda t: F.filter(t["head"], lambda c: c["f"].isNotNull())))
     read = read.select(
-        *docs.columns, "_type", "_totals", "_prose", "_said_totals", F.col("_fixed.totals").alias("_fixed_totals"), kept.alias("_kv"), named.alias("_labels"),
-        F.when(F.col("_structured"), heads).alias("_heads"), F.coalesce("_items", F.col("_fixed.items"), F.array().cast(f"array<{schema.ITEM}>")).alias("line_items"),
+        *[c for c in own if c != "tables"], "_type", "_totals", "_prose", "_said_totals", F.col("_fixed.totals").alias("_fixed_totals"), kept.alias("_kv"), named.alias("_labels"),
+        "_heads", F.coalesce("_items", F.col("_fixed.items"), F.array().cast(f"array<{schema.ITEM}>")).alias("line_items"),
     )
     items, total = F.col("line_items"), lambda name, field: F.col(f"{name}.{field}")
     empty = lambda *names: reduce(lambda a, b: a & b, [F.coalesce(*[total(n, f) for n in names]).isNull() for f in ("net_kg", "gross_kg", "cartons")])
