@@ -52,10 +52,15 @@ def _unpacked(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary(), pa.string()))], ["message", "name", "content", "error"])
 
 
-def messages(spark: SparkSession, folder: str, most: int = 50) -> DataFrame:
-    """A stream of message files (.eml), ``most`` at a time."""
+#: Bytes of messages that a batch reads, about. A batch costs seconds of planning whatever it holds, so small messages come in large numbers.
+AT_ONCE = 64 << 20
+
+
+def messages(spark: SparkSession, folder: str, most: int | None = None, size: int = AT_ONCE) -> DataFrame:
+    """A stream of message files (.eml), ``size`` bytes at a time, or ``most`` files."""
     reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
-    return reader.option("pathGlobFilter", "*.eml").option("maxFilesPerTrigger", most).load(folder)
+    bound = {"maxBytesPerTrigger": size} if most is None else {"maxFilesPerTrigger": most}
+    return reader.option("pathGlobFilter", "*.eml").options(**bound).load(folder)
 
 
 def mailbox(spark: SparkSession, **options: str) -> DataFrame:
