@@ -98,6 +98,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly over all cores, four parts each at least: for small rows that much work follows, however few files or row groups they come from."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with its global rank from 1, without a global window: sorted ranges, numbered inside, with offsets.
 

@@ -40,3 +40,22 @@ def test_numbers_equal_text_number(spark):
     found = cells.numbers(pa.array(said))
     assert found.to_pylist() == [r["n"] for r in rows]
     assert cells.whole(found).to_pylist() == [r["k"] for r in rows]
+
+
+def test_shapes_of_one_row_group_are_many_tasks(spark, tmp_path):
+    from tallymark.plans import text_queries
+
+    spark.range(100).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    docs = text_queries._shapes(spark, str(tmp_path))
+    assert docs.rdd.getNumPartitions() >= 4 and docs.count() == 100
+
+
+def test_small_messages_come_in_one_batch(spark, tmp_path):
+    from tallymark.streaming import inbox
+
+    for i in range(120):
+        (tmp_path / f"{i}.eml").write_bytes(b"Subject: x\n\n")
+    sizes = []
+    query = inbox.messages(spark, str(tmp_path)).writeStream.foreachBatch(lambda batch, n: sizes.append(batch.count())).trigger(availableNow=True)
+    query.option("checkpointLocation", f"{tmp_path}/seen").start().awaitTermination()
+    assert sizes == [120]
