@@ -59,3 +59,18 @@ def test_small_messages_come_in_one_batch(spark, tmp_path):
     query = inbox.messages(spark, str(tmp_path)).writeStream.foreachBatch(lambda batch, n: sizes.append(batch.count())).trigger(availableNow=True)
     query.option("checkpointLocation", f"{tmp_path}/seen").start().awaitTermination()
     assert sizes == [120]
+
+
+def test_groups_of_like_documents_are_left_out(spark):
+    from tallymark import schema
+    from tallymark.operators import verify as ve
+
+    def doc(group, number, order=None, bill=None, reference=None, lots=("A",)):
+        items = [(f"Part {lot}", lot, 1, 1.0, 1.0, None, None, None) for lot in lots]
+        return (f"d{number}", None, "packing_list", "docx", (order, bill, reference, None, None), (None, None), (None,) * 5, items, (None,) * 5, 1.0, None, number, group)
+
+    rows = [doc("same", 1, "X", "Y"), doc("same", 2, "X", "Y"), doc("moved", 3, "X", "Y"), doc("moved", 4, None, "X", "Y"), doc("items", 5, "X"), doc("items", 6, "X", lots=("A", "B")), doc("alone", 7, "X")]
+    members = spark.createDataFrame(rows, f"{schema.CANONICAL}, group_id string")
+    found = {(r["group_id"], r["sections_differ"], r["items_differ"]) for r in ve.apart(members).collect()}
+    assert found == {("moved", True, False), ("items", False, True)}
+    assert {(r["group_id"], r["field"]) for r in ve.findings(members).collect()} == {("moved", "identifiers.bl_no"), ("items", "line_items[lot=B]"), ("items", "line_items[desc=part b]")}
