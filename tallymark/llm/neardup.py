@@ -21,8 +21,10 @@ threshold. Links are found in two ways, and every pair of candidates is decided
   prefix filter: sets that similar must share one of their rarest shingles, so what many texts
   share, like a common passage, brings nobody together. Shingles with few pairs are treated
   as such buckets. The few that whole groups of texts at the edge of the threshold have in common
-  are compared in blocks of ``BLOCK`` by ``BLOCK`` texts, as products of incidence matrices: no pair is
-  ever a row, and only links that hold come out.
+  are dealt into blocks of ``BLOCK`` texts, which are compared as products of incidence matrices: no pair is
+  ever a row, and of the links that hold only so many come out as tie the block's classes together, fewer
+  than it has classes. Classes are merged, and so again with blocks dealt anew while that still merges many.
+  Then all blocks that hold different classes meet, but for those of a key's largest class with each other.
 
 Classes are the connected components, by label propagation with pointer jumping over tables.
 
@@ -51,6 +53,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Leader rounds at most, and the share of nodes a round must merge for another to follow.
 LEADER_ROUNDS, WORTH = 4, 0.02
+#: Rounds at most in which each text of a dense key is compared with one block, before blocks meet.
+BLOCK_ROUNDS = 8
 #: Pairs across classes that a bucket may make as rows, as a multiple of its members.
 SPARSE = 4
 BLOCK = 256
@@ -166,9 +170,9 @@ class _Classes:
         self.crowd, self.sets, self.threshold = crowd, sets, threshold
         self.of = settle(nodes.select("node", F.col("node").alias("class")), "dup-classes")
 
-    def placed(self) -> DataFrame:
+    def placed(self, crowd: DataFrame | None = None) -> DataFrame:
         """Rows (key, node, class) of the buckets that still hold several classes."""
-        rows = settle(self.crowd.join(self.of, "node"), "dup-placed")
+        rows = settle((self.crowd if crowd is None else crowd).join(self.of, "node"), "dup-placed")
         open_ = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
         return settle(rows.join(open_.select("key"), "key"), "dup-open")
 
@@ -231,13 +235,31 @@ def _split(rows: DataFrame, sparse: float) -> tuple[DataFrame, DataFrame]:
     return pick(True), pick(False)
 
 
-def _in_blocks(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) across classes among the rows of each key, from blocks of texts."""
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    rows = rows.select("key", "node", "class", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    rows = rows.select("key", "node", "class", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(sets, "node")
+def _in_blocks(rows: DataFrame, sets: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Links (a, b) of classes among the rows of each key, each compared with one block of them: linear in the rows."""
+    parts = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64(F.col("node"), F.lit(turn)), "parts").cast("int")
+    rows = rows.join(parts, "key").select("key", "node", "class", own.alias("own"))
+    return _compared(rows.select("*", F.col("own").alias("i"), F.col("own").alias("j")), sets, threshold)
+
+
+def _between(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of classes among the rows of each key, of all blocks but those of its largest class with each other."""
+    per = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
+    largest = per.groupBy("key").agg(F.max(F.struct("n", "class")).alias("first"), F.sum("n").alias("all")).where("first.n < all")
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    largest = largest.select("key", F.col("first.class").alias("main"), parts(F.col("first.n")).alias("pm"), parts(F.col("all") - F.col("first.n")).alias("po"))
+    rows = rows.join(largest, "key")
+    main = F.col("class") == F.col("main")
+    # blocks of the others come first, and only the others meet all blocks
+    own = F.when(main, F.col("po") + F.pmod(F.xxhash64("node"), "pm")).otherwise(F.pmod(F.xxhash64("node"), "po")).cast("int")
+    last = F.when(main, F.col("po")).otherwise(F.col("po") + F.col("pm")) - 1
+    rows = rows.select("key", "node", "class", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return _compared(rows.select("key", "node", "class", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), sets, threshold)
+
+
+def _compared(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of classes, from the texts of blocks i and j of each key: so few as tie together what is alike there."""
 
     def compare(table: pa.Table) -> pa.Table:
         node, group, own = (table.column(c).to_numpy() for c in ("node", "class", "own"))
@@ -258,13 +280,26 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             grid = np.zeros((len(node), step), np.float32)
             grid[text[a:b], token[a:b] - low] = 1
             shared += grid[left] @ grid[right].T
-        fits = (shared >= threshold * (size[left][:, None] + size[right] - shared) - 1e-6) & (group[left][:, None] != group[right])
-        x, y = np.nonzero(fits)
-        # one link of a text to each class is enough to merge them
-        _, first = np.unique(np.stack([left[x], group[right[y]]]), axis=1, return_index=True)
-        return pa.table([pa.array(node[left[x[first]]], pa.int64()), pa.array(node[right[y[first]]], pa.int64())], ["a", "b"])
-
-    return rows.select("key", "i", "j", "node", "class", "own", "shingles").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+        both = shared.astype(np.float64)
+        x, y = np.nonzero((both / (size[left][:, None] + size[right] - both) >= threshold) & (group[left][:, None] != group[right]))
+        # classes that are alike, and from each reached class only the links to classes not reached yet
+        name, at = np.unique(group, return_inverse=True)
+        alike = np.zeros((len(name), len(name)), bool)
+        alike[at[left[x]], at[right[y]]] = True
+        alike |= alike.T
+        new, links = np.ones(len(name), bool), []
+        for start in np.flatnonzero(alike.any(1)):
+            reached, new[start] = [start] if new[start] else [], False
+            while reached:
+                one = reached.pop()
+                found = np.flatnonzero(alike[one] & new)
+                new[found] = False
+                reached.extend(found)
+                links.append((np.full(len(found), name[one]), name[found]))
+        a, b = (np.concatenate(side) for side in zip(*links, strict=True)) if links else (np.zeros(0, np.int64),) * 2
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.join(sets, "node").select("key", "i", "j", "node", "class", "own", "shingles").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sparse: float = SPARSE, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
@@ -328,7 +363,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str, threshold: float, sparse
         if left.limit(1).count():
             few, dense = _split(settle(_rarest(left, sets, threshold), "dup-rare"), sparse)
             found.link(_across(few))
-            found.link(settle(_in_blocks(dense, sets, threshold), "dup-blocks"))
+            dense = settle(dense.select("key", "node"), "dup-dense")
+            for turn in range(BLOCK_ROUNDS):
+                rows = found.placed(dense)
+                if found.merge(settle(_in_blocks(rows, sets, threshold, turn), "dup-blocks")) < WORTH * rows.select("class").distinct().count():
+                    break
+            found.merge(settle(_between(found.placed(dense), sets, threshold), "dup-between"))
     # a class is named by the smallest id in it; every row's class is that of its set's node
     named = first.join(found.of, "node", "left").select("set_a", "set_b", "low", "n", F.coalesce("class", "node").alias("class"))
     named = settle(named, "dup-named")

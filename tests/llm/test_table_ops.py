@@ -337,6 +337,18 @@ def test_near_duplicates(spark, copies, sparse, rounds, monkeypatch):
     assert got == brute_classes(copies)
 
 
+def test_links_of_dense_keys_grow_with_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    n = 120  # all alike, each a class of its own, under one key
+    sets = spark.createDataFrame([(k, [*range(40), 1000 + k]) for k in range(n)], "node long, shingles array<int>")
+    links = neardup._in_blocks(sets.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("class")), sets, 0.8, 0)
+    assert 0 < links.count() < n
+    # one class of 100 and twenty others: the blocks of the large one do not meet each other
+    rows = sets.select(F.lit(1).cast("long").alias("key"), "node", F.greatest(F.col("node") - 99, F.lit(0)).cast("long").alias("class"))
+    found = {(r["a"], r["b"]) for r in neardup._between(rows, sets, 0.8).collect()}
+    assert len({x for pair in found for x in pair}) == 21 and len(found) < 200
+
+
 def test_near_duplicates_awkward(spark, copies):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (4, None), (4, "other words than these are five")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
