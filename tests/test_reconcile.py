@@ -320,3 +320,32 @@ def test_near_misses_equal_brute_force_at_all_lengths(spark, monkeypatch, most):
         if best[0] >= 0.85:
             want[o] = -best[1]
     assert {r["doc_ord"]: r["root"] for r in got.collect()} == want and len(want) > 50
+
+
+def test_stars_are_components_without_a_round(spark, monkeypatch):
+    from tallymark.operators import components as module
+
+    written = []
+    monkeypatch.setattr(module, "settle", lambda df, name: written.append(name) or settle(df, name))
+    stars = spark.createDataFrame([(1, 2), (1, 3), (9, 7), (8, 7), (7, 8), (5, 5)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in components(stars).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)}
+    assert "both" not in written
+    for edges in ([(1, 2), (2, 3)], [(1, 3), (2, 3)]):  # what hangs also holds, or hangs twice
+        assert {r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {1}
+
+
+def test_neighbours_of_keys_that_follow_each_other(spark, monkeypatch):
+    made, plain = [], match._by_omission
+
+    def counted(*a):
+        pairs = plain(*a)
+        made.append(pairs.where("x <> 'ORD000000Q05'").count())
+        return pairs
+
+    monkeypatch.setattr(match, "_by_omission", counted)
+    shared = spark.createDataFrame([(i, "order_no", 0, f"ORD{i:09}") for i in range(1000)], "root long, field string, field_no int, key string")
+    alone = [(5000 + i, "order_no", 0, f"ORD{i:09}Z") for i in range(0, 1000, 97)] + [(7000, "order_no", 0, "ORD000000Q05")]
+    got = {r["doc_ord"]: r["root"] for r in match.near_misses(spark.createDataFrame(alone, "doc_ord long, field string, field_no int, key string"), shared).collect()}
+    assert got == {5000 + i: i for i in range(0, 1000, 97)} | {7000: 5}
+    # the stray with a wrong sign inside is the only one that goes on to pairs which are less alike
+    assert sum(made) == len(alone) - 1
