@@ -126,6 +126,34 @@ def test_long_identifiers_meet_few_others(spark):
     assert match._met(*sides, plan, match.THRESHOLD / 100).count() <= 1500  # of 2.25 million pairs
 
 
+def _shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_long_identifiers_shuffle_a_row_for_each_piece(spark):
+    rng = random.Random(15)
+    sides = [spark.createDataFrame([("bl_no", "".join(rng.choices("0123456789", k=30)), 30) for _ in range(n)], "field string, key string, n int") for n in (1500, 100)]
+    plan = spark.createDataFrame([("bl_no", 30, 30)], "field string, nx int, ny int")
+    before = _shuffled(spark)
+    match._met(*sides, plan, match.THRESHOLD / 100).count()
+    assert _shuffled(spark) - before < 20 * 1500 + 100 * 100  # rests are 168 of each string on one side and about 500 on the other
+
+
+def test_pieces_of_very_many_strings_meet_in_blocks(spark, monkeypatch):
+    """All strings end alike and start with one of two letters, so that cells are hot on both sides."""
+    monkeypatch.setattr(match, "CELL", 7)
+    rng = random.Random(16)
+    keys = ["".join(rng.choices("AB", k=24)) for _ in range(40)]
+    bent = [k[:5] + "C" + k[6:] for k in keys[:30]] + ["".join(rng.choices("CD", k=24))]
+    sides = [spark.createDataFrame([("bl_no", k, 24) for k in some], "field string, key string, n int").distinct() for some in (keys, bent)]
+    plan = spark.createDataFrame([("bl_no", 24, 24)], "field string, nx int, ny int")
+    got = {(r["x"], r["y"]) for r in match._met(*sides, plan, match.THRESHOLD / 100).collect()}
+    want = {(x, y) for x in keys for y in bent if indel(x, y) >= match.THRESHOLD / 100}
+    assert want <= got and len(want) >= 30
+
+
 def test_hot_keys_are_split(spark):
     many = spark.range(60_000, numPartitions=6).select((F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(-1)).alias("k"), "id")
     many = settle(many.unionByName(spark.createDataFrame([(None, 1)], "k long, id long")), "many")
