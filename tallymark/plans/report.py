@@ -172,6 +172,11 @@ def write_files(texts: DataFrame, folder: str, ending: str) -> None:
     named.write(texts.select(F.concat("group_id", F.lit(ending)).alias("name"), "text"), folder, "name", "text")
 
 
+def write_archives(texts: DataFrame, folder: str, ending: str) -> None:
+    """The files of ``write_files`` in archives: where groups are so many that a block of the file system for each is too much."""
+    named.write_packed(texts.select(F.concat("group_id", F.lit(ending)).alias("name"), "text"), folder, "name", "text")
+
+
 def results_json(rows: DataFrame) -> DataFrame:
     """(group_id, json): each shipment as JSON."""
     return rows.select("group_id", F.to_json(F.struct(*rows.columns)).alias("json"))

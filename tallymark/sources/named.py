@@ -4,6 +4,9 @@ A sink for what has to be a file of its own: a report a group, a draft a message
 files themselves. Each task attempt writes into a folder of its own below ``_attempts``; only the folders of attempts that
 succeeded are moved into place when all have, so that a task that is tried again, or a job that fails, leaves no file and no half of one.
 Files of the same name are replaced, others stay.
+
+A file takes a block of the file system at least, however short it is. Where there are millions, ``write_packed`` puts them
+into archives of bounded size, in the same way.
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 FORMAT = "named_files"
 ATTEMPTS = "_attempts"
+ARCHIVE = ".tar.gz"
+#: Bytes of files in an archive, about: a task that reads one holds so much.
+PACKED = 1 << 25
 
 
 def _system(path: str):
@@ -87,6 +93,43 @@ class NamedWriter(DataSourceWriter):
             system.delete_dir(f"{base}/{ATTEMPTS}/{self.job}")
 
 
+class PackedWriter(NamedWriter):
+    """The same files as members of archives, each archive written as a stream by one task."""
+
+    def write(self, iterator: Iterator) -> Written:
+        import io
+        import itertools
+        import tarfile
+
+        system, base = _system(self.path)
+        folder = f"{base}/{ATTEMPTS}/{self.job}/{uuid.uuid4().hex}"
+        system.create_dir(folder, recursive=True)
+        stream, archive, held, done, seen = None, None, 0, 0, None
+        try:
+            for name, rows in itertools.groupby(iterator, key=lambda row: row[0]):
+                if archive is None:
+                    stream = system.open_output_stream(f"{folder}/{uuid.uuid4().hex}{ARCHIVE}", compression=None)
+                    archive, held, done = tarfile.open(fileobj=stream, mode="w|gz"), 0, done + 1
+                value = b"".join((row[1] or "").encode("utf-8", "surrogatepass") for row in rows)
+                if seen is not None and checked(name) <= seen:
+                    raise ValueError(f"rows of {name!r} are not together")
+                seen = checked(name)
+                member = tarfile.TarInfo(seen)
+                member.size = len(value)
+                archive.addfile(member, io.BytesIO(value))
+                held += len(value) + tarfile.BLOCKSIZE
+                if held >= PACKED:
+                    archive.close()
+                    stream.close()
+                    stream = archive = None
+            if archive is not None:
+                archive.close()
+        finally:
+            if stream is not None:
+                stream.close()
+        return Written(folder, done)
+
+
 class NamedFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -98,18 +141,32 @@ class NamedFiles(DataSource):
     def writer(self, schema, overwrite: bool) -> NamedWriter:
         if "path" not in self.options:
             raise ValueError("a path is needed")
-        return NamedWriter(self.options["path"])
+        return (PackedWriter if self.options.get("packed") == "true" else NamedWriter)(self.options["path"])
 
 
-def _save(rows: DataFrame, folder: str) -> None:
+def _save(rows: DataFrame, folder: str, packed: bool = False) -> None:
     rows.sparkSession.dataSource.register(NamedFiles)
-    rows.write.format(FORMAT).mode("append").option("path", folder).save()
+    rows.write.format(FORMAT).mode("append").option("path", folder).option("packed", str(packed).lower()).save()
+
+
+def _together(rows: DataFrame, name: str, value: str, order: tuple[str, ...]) -> DataFrame:
+    told = rows.select(F.col(name).alias("__name"), F.col(value).alias("__value"), *order)
+    return told.repartition("__name").sortWithinPartitions("__name", *order).select(F.col("__name").alias("name"), F.col("__value").alias("value"))
 
 
 def write(rows: DataFrame, folder: str, name: str, value: str, order: tuple[str, ...] = ()) -> None:
     """A file for each name, of its values in ``order``. A file is written by one task, as a stream."""
-    told = rows.select(F.col(name).alias("__name"), F.col(value).alias("__value"), *order)
-    _save(told.repartition("__name").sortWithinPartitions("__name", *order).select(F.col("__name").alias("name"), F.col("__value").alias("value")), folder)
+    _save(_together(rows, name, value, order), folder)
+
+
+def write_packed(rows: DataFrame, folder: str, name: str, value: str, order: tuple[str, ...] = ()) -> None:
+    """The files of ``write`` in archives, which ``tar`` unpacks; the folder must hold none yet. A task holds one file at a time."""
+    from pyarrow import fs
+
+    system, base = _system(folder)
+    if any(f.base_name.endswith(ARCHIVE) for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True))):
+        raise ValueError(f"there are archives in {folder} already")
+    _save(_together(rows, name, value, order), folder, packed=True)
 
 
 def write_arrays(rows: DataFrame, folder: str) -> None:
@@ -135,3 +192,31 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """(name, value): the files of a folder, each whole."""
     found = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/\\]*)$", 1).alias("name"), "value")
     return found.select(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("name"), "value")
+
+
+def read_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, value): the files in the archives of a folder, each whole."""
+
+    def work(batches):
+        import io
+        import tarfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column(0):
+                names, values, held = [], [], 0
+                with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r|gz") as archive:
+                    for member in archive:
+                        value = archive.extractfile(member).read()
+                        archive.members = []  # else the headers of all are kept
+                        names.append(member.name)
+                        values.append(value.decode("utf-8"))
+                        held += len(value)
+                        if len(names) >= 4096 or held >= 1 << 22:
+                            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"])
+                            names, values, held = [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ARCHIVE}").load(folder)
+    return found.select("content").mapInArrow(work, "name string, value string")

@@ -235,6 +235,27 @@ def test_named_files_of_repeated_tasks(tmp_path):
     assert (tmp_path / "a").read_text() == "second attempt" and not list((tmp_path / "_attempts").iterdir())
 
 
+def test_packed_files(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a.md", 2, "two"), ("b é+.md", 1, "ü"), ("a.md", 1, "one\n"), ("c.md", 1, None)], "n string, k int, t string").repartition(3)
+    folder = str(tmp_path / "packed")
+    named.write_packed(rows, folder, "n", "t", ("k",))
+    assert {r["name"]: r["value"] for r in named.read_packed(spark, folder).collect()} == {"a.md": "one\ntwo", "b é+.md": "ü", "c.md": ""}
+    with pytest.raises(ValueError, match="already"):
+        named.write_packed(rows, folder, "n", "t", ("k",))
+    with pytest.raises(Exception, match="not a file name"):
+        named.write_packed(spark.createDataFrame([("fine.md", "1"), ("../x", "2")], "n string, t string").coalesce(1), str(tmp_path / "bad"), "n", "t")
+    assert not list((tmp_path / "bad").glob("*.tar.gz"))
+    # 20,000 reports in a few files, however many names there are
+    many = spark.range(20_000).select(F.concat(F.col("id").cast("string"), F.lit(".md")).alias("n"), F.concat(F.lit("# Report "), F.col("id").cast("string")).alias("t"))
+    monkeypatch.setattr(named, "PACKED", 1 << 20)
+    writer = named.PackedWriter(str(tmp_path / "cut"))
+    writer.commit([writer.write(iter([(f"{i:05}", "x" * 1000) for i in range(3000)]))])
+    assert len(list((tmp_path / "cut").glob("*.tar.gz"))) == 5 and named.read_packed(spark, str(tmp_path / "cut")).where("length(value) = 1000").count() == 3000
+    named.write_packed(many, str(tmp_path / "many"), "n", "t")
+    assert len(list((tmp_path / "many").iterdir())) < 40
+    assert named.read_packed(spark, str(tmp_path / "many")).exceptAll(many).count() == 0 and named.read_packed(spark, str(tmp_path / "many")).count() == 20_000
+
+
 def test_arrays(spark, tmp_path):
     rows = spark.createDataFrame([(i, None if i % 3 == 0 else f'say "{i}"\n') for i in range(50)], "i int, s string").repartition(3)
     named.write_arrays(rows.where("i < 40").repartition(4, "i"), str(tmp_path))
