@@ -230,6 +230,24 @@ def test_items(spark):
     assert [r["field"] for r in twice] == ["line_items[desc=spaghetti]"]
 
 
+def test_items_that_all_have_alike_become_no_rows(spark):
+    a, b, c = ("Spaghetti", "L1", 10, 5.0, 6.0, 2.5, 1, 25.0), ("Penne", "L2", 3, 1.0, 1.5, None, None, None), ("Fusilli", None, 3, 1.0, 1.5, 2.0, None, None)
+    docs = [doc(0, items=[a, b, c]), doc(1, items=[b, c]), doc(2, items=[(*b[:3], 1.25, *b[4:]), c])]
+    rows = verify.item_rows(frame(spark, *docs)).collect()
+    assert sorted((r["doc_id"], r["prefix"], r["several"]) for r in rows) == [("d0", "line_items[desc=spaghetti]", False), ("d0", "line_items[lot=L1]", False), *((f"d{i}", "line_items[lot=L2]", True) for i in range(3))]
+    assert [(r["field"], r["doc_b"]) for r in found(spark, *docs)] == [("line_items[lot=L2].net_kg", "d2"), ("line_items[desc=spaghetti]", "d0"), ("line_items[lot=L1]", "d0")]
+
+
+@pytest.mark.parametrize("many", [0, 1 << 30])
+def test_findings_of_many_groups(spark, monkeypatch, many):
+    monkeypatch.setattr(verify, "MANY", many)
+    one = ("Spaghetti", "L1", 10, 5.0, 6.0, 2.5, 1, 25.0)
+    alone = [doc(0, items=[one]), doc(1, group=2), doc(2, items=[one], group=2), doc(3, group=3), doc(4, items=[one], group=3)]  # most groups differ, and a group of one has no findings
+    assert {(r["group_id"], r["doc_b"]) for r in found(spark, *alone)} == {("G2", "d2"), ("G3", "d4")}
+    docs = [d for g in range(1, 30) for d in (doc(3 * g, group=g), doc(3 * g + 1, group=g), doc(3 * g + 2, net=1.0 if g % 3 else 6402.0, group=g))]
+    assert [r["doc_b"] for r in found(spark, *docs)] == sorted((f"d{3 * g + 2}" for g in range(1, 30) if g % 3), key=lambda d: f"G{(int(d[1:]) - 2) // 3}")
+
+
 def test_verdicts_and_reports(spark):
     docs = [doc(0, order="ORD-1", bl="B1"), doc(1, order="ORD-1", bl="B1", kind="packing_list"), doc(2, order="ORD-2", bl="B1", kind="commercial_invoice"), doc(3, vessel="A", group=2), doc(4, vessel="B", group=2), doc(5, group=3), doc(6, group=4), doc(7, group=4)]
     members = frame(spark, *docs)
