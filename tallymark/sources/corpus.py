@@ -23,16 +23,22 @@ def _key(width: int = 9) -> Column:
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their items: (o_orderkey, o_custkey, ship_date, items sorted by line)."""
-    item = F.struct(
-        F.col("l_linenumber").alias("line"), F.concat(F.lit("L"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("lot"),
-        F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("description"), F.col("l_quantity").cast("bigint").alias("cartons"),
-        F.round(F.col("l_quantity") * 2.5, 2).alias("net_kg"), F.round(F.col("l_quantity") * 3, 2).alias("gross_kg"),
-        (F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")) / 100).alias("unit_price"), F.col("l_extendedprice").alias("amount"), F.col("l_suppkey").alias("supplier"),
-    )
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    """Orders with their items: (o_orderkey, o_custkey, ship_date, items sorted by line).
+
+    Items pass the shuffle as they stand in the table, and get their texts after it.
+    """
+    given = ("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_suppkey")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_list(F.struct(*given)).alias("given"))
+    # the smaller side is held as a table of hashes, so that the collected items are not sorted
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("ship_date"))
-    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+    item = lambda g: F.struct(
+        g["l_linenumber"].alias("line"), F.concat(F.lit("L"), F.lpad(g["l_partkey"].cast("string"), 6, "0"), F.lit("-"), g["l_linenumber"].cast("string")).alias("lot"),
+        F.concat(F.lit("Part "), g["l_partkey"].cast("string")).alias("description"), g["l_quantity"].cast("bigint").alias("cartons"),
+        F.round(g["l_quantity"] * 2.5, 2).alias("net_kg"), F.round(g["l_quantity"] * 3, 2).alias("gross_kg"),
+        (F.floor(g["l_extendedprice"] * 100 / g["l_quantity"]) / 100).alias("unit_price"), g["l_extendedprice"].alias("amount"), g["l_suppkey"].alias("supplier"),
+    )
+    both = orders.hint("shuffle_hash").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.select("o_orderkey", "o_custkey", "ship_date", F.array_sort(F.transform("given", item)).alias("items"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +117,8 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANSWER_KEY of the corpus: one row an order."""
-    orders = shipments(spark, sf_dir)
+    there = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").join(there, "o_orderkey", "left_semi")
     bad = lambda every: F.col("o_orderkey") % every == 0
     where = F.when(bad(BAD_ORDER), "invoice").when(bad(BAD_CARTONS), "packing_list").when(bad(BAD_WEIGHT), "bill_of_lading")
     detail = F.when(bad(BAD_ORDER), "order no differs").when(bad(BAD_CARTONS), "cartons differ").when(bad(BAD_WEIGHT), "net_kg differs")

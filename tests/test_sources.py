@@ -235,6 +235,16 @@ def test_named_files_of_repeated_tasks(tmp_path):
     assert (tmp_path / "a").read_text() == "second attempt" and not list((tmp_path / "_attempts").iterdir())
 
 
+def test_items_are_collected_as_they_stand(spark):
+    """The shuffle of items carries the table's columns, the answer key only keys, and collected items are not sorted for a join."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    key, orders = plan(corpus.answer_key(spark, "/root/testdata/sf0.001")), plan(corpus.shipments(spark, "/root/testdata/sf0.001"))
+    assert "l_orderkey" in key and "l_partkey" not in key and "collect_list" not in key
+    assert "ShuffledHashJoin" in orders and "SortMergeJoin" not in orders
+    partial = next(line for line in orders.splitlines() if "partial_collect_list" in line)
+    assert "Part " not in partial
+
+
 def test_packed_files(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([("a.md", 2, "two"), ("b é+.md", 1, "ü"), ("a.md", 1, "one\n"), ("c.md", 1, None)], "n string, k int, t string").repartition(3)
     folder = str(tmp_path / "packed")
