@@ -1,7 +1,8 @@
-"""Raw documents to canonical documents: no join and no shuffle. Tables are read by ``cells``, texts by column expressions.
+"""Raw documents to canonical documents: no join and no shuffle. Titles, pairs and prose of texts are read by column expressions, tables and
+fixed-width lists by ``cells``, which also puts together what all of these say of a field.
 
 Arrays of lines are worked on with higher-order functions. Whatever several
-fields need (label-value pairs, lines) is bound once with ``let``.
+fields need is bound once with ``let``.
 """
 
 from __future__ import annotations
@@ -44,16 +45,6 @@ CONFIRMATION = {
 BL_AGAIN = r"\bbl\s*no\.?\s*:?\s*(\w+)"
 FROM_TO = r"\bfrom\s+(.+?)\s+to\s+(.+?)[,\.\n]"
 CONFIRMED_TOTALS = r"total[:\s]*(\d[\d,]*)\s*cartons?,\s*net\s*([\d,\.]+)\s*kg,\s*gross\s*([\d,\.]+)\s*kg"
-# Words that mark header lines and columns of fixed-width lists.
-HEADER_WORDS = ("description", "descrizione", "net", "gross", "peso", "cartons", "colli", "ctns", "packages", "pkgs", "الوصف", "الوزن", "الصناديق", "كراتين")
-COLUMN_WORDS = {
-    "lot": ("lot", "لوط", "الدفعة", "numéro de lot", "n° de lot"),
-    "description": ("description", "descrizione", "الوصف", "désignation"),
-    "cartons": ("cartons", "colli", "no. of pkgs", "no. of packages", "ctns", "pkgs", "nombre de cartons", "nb de cartons", "colis", "الصناديق", "كراتين", "عدد الصناديق", "طرود"),
-    "net_kg": ("peso neto kg", "peso netto kg", "n.w. (kgs)", "net wt", "net weight", "peso neto", "peso netto", "n.w.", "net", "poids net", "poids net kg", "p. net", "الوزن الصافي", "وزن صافي"),
-    "gross_kg": ("peso bruto kg", "peso lordo kg", "gross wt", "gross weight", "peso bruto", "peso lordo", "g.w.", "gross", "poids brut", "poids brut kg", "p. brut", "الوزن الإجمالي", "الوزن الخام", "وزن إجمالي"),
-}
-DATA_LINE = r"(?i)^[A-Z]\d{4}[A-Z]"
 KEY_FIELDS = ("order_no", "bl_no", "reference", "container_no", "seal_no", "shipper", "consignee", "vessel", "pol", "pod", "ship_date", "currency")
 
 
@@ -67,11 +58,14 @@ def doc_type(body: Column) -> Column:
 
     def judged(full: Column) -> Column:
         head = F.substring(full, 1, 500)
-        out = F.struct(F.lit("unknown").alias("type"), F.lit(0.0).alias("confidence"))
-        for where, sure in ((full, 0.6), (head, 0.9)):
+        none = F.struct(F.lit("unknown").alias("type"), F.lit(0.0).alias("confidence"))
+
+        def first(where: Column, sure: float, other: Column) -> Column:
             for pattern, kind in reversed(TITLES):
-                out = F.when(where.rlike(f"(?iU){pattern}"), F.struct(F.lit(kind).alias("type"), F.lit(sure).alias("confidence"))).otherwise(out)
-        return out
+                other = F.when(where.rlike(f"(?iU){pattern}"), F.struct(F.lit(kind).alias("type"), F.lit(sure).alias("confidence"))).otherwise(other)
+            return other
+
+        return first(head, 0.9, F.when(F.length(full) > 500, first(full, 0.6, none)).otherwise(none))
 
     return let(text.despaced(body), judged)
 
@@ -115,53 +109,6 @@ def confirmed_totals(body: Column) -> Column:
     return F.struct(text.integer(part(1)).alias("cartons"), text.number(part(2)).alias("net_kg"), text.number(part(3)).alias("gross_kg"))
 
 
-def fixed_width(lines: Column) -> Column:
-    """(items, totals) of a fixed-width packing list.
-
-    Columns are told by words in the header line, their places by the gaps of two or more spaces
-    in the first data line.
-    """
-    has = lambda line, words: reduce(lambda a, b: a | b, [F.lower(line).contains(w) for w in words])
-
-    def places(line: Column) -> Column:
-        sign = lambda i: F.substring(line, i, F.lit(1))
-        gap = lambda i: (i == 1) | ((i >= 3) & (sign(i - 1) == " ") & (sign(i - 2) == " "))
-        return F.filter(F.sequence(F.lit(1), F.greatest(F.length(line), F.lit(1))), lambda i: (sign(i) != " ") & (sign(i) != "") & gap(i))
-
-    def of_body(header: Column, body: Column, at: Column) -> Column:
-        names = F.filter(F.array(*[F.when(has(header, words), F.lit(field)) for field, words in COLUMN_WORDS.items()]), lambda x: x.isNotNull())
-
-        def cells(line: Column, names: Column) -> Column:
-            end = lambda i: F.coalesce(F.get(at, i + 1), F.length(line) + 1)
-            cut = F.transform(names, lambda f, i: F.struct(f.alias("f"), text.strip(F.substring(line, F.get(at, i), F.greatest(end(i) - F.get(at, i), F.lit(0)))).alias("v")))
-            return F.filter(cut, lambda c: c["v"] != "")
-
-        def item(c: Column) -> Column:
-            return F.struct(
-                _first(c, "description").alias("description"), _first(c, "lot").alias("lot"), text.integer(_first(c, "cartons")).alias("cartons"),
-                text.number(_first(c, "net_kg")).alias("net_kg"), text.number(_first(c, "gross_kg")).alias("gross_kg"),
-                F.lit(None).cast("double").alias("unit_price"), F.lit(None).cast("bigint").alias("units"), F.lit(None).cast("double").alias("amount"),
-            )
-
-        def both(names: Column) -> Column:
-            data = F.filter(body, lambda x: text.strip(x).rlike(DATA_LINE) & ~F.lower(text.strip(x)).startswith("total"))
-            fits = F.size(at) >= F.size(names)
-            items = F.when(fits & (F.size(names) >= 3), F.transform(data, lambda x: let(cells(x, names), item)))
-            total = F.get(F.filter(body, lambda x: F.lower(text.strip(x)).startswith("total")), F.lit(0))
-            summed = F.when(fits & total.isNotNull(), let(F.filter(cells(total, names), lambda c: F.lower(c["v"]) != "total"), lambda c: F.struct(text.integer(_first(c, "cartons")).alias("cartons"), text.number(_first(c, "net_kg")).alias("net_kg"), text.number(_first(c, "gross_kg")).alias("gross_kg"))))
-            return F.struct(F.coalesce(items, F.array().cast(f"array<{schema.ITEM}>")).alias("items"), summed.alias("totals"))
-
-        return let(names, both)
-
-    def from_header(start: Column) -> Column:
-        body = F.slice(lines, start + 2, F.greatest(F.size(lines), F.lit(1)))
-        sample = lambda b: F.get(F.filter(b, lambda x: text.strip(x).rlike(DATA_LINE)), F.lit(0))
-        return let(body, lambda b: let(F.coalesce(places(sample(b)), F.array().cast("array<int>")), lambda at: of_body(F.get(lines, start), b, at)))
-
-    heads = F.transform(lines, lambda x: has(x, HEADER_WORDS))
-    return let(F.array_position(heads, True).cast("int") - 1, lambda i: F.when(i >= 0, from_header(i)))
-
-
 def unresolved_labels(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, label): labels of lines and of first rows that the dictionary does not know."""
     known = known or labels.dictionary()
@@ -203,27 +150,15 @@ def extract(docs: DataFrame, extra_labels: dict[str, str] | None = None, label_v
     """
     known = labels.dictionary(extra_labels)
     body = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(body, "\n")
     own = [c.split()[0] for c in schema.RAW.split(", ")]
-    read = cells.read(docs.select(*own), known).select("*", body.alias("_body"), doc_type(body).alias("_type"), F.reverse(text_pairs(lines, known)).alias("_text"))
+    given = docs.select(*own, doc_type(body).alias("_type"))
     sure = F.col("_type.type") == "confirmation"
-    read = read.select(
-        "*", F.when(sure, confirmation(F.col("_body"))).alias("_said"), F.when(sure, confirmed_totals(F.col("_body"))).alias("_said_totals"),
-        prose_totals(F.col("_body")).alias("_prose"), fixed_width(F.split("_body", "\n")).alias("_fixed"),
-    )
-
-    def pair(field: str, part: str = "v") -> Column:
-        found = [_first(F.col("_pairs"), field, part), _first(F.col("_text"), field, part)]  # the last of the text comes first
-        if field in (*CONFIRMATION, "shipper", "consignee"):
-            found.append(F.col(f"_said.{field}") if part == "v" else F.when(F.col(f"_said.{field}").isNotNull(), F.lit(field)))
-        return F.coalesce(*found)
-
-    kept = F.struct(*[pair(f).alias(f) for f in KEY_FIELDS])
-    named = F.struct(*[pair(f, "v" if label_values else "l").alias(f) for f in sorted(labels.fields())])
-    read = read.select(
-        *[c for c in own if c != "tables"], "_type", "_totals", "_prose", "_said_totals", F.col("_fixed.totals").alias("_fixed_totals"), kept.alias("_kv"), named.alias("_labels"),
-        "_heads", F.coalesce("_items", F.col("_fixed.items"), F.array().cast(f"array<{schema.ITEM}>")).alias("line_items"),
+    # every pattern of prose has a number, and every pair a colon
+    read = given.select(
+        *[c for c in own if c not in ("text", "tables")], "_type", F.when(body.rlike(r"(?U)[\d,.]"), prose_totals(body)).alias("_prose"), F.when(sure, confirmed_totals(body)).alias("_said_totals"),
+        "text", "tables", F.when(body.contains(":"), text_pairs(F.split(body, "\n"), known)).alias("_text"), F.when(sure, confirmation(body)).alias("_said"),
     )
+    read = cells.merged(read, known, KEY_FIELDS, label_values)
     items, total = F.col("line_items"), lambda name, field: F.col(f"{name}.{field}")
     empty = lambda *names: reduce(lambda a, b: a & b, [F.coalesce(*[total(n, f) for n in names]).isNull() for f in ("net_kg", "gross_kg", "cartons")])
     none_in_tables = empty("_totals")
@@ -238,28 +173,27 @@ def extract(docs: DataFrame, extra_labels: dict[str, str] | None = None, label_v
     chain = lambda f, item, kind: F.coalesce(total("_totals", f), total("_prose", f), total("_said_totals", f), total("_fixed_totals", f), summed(item, kind))
     totals = F.struct(
         chain("cartons", "cartons", "bigint").alias("cartons"), chain("net_kg", "net_kg", "double").alias("net_kg"), chain("gross_kg", "gross_kg", "double").alias("gross_kg"),
-        F.coalesce(total("_totals", "value"), total("_prose", "value"), summed("amount", "double")).alias("value"), F.col("_kv.currency").alias("currency"),
+        F.coalesce(total("_totals", "value"), total("_prose", "value"), summed("amount", "double")).alias("value"), F.col("_currency").alias("currency"),
     )
-    kv = lambda f: F.col(f"_kv.{f}")
+    kv = lambda f: F.col(f"_{f}")
     vessel = kv("vessel")
     halves = F.split(vessel, rf"(?U){WS}*/{WS}*", 2)
     tail = r"(?U)^(.+?)\s+(\d+\w*)$"
     split_tail = (F.size(halves) == 1) & vessel.rlike(tail)
     ship = F.when(split_tail, text.strip(F.regexp_extract(vessel, tail, 1))).otherwise(text.blank_to_null(text.strip(F.get(halves, F.lit(0)))))
     trip = F.when(split_tail, F.regexp_extract(vessel, tail, 2)).otherwise(text.strip(F.get(halves, F.lit(1))))
-    found_labels = F.array(*[F.struct(F.lit(f).alias("key"), F.coalesce(_first(F.col("_heads"), f), F.col(f"_labels.{f}")).alias("value")) for f in sorted(labels.fields())])
     out = read.select(
         "doc_id", "source_path", F.col("_type.type").alias("doc_type"), "source_format",
         F.struct(*[(text.container(kv(f)) if f == "container_no" else kv(f)).alias(f) for f in schema.IDENTIFIERS]).alias("identifiers"),
         F.struct(*[text.party(kv(f)).alias(f) for f in schema.PARTIES]).alias("parties"),
         F.struct(ship.alias("vessel"), trip.alias("voyage"), *[kv(f).alias(f) for f in ("pol", "pod", "ship_date")]).alias("logistics"),
         "line_items", totals.alias("totals"), F.col("_type.confidence").alias("_base"),
-        F.map_from_entries(F.filter(found_labels, lambda e: e["value"].isNotNull())).alias("raw_field_labels"), "doc_ord",
+        F.col("_labels").alias("raw_field_labels"), "doc_ord",
     )
     seen = lambda c: F.when(c, 1).otherwise(0)
     keys = [F.col("identifiers.order_no"), F.col("identifiers.bl_no"), F.col("identifiers.container_no"), F.col("parties.shipper"), F.col("parties.consignee")]
     points = sum((seen(c.isNotNull()) for c in keys), F.lit(0)) + 2 * seen(F.size("line_items") > 0)
     points = points + seen(F.col("totals.net_kg").isNotNull() | F.col("totals.gross_kg").isNotNull()) + seen(F.col("totals.cartons").isNotNull())
-    sure = text.rounded(F.least(F.col("_base") + 0.05 * points, F.lit(1.0)), 2)
+    sure = let(F.col("_base") + 0.05 * points, lambda x: F.when(x >= 1.0, F.lit(1.0)).otherwise(text.rounded(x, 2)))
     return out.withColumn("extraction_confidence", sure).select(*[c.split()[0] for c in (
         "doc_id", "source_path", "doc_type", "source_format", "identifiers", "parties", "logistics", "line_items", "totals", "extraction_confidence", "raw_field_labels", "doc_ord")])

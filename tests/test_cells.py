@@ -74,3 +74,26 @@ def test_groups_of_like_documents_are_left_out(spark):
     found = {(r["group_id"], r["sections_differ"], r["items_differ"]) for r in ve.apart(members).collect()}
     assert found == {("moved", True, False), ("items", False, True)}
     assert {(r["group_id"], r["field"]) for r in ve.findings(members).collect()} == {("moved", "identifiers.bl_no"), ("items", "line_items[lot=B]"), ("items", "line_items[desc=part b]")}
+
+
+def test_fixed_width_lists_are_read_once():
+    body = "LIST\nLOT         Description   Colli    Peso Netto kg  Peso Lordo kg\n-----\n A1234B     x\nL1234A      Pasta 5       1,000    6.402,00       7000\nTOTAL                     1120     6903.5         7602"
+    # places come from the first line of data, which has fewer columns than the header names
+    assert cells.fixed_width(body) == ([], [None] * 3)
+    items, totals = cells.fixed_width(body.replace(" A1234B     x\n", ""))
+    assert items == [["L1234A", "Pasta 5", "1,000", "6.402,00", "7000"]] and totals == ["1120", "6903.5", "7602"]
+    assert cells.fixed_width("a\nb") == ([], [None] * 3)
+
+
+def test_tables_win_over_text_and_text_over_prose(spark):
+    from tallymark import schema
+    from tallymark.operators import extract as ex
+
+    said = "SHIPMENT CONFIRMATION\nWe confirm order ORD-1 (reference R9) from A to B,\nOrder No: ORD-2\nOrder No: ORD-3\nSeal No: S1"
+    tables = [[["Order No", "ORD-4"], ["Order No", "ORD-5"]], [["Order No", "Description", "Lot"], ["x", "y", "z"]]]
+    rows = [("d0", None, None, said, [], 0), ("d1", None, None, said, tables[:1], 1), ("d2", None, None, said, tables, 2)]
+    out = [ex.extract(spark.createDataFrame(rows, schema.RAW), label_values=v).orderBy("doc_ord").collect() for v in (False, True)]
+    assert [(r["identifiers"]["order_no"], r["identifiers"]["reference"], r["identifiers"]["seal_no"]) for r in out[0]] == [("ORD-3", "R9", "S1"), ("ORD-4", "R9", "S1"), ("ORD-4", "R9", "S1")]
+    labelled = {"order_no": "Order No", "reference": "reference", "seal_no": "Seal No", "shipper": "shipper", "consignee": "consignee"}
+    assert [r["raw_field_labels"] for r in out[0]] == [labelled, labelled, labelled | {"description": "Description", "lot": "Lot"}]
+    assert [r["raw_field_labels"]["order_no"] for r in out[1]] == ["ORD-3", "ORD-4", "Order No"]
