@@ -9,6 +9,8 @@ whose order number has a typing error and which has no other identifier.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,22 +43,28 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("o_orderkey", "o_custkey", "ship_date", F.array_sort(F.transform("given", item)).alias("items"))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the documents state: the shipment's columns, kind_no, and the stated values."""
+def _orders(spark: SparkSession, sf_dir: str, shown: Callable[[Column], Column]) -> DataFrame:
+    """What all documents of an order state, worked out once for all of them: items as ``shown`` has them, the first with another weight where one is planted, sums."""
+    total = lambda f, kind="double": F.aggregate("items", F.lit(0).cast(kind), lambda a, i: a + i[f])
+    first = F.get("items", F.lit(0))
+    return shipments(spark, sf_dir).select(
+        "o_orderkey", "ship_date", F.concat(F.lit("Supplier "), first["supplier"].cast("string")).alias("shipper"), F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("consignee"),
+        F.transform("items", shown).alias("items"), F.when(F.col("o_orderkey") % BAD_WEIGHT == 0, F.transform(F.slice("items", 1, 1), lambda i: shown(i.withField("net_kg", i["net_kg"] + 10)))).alias("first"),
+        total("cartons", "bigint").alias("cartons"), F.round(total("net_kg"), 2).alias("net_kg"), F.round(total("gross_kg"), 2).alias("gross_kg"), F.round(total("amount"), 2).alias("value"),
+    )
+
+
+def documents(orders: DataFrame) -> DataFrame:
+    """What the documents state: the columns of ``_orders``, kind_no, and what is stated by kind."""
     kinds = F.when(F.col("o_orderkey") % STRAY == 0, F.array(*map(F.lit, range(4)))).otherwise(F.array(*map(F.lit, range(3))))
-    docs = shipments(spark, sf_dir).select("*", F.explode(kinds).alias("kind_no"))
     planted = lambda every, kind: (F.col("o_orderkey") % every == 0) & (F.col("kind_no") == kind)
     order_no = F.when(planted(BAD_ORDER, 2), F.concat(F.lit("ORD-"), _key(8), F.lit("X"))).when(F.col("kind_no") == 3, F.concat(F.lit("ORD-"), _key(), F.lit("Z"))).otherwise(F.concat(F.lit("ORD-"), _key()))
-    items = F.when(planted(BAD_WEIGHT, 0), F.transform("items", lambda i, n: i.withField("net_kg", F.when(n == 0, i["net_kg"] + 10).otherwise(i["net_kg"])))).otherwise(F.col("items"))
+    items = F.when(F.col("kind_no") == 3, F.slice("items", 1, 0)).when(planted(BAD_WEIGHT, 0), F.concat("first", F.slice("items", 2, F.size("items")))).otherwise(F.col("items"))
     own = lambda c: F.when(F.col("kind_no") < 3, c)
-    total = lambda f, kind="double": F.aggregate("items", F.lit(0).cast(kind), lambda a, i: a + i[f])
-    cartons = total("cartons", "bigint") + F.when(planted(BAD_CARTONS, 1), 1).otherwise(0)
-    return docs.select(
-        "o_orderkey", "kind_no", "ship_date", order_no.alias("order_no"), own(F.concat(F.lit("BL"), _key())).alias("bl_no"),
-        own(F.concat(F.lit("CONT"), _key())).alias("container_no"), F.concat(F.lit("Supplier "), F.get("items", F.lit(0))["supplier"].cast("string")).alias("shipper"),
-        F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("consignee"), F.when(F.col("kind_no") < 3, items).otherwise(F.slice("items", 1, 0)).alias("items"),
-        cartons.alias("cartons"), F.round(total("net_kg"), 2).alias("net_kg"), F.round(total("gross_kg"), 2).alias("gross_kg"), F.round(total("amount"), 2).alias("value"),
-    )
+    return orders.select("*", F.explode(kinds).alias("kind_no")).withColumns({
+        "order_no": order_no, "bl_no": own(F.concat(F.lit("BL"), _key())), "container_no": own(F.concat(F.lit("CONT"), _key())), "items": items,
+        "cartons": F.col("cartons") + F.when(planted(BAD_CARTONS, 1), 1).otherwise(0),
+    })
 
 
 def _names() -> list[Column]:
@@ -70,12 +78,12 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id, path, kind, form = _names()
     item = lambda i: F.struct(i["description"].alias("description"), i["lot"].alias("lot"), i["cartons"].alias("cartons"), i["net_kg"].alias("net_kg"), i["gross_kg"].alias("gross_kg"), i["unit_price"].alias("unit_price"), F.lit(None).cast("bigint").alias("units"), i["amount"].alias("amount"))
     null = lambda t="string": F.lit(None).cast(t)
-    return documents(spark, sf_dir).select(
+    return documents(_orders(spark, sf_dir, item)).select(
         doc_id, path, kind, form,
         F.struct("order_no", "bl_no", null().alias("reference"), "container_no", null().alias("seal_no")).alias("identifiers"),
         F.struct("shipper", "consignee").alias("parties"),
         F.struct(null().alias("vessel"), null().alias("voyage"), null().alias("pol"), null().alias("pod"), "ship_date").alias("logistics"),
-        F.transform("items", item).alias("line_items"), F.struct("cartons", "net_kg", "gross_kg", "value", F.lit("EUR").alias("currency")).alias("totals"),
+        F.col("items").alias("line_items"), F.struct("cartons", "net_kg", "gross_kg", "value", F.lit("EUR").alias("currency")).alias("totals"),
         F.lit(1.0).alias("extraction_confidence"), null("map<string,string>").alias("raw_field_labels"), (F.col("o_orderkey") * 4 + F.col("kind_no")).alias("doc_ord"),
     )
 
@@ -106,13 +114,14 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = ["order_no", "bl_no", "container_no", "shipper", "consignee", "ship_date", F.lit("EUR")]
     pairs = F.filter(F.array(*[F.array(label(i), F.col(v) if isinstance(v, str) else v) for i, v in enumerate(values)]), lambda p: F.get(p, F.lit(1)).isNotNull())
     row = lambda i: F.array(i["lot"], i["description"], F.concat(i["cartons"].cast("string"), F.lit(" CTNS")), shown(i["net_kg"]), shown(i["gross_kg"]), shown(i["unit_price"]), shown(i["amount"]))
-    total = F.array(F.lit("TOTAL"), F.lit(""), F.col("cartons").cast("string"), shown(F.col("net_kg")), shown(F.col("gross_kg")), F.lit(""), shown(F.col("value")))
-    body = F.concat(F.array(pick(HEADERS)), F.transform("items", row), F.array(total))
+    total = F.array(F.lit("TOTAL"), F.lit(""), F.col("cartons").cast("string"), "net_shown", "gross_shown", F.lit(""), "value_shown")
+    body = F.concat(F.array(pick(HEADERS)), "items", F.array(total))
     tables = F.when(F.col("kind_no") < 3, F.array(pairs, body)).otherwise(F.array().cast("array<array<array<string>>>"))
     said = F.concat(F.lit("\nWe confirm order "), "order_no", F.lit(" from "), "shipper", F.lit(" to "), "consignee", F.lit(".\nTotal: "), F.col("cartons").cast("string"), F.lit(" cartons, net "), plain(F.col("net_kg")), F.lit(" kg, gross "), plain(F.col("gross_kg")), F.lit(" kg."))
     title = F.get(F.array(*map(F.lit, TITLES)), F.col("kind_no"))
     text = F.concat(title, F.when(F.col("kind_no") == 3, said).otherwise(""))
-    return documents(spark, sf_dir).select(doc_id, path, form, text.alias("text"), tables.alias("tables"), (F.col("o_orderkey") * 4 + F.col("kind_no")).alias("doc_ord"))
+    orders = _orders(spark, sf_dir, row).withColumns({"net_shown": shown(F.col("net_kg")), "gross_shown": shown(F.col("gross_kg")), "value_shown": shown(F.col("value"))})
+    return documents(orders).select(doc_id, path, form, text.alias("text"), tables.alias("tables"), (F.col("o_orderkey") * 4 + F.col("kind_no")).alias("doc_ord"))
 
 
 def answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,15 @@ def test_tables_win_over_text_and_text_over_prose(spark):
     labelled = {"order_no": "Order No", "reference": "reference", "seal_no": "Seal No", "shipper": "shipper", "consignee": "consignee"}
     assert [r["raw_field_labels"] for r in out[0]] == [labelled, labelled, labelled | {"description": "Description", "lot": "Lot"}]
     assert [r["raw_field_labels"]["order_no"] for r in out[1]] == ["ORD-3", "ORD-4", "Order No"]
+
+
+def test_orders_are_rendered_before_they_become_documents(spark, tmp_path):
+    from tallymark.sources import corpus
+
+    spark.sql("SELECT 1L AS o_orderkey, 2L AS o_custkey, DATE'2024-01-02' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 1L AS l_orderkey, 1L AS l_linenumber, 3L AS l_partkey, 4.0D AS l_quantity, 10.0D AS l_extendedprice, 5L AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    docs = corpus.raw(spark, str(tmp_path))
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Generate explode")
+    assert above.count("format_number") == 2 and below.count("format_number") > 2  # above: the sentence of confirmations, on few orders
+    assert [r["tables"][1][1] for r in docs.collect()] == [["L000003-1", "Part 3", "4 CTNS", "10,00", "12,00", "2,50", "10,00"]] * 3
