@@ -93,6 +93,31 @@ def spread_join(many: DataFrame, one: DataFrame, on: list[str], hot: int = HOT)
     return heavy.unionByName(many.join(F.broadcast(few), on, "left_anti").join(one, on))
 
 
+#: Keys, at most, that are broadcast as they are. Of more, bits are: so many for each, in all, and in a row.
+MANY, BITS, MOST_BITS, ROW = 400_000, 16, 1 << 28, 4096
+
+
+def of_keys(many: DataFrame, keys: DataFrame, on: str, n: int) -> DataFrame:
+    """The rows of ``many`` whose key is one of the ``n`` distinct ``keys``, of which no more are shuffled than that and few others.
+
+    Few keys are broadcast. Of many a bit for each hash is, 16 MB for five million, which lets about a sixteenth of the other keys
+    through; the rows that are left meet the keys themselves, held as a table of hashes in each task, so that they are not sorted.
+    """
+    if n <= MANY:
+        return many.join(F.broadcast(keys), on, "left_semi")
+    bits = min(1 << (BITS * n - 1).bit_length(), MOST_BITS)
+    bit = F.pmod(F.xxhash64(on), F.lit(bits))
+    place = {"row": F.floor(bit / ROW).cast("int"), "word": F.floor(F.pmod(bit, F.lit(ROW)) / 64).cast("int"), "at": F.pmod(bit, F.lit(64)).cast("int")}
+    words = keys.where(F.col(on).isNotNull()).select(*[c.alias(name) for name, c in place.items()]).groupBy("row", "word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    rows = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("of"))
+    zero = F.lit(0).cast("bigint")
+    rows = settle(rows.select(F.col("row").alias("__row"), F.transform(F.sequence(F.lit(0), F.lit(ROW // 64 - 1)), lambda w: F.coalesce(F.try_element_at("of", w), zero)).alias("__words")), "key-bits")
+    near = many.withColumn("__row", place["row"]).join(F.broadcast(rows), "__row")  # MOST_BITS / ROW rows at most, 512 bytes each
+    near = near.where(F.getbit(F.get("__words", place["word"]), place["at"]) == 1).drop("__row", "__words")
+    # an inner join: Spark would put a semi join before that with the bits
+    return near.join(keys.hint("shuffle_hash"), on)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, computed once a row however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
