@@ -417,3 +417,23 @@ def test_only_documents_of_failed_groups_are_met_again(spark, monkeypatch):
         assert read.pop() == 3 * len(want) < members.count()
     keys = spark.range(0, 3000, 3).selectExpr("CAST(id AS string) AS k")
     assert tables.of_keys(spark.range(3000).selectExpr("CAST(id AS string) AS k").union(spark.sql("SELECT CAST(NULL AS string)")), keys, "k", 1000).count() == 1000
+
+
+def test_clusters_agree_anew_where_they_take_documents_in(spark):
+    def doc(number, bill, order):
+        return (f"d{number}", number, (order, bill, None, None, None))
+
+    rows = [doc(1, "BL1234567X", "QQ"), doc(2, "BL1234567", "PP"), doc(3, "BL1234567", None), doc(4, None, None), doc(5, "C-77", "RR"), doc(6, "c 77", "RR")]
+    docs = spark.createDataFrame(rows, "doc_id string, doc_ord long, identifiers struct<order_no:string,bl_no:string,reference:string,container_no:string,seal_no:string>")
+    keys = {r["doc_ord"]: r["keys"] for r in match.keyed(docs).collect()}
+    assert keys[5] == ["C77", "RR", None, None] == keys[6] and keys[4] == [None] * 4
+    got = {r["doc_ord"]: (r["group_id"], r["certainty"], r["absorbed"]) for r in match.match(docs).collect()}
+    # the order number of the document that is taken in comes first of equally common ones
+    assert got == {1: ("G02", 0.4, True), 2: ("G02", 0.7, False), 3: ("G02", 0.7, False), 4: ("G01", 0.2, False), 5: ("G03", 1.0, False), 6: ("G03", 1.0, False)}
+
+
+def test_spread_join_takes_counts_that_are_known(spark):
+    many = spark.range(300).selectExpr("CASE WHEN id < 200 THEN 0 ELSE id END AS k", "id AS v")
+    one = many.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("first"))
+    want = sorted(map(tuple, spread_join(many, one.drop("n"), ["k"], hot=50).collect()))
+    assert sorted(map(tuple, spread_join(many, one, ["k"], hot=50, counted="n").collect())) == want and len(want) == 300
