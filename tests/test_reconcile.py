@@ -437,3 +437,21 @@ def test_spread_join_takes_counts_that_are_known(spark):
     one = many.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("first"))
     want = sorted(map(tuple, spread_join(many, one.drop("n"), ["k"], hot=50).collect()))
     assert sorted(map(tuple, spread_join(many, one, ["k"], hot=50, counted="n").collect())) == want and len(want) == 300
+
+
+def test_only_what_is_voted_on_meets_the_groups(spark, monkeypatch):
+    from tallymark.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def settle_(df, name):
+        if name == "members":
+            raise Seen(df.columns)
+        return df
+
+    monkeypatch.setattr(queries, "settle", settle_)
+    monkeypatch.setattr(queries.ma, "match", lambda docs: docs.select(F.lit("G01").alias("group_id"), "doc_ord"))
+    with pytest.raises(Seen) as seen:
+        queries.pipeline_summary(spark, "/root/testdata/sf0.001")
+    assert set(seen.value.args[0]) == {"doc_ord", "doc_id", "identifiers", "totals", "parties", "logistics", "line_items", "group_id"}
